@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomset.llm import chat_format
+from loomset.llm import chat_format, decontaminate, mix_sources
 
-QUERIES = {"op1_chat_format": chat_format.op1_chat_format}
-ORACLES = {"op1_chat_format": chat_format.OP1_SQL}
+QUERIES = {"op1_chat_format": chat_format.op1_chat_format, "op4_mix_sources": mix_sources.op4_mix_sources, "op5_decontaminate": decontaminate.op5_decontaminate}
+ORACLES = {"op1_chat_format": chat_format.OP1_SQL, "op4_mix_sources": mix_sources.OP4_SQL, "op5_decontaminate": decontaminate.OP5_SQL}
