@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomset.llm import chat_format, decontaminate, lang_id, mix_sources, quality
+from loomset.llm import chat_format, decontaminate, lang_id, mix_sources, quality, toxicity
 
-QUERIES = {"op1_chat_format": chat_format.op1_chat_format, "op2_lang_id": lang_id.op2_lang_id, "op4_mix_sources": mix_sources.op4_mix_sources, "op5_decontaminate": decontaminate.op5_decontaminate, "op8_quality": quality.op8_quality}
+QUERIES = {"op1_chat_format": chat_format.op1_chat_format, "op2_lang_id": lang_id.op2_lang_id, "op3_toxicity": toxicity.op3_toxicity, "op4_mix_sources": mix_sources.op4_mix_sources, "op5_decontaminate": decontaminate.op5_decontaminate, "op8_quality": quality.op8_quality}
 ORACLES = {"op1_chat_format": chat_format.OP1_SQL, "op4_mix_sources": mix_sources.OP4_SQL, "op5_decontaminate": decontaminate.OP5_SQL}
