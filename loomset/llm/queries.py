@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomset.llm import chat_format, decontaminate, exact_dedup, lang_id, mix_sources, quality, toxicity
+from loomset.llm import chat_format, decontaminate, exact_dedup, lang_id, line_dedup, mix_sources, quality, toxicity
 
-QUERIES = {"op1_chat_format": chat_format.op1_chat_format, "op2_lang_id": lang_id.op2_lang_id, "op3_toxicity": toxicity.op3_toxicity, "op4_mix_sources": mix_sources.op4_mix_sources, "op5_decontaminate": decontaminate.op5_decontaminate, "op7_exact_dedup": exact_dedup.op7_exact_dedup, "op8_quality": quality.op8_quality}
+QUERIES = {"op1_chat_format": chat_format.op1_chat_format, "op2_lang_id": lang_id.op2_lang_id, "op3_toxicity": toxicity.op3_toxicity, "op4_mix_sources": mix_sources.op4_mix_sources, "op5_decontaminate": decontaminate.op5_decontaminate, "op6_line_dedup": line_dedup.op6_line_dedup, "op7_exact_dedup": exact_dedup.op7_exact_dedup, "op8_quality": quality.op8_quality}
 ORACLES = {"op1_chat_format": chat_format.OP1_SQL, "op4_mix_sources": mix_sources.OP4_SQL, "op5_decontaminate": decontaminate.OP5_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
