@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loomset.plans import record_queries, tensor_queries
+
+QUERIES = {**record_queries.QUERIES, **tensor_queries.QUERIES}
+ORACLES = {**record_queries.ORACLES, **tensor_queries.ORACLES}
