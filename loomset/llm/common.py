@@ -130,14 +130,20 @@ SPACE[9:14] = SPACE[32] = True
 _FOLDED = _BYTE[_FOLD]
 
 
+def prefix(data: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Sums from which any span's hash follows."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_FOLDED if fold else _BYTE)[data] * _powers(len(data))[0][: len(data)], out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((total[ends] - total[starts]) * _powers(len(total))[1][starts] + (ends - starts).astype(np.uint64))
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
     """A 64-bit hash of each span's bytes, A-Z lower-cased if fold: the same for equal bytes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    power, inverse = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    return span_hashes(prefix(data, fold), starts, ends) if len(starts) else np.zeros(0, np.uint64)
 
 
 def words(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -2,8 +2,8 @@
 
 Terms are words, and beginnings of longer words, that tell the labels apart in a bounded sample of labelled rows; their document frequencies are
 counted over all documents. Examples stand in blocks; a block's postings give, for each of its terms, the weights in its examples and their
-maximum. A text's cosine with any example of a block is at most the sum of its weights times those maxima, so blocks go in falling order of
-that bound, and a text skips all blocks whose bound is below its k-th best example so far: the k nearest are exact. They vote with weights that
+maximum. A text's cosine with any example of a block is at most the sum of its weights times those maxima, so a text skips all blocks whose bound
+is below its k-th best example so far, and the most promising blocks come first: the k nearest are exact. They vote with weights that
 fall with distance; a curve fitted on the examples, each left out in turn, makes the vote a probability.
 
 Defined cases: null and empty texts, and texts without any term, have no neighbours and get the share of label 1 among such examples; without
@@ -23,25 +23,26 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomset.llm import labelled
-from loomset.llm.common import blocks, hashes, part, ready, words
+from loomset.llm.common import WORD, blocks, part, prefix, ready, span_hashes, spans
 
 #: About so many labelled rows, as many of either label, are examples, at any size of input.
-MAX_EXAMPLES = 6000
+MAX_EXAMPLES = 4096
 TERMS = 1024
 #: Byte lengths of the beginnings of longer words that count as terms.
 BEGINNINGS = range(4, 11)
-BLOCK = 64
+BLOCK = 128
 K = 15
 
 
 def _terms(data: np.ndarray, limits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashes of terms and the row of each: all words, then beginnings of each length."""
-    starts, ends, h, first = words(data, limits)
-    row = np.repeat(np.arange(len(limits) - 1), np.diff(first))
-    yield h, row
+    starts, ends, first = spans(WORD[data], limits)
+    row, total = np.repeat(np.arange(len(limits) - 1), np.diff(first)), prefix(data)
+    yield span_hashes(total, starts, ends), row
     for n in BEGINNINGS:
         longer = ends - starts > n
-        yield hashes(data, starts[longer], starts[longer] + n) ^ np.uint64(n), row[longer]
+        starts, ends, row = starts[longer], ends[longer], row[longer]
+        yield span_hashes(total, starts, starts + n) ^ np.uint64(n), row
 
 
 def counted(vocabulary: np.ndarray, data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,33 +84,31 @@ class Index:
             self.bound[:, b] = part_.max(0)
 
     def nearest(self, q: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Cosines and places of the k nearest examples of each unit row of q (cosine 0: none), and the number of (row, block) pairs scored. skip: a place to leave out for each row."""
-        n = len(q)
-        best, place, scored = np.zeros((n, k)), np.full((n, k), -1), 0
-        if not n or not self.blocks:
-            return best, place, scored
-        bound = q @ self.bound
-        order = np.argsort(-bound, axis=1, kind="stable")
-        ceiling = np.take_along_axis(bound, order, 1)
-        alive = np.arange(n)
-        for turn in range(order.shape[1]):
-            alive = alive[(ceiling[alive, turn] > 0) & (ceiling[alive, turn] >= best[alive, -1] - 1e-12)]
-            if not len(alive):
-                break
-            scored += len(alive)
-            block = order[alive, turn]
-            for b in np.unique(block):
-                rows = alive[block == b]
-                used, weights = self.blocks[b]
-                cosine = q[np.ix_(rows, used)] @ weights
-                at = np.broadcast_to(b * BLOCK + np.arange(weights.shape[1]), cosine.shape)
-                if skip is not None:
-                    cosine = np.where(at == skip[rows][:, None], 0, cosine)
-                both, where = np.concatenate([best[rows], np.round(cosine, 12)], 1), np.concatenate([place[rows], at], 1)
-                ids = np.where((where >= 0) & (both > 0), self.ids[where], np.iinfo(np.int64).max)
-                top = np.lexsort((ids, -both), axis=1)[:, :k]
-                best[rows], place[rows] = np.take_along_axis(both, top, 1), np.where(np.take_along_axis(both, top, 1) > 0, np.take_along_axis(where, top, 1), -1)
-        return best, place, scored
+        """Cosines and places of the k nearest examples of each unit row of q (cosine 0: none), and the number of (row, block) pairs scored. skip: a place to leave out for each row.
+
+        A cosine, to 12 digits, and the example's order by id make one whole number, so that a partial sort settles ties too.
+        """
+        n, tail = len(q), np.int64(max(1, len(self.ids)).bit_length())
+        best, scored = np.zeros((n, k), np.int64), 0
+        by_id = np.argsort(self.ids)
+        order = np.empty(len(by_id), np.int64)
+        order[by_id] = len(by_id) - np.arange(len(by_id))
+        bound = q @ self.bound if n and self.blocks else np.zeros((n, 0))
+        for b in np.argsort(-bound.sum(0), kind="stable"):
+            rows = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= (best[:, 0] >> tail) * 1e-12 - 1e-9))
+            if not len(rows):
+                continue
+            scored += len(rows)
+            used, weights = self.blocks[b]
+            cosine = q[rows][:, used] @ weights
+            at = b * BLOCK + np.arange(weights.shape[1])
+            key = np.where(cosine > 1e-12, (np.rint(cosine * 1e12).astype(np.int64) << tail) + order[at], 0)
+            if skip is not None:
+                key[at[None, :] == skip[rows][:, None]] = 0
+            best[rows] = np.partition(np.concatenate([best[rows], key], 1), -k, axis=1)[:, -k:]
+        best = -np.sort(-best, axis=1)
+        place = np.where(best > 0, by_id[len(by_id) - np.maximum(1, best & ((np.int64(1) << tail) - 1))] if len(by_id) else -1, -1)
+        return np.where(best > 0, (best >> tail) * 1e-12, 0), place, scored
 
 
 class Model:
@@ -224,7 +223,7 @@ def classify(docs: DataFrame, model: Model, carry: list[str], threshold: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch, data, limits in blocks(batches, most=500_000):
+        for batch, data, limits in blocks(batches):
             cosine, place, _ = m.index.nearest(m.vector(data, limits), k)
             p = np.round(m.probability(m.vote(cosine, place)), 6)
             kept = place >= 0
