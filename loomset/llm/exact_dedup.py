@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from loomset.llm.bloom import among
 from loomset.llm.common import settle, shared_dir
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A store on disk; one per partition of the state, so none of them reserves disk ahead of its use.
+_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def normalised(text: Column) -> Column:
@@ -42,13 +42,15 @@ def seen(stream: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
     def write(changed: DataFrame, batch: int) -> None:
         changed.select("digest", "at", "n", F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{place}/changes/{batch:09d}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = state.withColumn("batch", F.lit(0).cast("long")).schema
     if not query.lastProgress and not query.recentProgress:
         return spark.createDataFrame([], "digest string, keep_id long, file string, row long, n long")
