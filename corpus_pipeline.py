@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from loomset.llm import decontaminate, lang_id, line_dedup, mix_sources, near_dedup
 from loomset.llm.common import settle
 
-#: A text whose best cosine is below this looks like no language learned. Junk of symbols or digits has no letters at all; clean prose is far above.
-LEAST_COSINE = 0.05
+#: A text goes if its best cosine isn't above this: it looks like no language learned. Clean prose, even of a few words, is far above.
+LEAST_COSINE = 0.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or unlike every language learned from docs, go."""
     seen = lang_id.identify(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, lang_id.learn(docs))
-    kept = seen.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE)).drop("lang_pred", "score", "margin")
+    kept = seen.filter((F.col("lang_pred") != "und") & (F.col("score") > LEAST_COSINE)).drop("lang_pred", "score", "margin")
     return (kept.withColumnRenamed("_score", "score") if "_score" in kept.columns else kept).select(docs.columns)
 
 
