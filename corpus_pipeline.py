@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomset.llm import decontaminate, lang_id, line_dedup, mix_sources, near_dedup
 from loomset.llm.common import settle
+from loomset.llm.names import apart
 
 #: A text goes if its best cosine isn't above this: it looks like no language learned. Clean prose, even of a few words, is far above.
 LEAST_COSINE = 0.0
@@ -18,33 +19,36 @@ LEAST_COSINE = 0.0
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or unlike every language learned from docs, go."""
-    seen = lang_id.identify(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, lang_id.learn(docs))
-    kept = seen.filter((F.col("lang_pred") != "und") & (F.col("score") > LEAST_COSINE)).drop("lang_pred", "score", "margin")
-    return (kept.withColumnRenamed("_score", "score") if "_score" in kept.columns else kept).select(docs.columns)
+    own, back = apart(docs, ("lang_pred", "score", "margin"))
+    seen = lang_id.identify(own, lang_id.learn(docs))
+    return back(seen.filter((F.col("lang_pred") != "und") & (F.col("score") > LEAST_COSINE)))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines are cut from all texts but the first; a document of which nothing but white space is left goes. n_chars follows the text."""
-    cut = line_dedup.dedup_lines(docs).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    own, back = apart(docs, line_dedup.ADDED)
+    cut = line_dedup.dedup_lines(own).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cut.select(docs.columns)
+    return back(cut)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that with the smallest doc_id."""
     gone = near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(settle(gone, "gone"), F.col("doc_id") == F.col("_gone"), "left_anti").select(docs.columns)
+    gone = settle(gone, "gone")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    seen = decontaminate.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return seen.filter(F.size("spans") == 0).select(docs.columns)
+    own, back = apart(docs, decontaminate.ADDED)
+    seen = decontaminate.find(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return back(seen.filter(F.size("spans") == 0))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each copy that a source's budget takes, cut at the budget, with size, source_size, target, taken and epoch."""
+    """The mix: a row for each copy that a source's budget takes, cut at the budget, with size, source_size, target, taken and epoch in place of columns of those names."""
     return mix_sources.materialise(mix_sources.mix(docs))
 
 

@@ -5,7 +5,8 @@ not move, the bucket of patterns with the same last block (and then the same fir
 of many documents move together, as arrays.
 
 Defined cases: null and word-less texts have no words and no hits; items without words have no windows; a null item_id is the item `null`;
-repeated rows give repeated results; an empty benchmark hits nothing; further columns are carried only where asked for.
+repeated rows give repeated results; an empty benchmark hits nothing; further columns are carried where asked for, but for those with the names of
+results, which give way.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ PATTERN_BYTES = 16_000_000
 #: End positions that a cursor covers; a long text has many cursors.
 STRETCH = 256
 _BITS = 16
+ADDED = ("n_words", "spans", "items")
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -133,7 +135,8 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, carry: l
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: list[str] | None = None, pattern_bytes: int = PATTERN_BYTES) -> DataFrame:
     """The carried columns of docs (all, if None) with n_words, spans (hit stretches of words) and items (ids as strings, sorted)."""
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("n_words", "spans", "items")]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+    carry = docs.columns if carry is None else carry
     groups: list[list[tuple[str, bytes]]] = [[]]
     room = pattern_bytes
     for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text")).filter("text IS NOT NULL").toLocalIterator():

@@ -67,9 +67,12 @@ def _eligible(c: dict[str, np.ndarray]) -> np.ndarray:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the text less its repeated chunks, n_lines (before) and n_removed."""
     ready(docs.sparkSession)
-    docs = docs.drop(*ADDED)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
+    columns, whole = docs.columns, docs
+    # the caller's further columns stand in one, so that no name of theirs meets one of ours
+    docs = whole.select("doc_id", "text", F.struct(*[c for c in columns if c != "text"]).alias("row"))
     plain = T.StructType([T.StructField("hash", T.LongType())])
-    full = T.StructType([T.StructField("hash", T.LongType()), T.StructField("chunk", T.StringType()), docs.schema["doc_id"], T.StructField("text_hash", T.LongType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
+    full = T.StructType([T.StructField("hash", T.LongType()), T.StructField("chunk", T.StringType()), T.StructField("doc_id", whole.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
     arrow = to_arrow_schema(full)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +105,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     altered = marked.filter("_touched").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_id", "_hash")
     both = intact.unionByName(altered).drop("_touched", "text_hash")
     left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i.cast("long"))), "\n")
-    return both.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).withColumn("n_removed", F.coalesce(F.size(F.array_distinct("gone")), F.lit(0)).cast("long")).drop("gone")
+    out = both.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).withColumn("n_removed", F.coalesce(F.size(F.array_distinct("gone")), F.lit(0)).cast("long"))
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns], *ADDED)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

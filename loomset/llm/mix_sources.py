@@ -1,7 +1,8 @@
 """Mixing sources to target weights: hash-random order within each source, distributed prefix sums of sizes, and a cut at each source's exact budget.
 
 Defined cases: a null text has size 0; null sources are one source, ordered last; rows that repeat a doc_id have one order by (key, doc_id,
-size), so reruns agree; an empty table gives no rows; sources of size 0 get target 0. Keys are uniform, so equal ranges of the key space hold
+size), so reruns agree; an empty table gives no rows; sources of size 0 get target 0; columns with
+the names of results give way. Keys are uniform, so equal ranges of the key space hold
 equal shares of a source's rows: `digits` hex digits cut every source, a hot one too, into 16 ** digits sorted ranges.
 """
 
@@ -38,13 +39,18 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: f
     return level.select("source", "source_size", "weight", F.least("cap", F.coalesce(first, F.lit(0.0) + F.col("ratio")) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", digits: int = 2) -> DataFrame:
-    """docs with size, source_size, target, taken (words the mix takes, repeats counted).
+ADDED = ("size", "source_size", "target", "taken", "epoch")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", digits: int = 2, size: Column | None = None) -> DataFrame:
+    """docs with size, source_size, target, taken (words the mix takes, repeats counted), in place of columns of those names. size: an expression for the size, if not the words of text.
 
     One aggregation over (source, key range) gives all totals; a range's prefix is the sum of those before it; inside a range a sorted window
     runs. Documents are shuffled once, by (source, range).
     """
-    keyed = _keyed(docs.withColumn("size", words_in(F.col("text"))) if "size" not in docs.columns else docs, seed, digits)
+    sized = words_in(F.col("text")) if size is None else size
+    rest_of = [c for c in docs.columns if c.lower() not in ADDED]
+    keyed = _keyed(docs.select("doc_id", "source", sized.alias("size"), F.struct(*rest_of).alias("row")), seed, digits)
     ranges = keyed.groupBy("_slot", "source").agg(F.sum("size").alias("range_size"))
     dealt = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most)
     before = F.coalesce(F.sum("range_size").over(W.partitionBy("source").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -54,7 +60,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor("target").cast("long") - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_at")))
-    return placed.withColumn("taken", taken.cast("long")).drop("_key", "_slot", "_before", "_at")
+    return placed.select("row.*", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def materialise(mixed: DataFrame) -> DataFrame:
@@ -67,8 +73,8 @@ def materialise(mixed: DataFrame) -> DataFrame:
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"))
-    return mix(sized).select("doc_id", "size", "source_size", "target", "taken")
+    sized = docs.select("doc_id", "source", words_in(F.col("text")).alias("n"))
+    return mix(sized, size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP4_SQL = r"""

@@ -123,7 +123,7 @@ def fit(index: np.ndarray, value: np.ndarray, first: np.ndarray, y: np.ndarray,
 
 def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: int = 5, held: int = 0, most: int = MAX_EXAMPLES) -> tuple:
     ready(docs.sparkSession)
-    rows, _ = labelled.sample(docs, labels, column, modulus, held, most, balanced=False)
+    rows, _ = labelled.sample(docs.select("doc_id", "text", "n_chars"), labels, column, modulus, held, most, balanced=False)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("index", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.FloatType()))])
     arrow = to_arrow_schema(schema)
 
@@ -133,7 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus:
             lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x)).cast(arrow.field(c).type) for c, x in (("index", index.astype(np.int32)), ("value", value))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], schema=arrow)
 
-    got = rows.select("doc_id", "text", "n_chars", "label").mapInArrow(extract, schema).toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
+    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_chars", "label").mapInArrow(extract, schema).toArrow().sort_by([("doc_id", "ascending")]).combine_chunks()
     lists = [got.column(c).combine_chunks() for c in ("index", "value")]
     index, value = (np.concatenate([np.asarray(c.flatten()) for c in (x.chunks if isinstance(x, pa.ChunkedArray) else [x])] or [np.zeros(0)]) for x in lists)
     count = np.asarray(pa.compute.list_value_length(got.column("index"))) if len(got) else np.zeros(0, int)

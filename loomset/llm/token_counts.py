@@ -6,7 +6,8 @@ whose nodes hold the sums of their two children. An edit takes the leaves that i
 encodes their new text, and updates the sums above.
 
 Defined cases: a null text counts as empty, with 0 tokens; edits beyond the text's end are clipped to it; an edit list may be null or empty; edits
-apply in order, each to the text as left by those before; strings of special tokens are ordinary text; whole texts of any length count.
+apply in order, each to the text as left by those before; strings of special tokens are ordinary text; whole texts of any length count;
+repeated rows count alike; further columns are carried, but for those with the names of results.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 LEAF = 400
 _BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
+ADDED = ("n_tokens", "n_tokens_after", "n_leaves", "n_encoded", "edited")
 EDIT = "array<struct<start:bigint,deleted:bigint,inserted:string>>"
 
 _encodings: dict[tuple[int, str], tiktoken.Encoding] = {}
@@ -137,7 +139,7 @@ def read_ranks(spark: SparkSession, path: str = RANKS) -> bytes:
 def count_edited(docs: DataFrame, edits: str = "edits", ranks: str = RANKS, carry: list[str] | None = None) -> DataFrame:
     """docs (text, and the column `edits` of type EDIT) with n_tokens, n_tokens_after, n_leaves, n_encoded (leaves encoded for the edits) and the text after them as `edited`."""
     spark = ready(docs.sparkSession)
-    carry = [c for c in docs.columns if c != edits] if carry is None else carry
+    carry = [c for c in (docs.columns if carry is None else carry) if c != edits and c.lower() not in ADDED]
     shared = spark.sparkContext.broadcast(read_ranks(spark, ranks))
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_tokens_after", "n_leaves", "n_encoded")] + [T.StructField("edited", T.StringType())])
     arrow = to_arrow_schema(schema)

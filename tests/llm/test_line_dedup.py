@@ -1,7 +1,7 @@
 """Line deduplication against a brute-force version in plain Python."""
 
 import numpy as np
-import pytest
+from pyspark.sql import functions as F
 
 from loomset.llm import line_dedup
 from loomset.llm.common import hashes, mix
@@ -64,7 +64,7 @@ def test_empty_table_repeated_rows_and_clashing_columns(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text, "x"), (1, text, "y"), (2, text, "z"), (None, text, "n")]
-    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_removed string").withColumn("hash", __import__("pyspark").sql.functions.lit("h"))).collect()
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_removed string").withColumn("hash", F.lit("h")).withColumn("gone", F.lit("g")).withColumn("row", F.lit("r"))).collect()
     assert sorted((r["doc_id"] or 99, r["text"]) for r in got) == [(1, text), (1, text), (2, ""), (99, "")]
 
 
