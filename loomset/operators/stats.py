@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomset.functions.text import keep_first
+
 
 def common_tags(records: DataFrame, key: str = "sidecar_key", least: int = 2) -> DataFrame:
     """(tag, n): automatic and external tags of at least `least` records, once each, shown as first seen in order of key."""
     tags = F.concat(F.transform("auto_tags", lambda x: x.tag), F.transform("booru_tags", lambda x: x.tag))
-    each = records.select(key, F.posexplode(tags).alias("ord", "tag")).filter("tag <> ''").withColumn("low", F.lower("tag"))
-    # a record's tags stand on one row, so its first spelling of a tag needs no shuffle before the count
-    first = each.groupBy("low", key).agg(F.min_by("tag", "ord").alias("tag"))
+    named = F.transform(F.filter(tags, lambda t: t != ""), lambda t: F.struct(F.lower(t).alias("low"), t.alias("tag")))
+    # a record's repeats go within its row, so that only the count is shuffled
+    held = records.select(key, named.alias("_t"))
+    first = held.select(key, F.explode(keep_first(F.col("_t"), "low")).alias("t")).select(key, "t.low", "t.tag")
     counted = first.groupBy("low").agg(F.min_by("tag", key).alias("tag"), F.count("*").alias("n")).filter(F.col("n") >= least)
     return counted.select("tag", "n").orderBy(F.desc("n"), "tag")
 
