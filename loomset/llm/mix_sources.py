@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomset.llm.common import settle
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -45,13 +47,13 @@ ADDED = ("size", "source_size", "target", "taken", "epoch")
 def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", digits: int = 2, size: Column | None = None) -> DataFrame:
     """docs with size, source_size, target, taken (words the mix takes, repeats counted), in place of columns of those names. size: an expression for the size, if not the words of text.
 
-    One aggregation over (source, key range) gives all totals; a range's prefix is the sum of those before it; inside a range a sorted window
+    One aggregation over (source, key range), a small table, gives all totals; a range's prefix is the sum of those before it; inside a range a sorted window
     runs. Documents are shuffled once, by (source, range).
     """
     sized = words_in(F.col("text")) if size is None else size
     rest_of = [c for c in docs.columns if c.lower() not in ADDED]
     keyed = _keyed(docs.select("doc_id", "source", sized.alias("size"), F.struct(*rest_of).alias("row")), seed, digits)
-    ranges = keyed.groupBy("_slot", "source").agg(F.sum("size").alias("range_size"))
+    ranges = settle(keyed.groupBy("_slot", "source").agg(F.sum("size").alias("range_size")), "ranges")
     dealt = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most)
     before = F.coalesce(F.sum("range_size").over(W.partitionBy("source").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     info = ranges.withColumn("_before", before).join(dealt.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("_slot", "_before", "source_size", "target")
