@@ -12,14 +12,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Text bytes that a task handles at once; a longer text is handled alone and whole.
-BLOCK_BYTES = 2_000_000
+#: Text bytes and rows that a task handles at once; a longer text is handled alone and whole.
+BLOCK_BYTES = 1_000_000
+BLOCK_ROWS = 2048
+#: Python workers give large freed buffers back to the system, so that a worker's memory follows the block at hand.
+WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, where the cluster was not given it by --py-files."""
+    """Let Python workers import this package, where the cluster was not given it by --py-files, and set their allocators."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    for k, v in WORKER_ENV.items():
+        env.setdefault(k, v)
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     return spark
@@ -67,13 +72,13 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[limits[0] : limits[-1]], limits - limits[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches of at most `most` text bytes, or of one row, with their bytes and row limits."""
+def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches of at most `most` text bytes and `rows` rows, or of one row, with their bytes and row limits."""
     for batch in batches:
         data, limits = utf8(batch.column(text))
         i, n = 0, len(limits) - 1
         while i < n:
-            j = max(i + 1, int(np.searchsorted(limits, limits[i] + most, "right")) - 1)
+            j = max(i + 1, min(i + rows, int(np.searchsorted(limits, limits[i] + most, "right")) - 1))
             yield batch.slice(i, j - i), data[limits[i] : limits[j]], limits[i : j + 1] - limits[i]
             i = j
 

@@ -118,7 +118,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], carry: list[str
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        for batch, data, limits in blocks(batches, most=1_000_000):
+        for batch, data, limits in blocks(batches, rows=512):
             n = len(limits) - 1
             codes, row = trigrams(data, limits)
             best, score, margin = np.full(n, len(names)), np.zeros(n), np.zeros(n)

@@ -223,7 +223,7 @@ def classify(docs: DataFrame, model: Model, carry: list[str], threshold: float =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch, data, limits in blocks(batches):
+        for batch, data, limits in blocks(batches, rows=1024):
             cosine, place, _ = m.index.nearest(m.vector(data, limits), k)
             p = np.round(m.probability(m.vote(cosine, place)), 6)
             kept = place >= 0
