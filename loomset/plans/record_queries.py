@@ -113,10 +113,10 @@ def auto_tag_rank(spark, d: str) -> DataFrame:
     return r.select("user_id", F.array_join(F.transform("r", lambda x: x.tag), ">").alias("ranked"), F.col("r")[0]["tag"].alias("top"))
 
 
-@query("tag_scores_first_max", _with(SQL) + "SELECT user_id, (list_position(s, list_max(s)) - 1)::BIGINT AS at FROM (SELECT user_id, list(score ORDER BY tag) AS s FROM auto GROUP BY user_id)")
+@query("tag_scores_first_max", _with(SQL) + "SELECT user_id, (list_position(s, list_max(s)) - 1)::BIGINT AS place FROM (SELECT user_id, list(score ORDER BY tag) AS s FROM auto GROUP BY user_id)")
 def tag_scores_first_max(spark, d: str) -> DataFrame:
     by_tag = F.transform(F.array_sort(F.transform("auto_tags", lambda x: F.struct(x.tag.alias("tag"), x.score.alias("score")))), lambda x: x.score)
-    return records(spark, d).select("user_id", stats.first_max(by_tag).alias("at"))
+    return records(spark, d).select("user_id", stats.first_max(by_tag).alias("place"))
 
 
 # --- groups ---
