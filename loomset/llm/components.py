@@ -1,4 +1,4 @@
-"""Connected components of a graph of links, by falling labels with pointer jumping, in tables."""
+"""Connected components of a graph of links, by contraction, in tables."""
 
 from __future__ import annotations
 
@@ -8,20 +8,30 @@ from pyspark.sql import functions as F
 from loomset.llm.common import settle
 
 
+def _edges(links: DataFrame) -> DataFrame:
+    return settle(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> (node, label): the smallest node of its component, for all nodes with a link.
 
-    Each round takes the smallest label among neighbours and then the label's own label; rounds end when none falls, after about the logarithm
-    of the longest path. Labels stay in tables; the driver sees a count.
+    In each round a node moves to the first node, in the order of a hash, among itself and its neighbours, and then to where that one moved; links
+    between nodes that moved to the same place are done with, so rounds shrink, whatever the order of the ids. Then the moves are followed to their
+    ends. All stays in tables; the driver sees whether links remain.
     """
-    both = settle(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), "links")
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        step = settle(lower, "labels")
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        after = settle(step.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        if not after.filter("label <> was").limit(1).count():
-            return after.select("node", "label")
-        labels = after.select("node", "label")
+    edges, moves = _edges(links), []
+    placed = lambda c: F.struct(F.xxhash64(c), F.col(c).alias("id"))
+    while not moves or edges.limit(1).count():
+        both = edges.union(edges.select("b", "a"))
+        near = settle(both.groupBy("a").agg(F.min(placed("b")).alias("near")).select(F.col("a").alias("node"), F.least("near", placed("a"))["id"].alias("to")), "moves")
+        further = near.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        moved = settle(near.join(further, "to").select("node", F.col("further").alias("to")), "moves")
+        moves.append(moved)
+        ends = [moved.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in ("a", "b")]
+        edges = _edges(edges.join(ends[0], "a").join(ends[1], "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")))
+    found = moves.pop()
+    while moves:
+        last = found.select(F.col("node").alias("to"), F.col("to").alias("last"))
+        found = settle(moves.pop().join(last, "to", "left").select("node", F.coalesce("last", "to").alias("to")), "moves")
+    least = found.groupBy("to").agg(F.min("node").alias("label"))
+    return settle(found.join(least, "to").select("node", "label"), "labels")

@@ -4,8 +4,9 @@ K-mers of five words carry their occurrence number. Each of M hash orders picks
 texts agree on it with a chance that falls with edit similarity. Texts that agree anywhere are candidates; a banded alignment over words decides:
 similar if 1 - edits / length of the longer >= THRESHOLD.
 
-Texts with the same words are one class, so copies cost nothing further. In a bucket, members are first compared with its smallest member; links
-make components; then all pairs in a bucket that are still in different components are compared, and so on until none is left uncompared. No link
+Texts with the same words are one class, so copies cost nothing further. A bucket's hub is its smallest member. Members are first compared with
+the smallest of their hubs; links make components; then with their hubs in other components. In buckets that still hold several components,
+those members are compared that share one of their rarest words, which all similar ones do: texts that only have a common passage aren't. No link
 between different texts is lost within buckets, and pairs inside a known component aren't made.
 
 Defined cases: texts without words are alone, each its own class; texts of fewer than five words have one k-mer of all of them; A-Z are folded;
@@ -31,6 +32,8 @@ K = 5
 M = 20
 L = 4
 THRESHOLD = 0.8
+#: Slots in which words are counted to tell rare from common ones, 2 MB.
+SLOTS = 1 << 18
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -189,10 +192,45 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return joined.select("a", "b", "ta", "tb").mapInArrow(align, out)
 
 
+def rarest(texts: DataFrame, least: float) -> DataFrame:
+    """texts (rep, text) -> (rep, word): of each text so many of its rarest words, with occurrence numbers, that texts as similar as `least` share one.
+
+    Similar texts have all but a share of 1 - least of the longer's words in common, so in any order of words that is the same for all texts the
+    first of that share and one more can't all be foreign to the other. The order is by frequency, counted in SLOTS slots over all these texts.
+    """
+    ready(texts.sparkSession)
+    tally, out = T.StructType([T.StructField("slot", T.LongType()), T.StructField("n", T.LongType())]), T.StructType([T.StructField("rep", T.LongType()), T.StructField("word", T.LongType())])
+    slot = lambda v: (v & np.uint64(SLOTS - 1)).astype(np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for _, data, limits in blocks(batches):
+            _, _, h, first = words(data, limits)
+            seen += np.bincount(slot(labelled(h, first)), minlength=SLOTS)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=tally.names)
+
+    counts = texts.select("text").mapInArrow(count, tally).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(SLOTS, np.int64)
+    frequency[np.asarray(counts.column("slot"))] = np.asarray(counts.column("n"))
+    shared = texts.sparkSession.sparkContext.broadcast(frequency)
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, limits in blocks(batches):
+            _, _, h, first = words(data, limits)
+            v, n = labelled(h, first), np.diff(first)
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((v, shared.value[slot(v)], row))
+            keep = order[np.arange(len(v)) - first[row] <= np.floor((1 - least) * n + 1e-9)[row]]
+            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row[keep])), pa.array(v[keep].view(np.int64))], names=out.names)
+
+    return texts.select("rep", "text").mapInArrow(lead, out)
+
+
 def near_duplicates(docs: DataFrame, least: float = THRESHOLD, m: int = M, l: int = L, k: int = K) -> DataFrame:  # noqa: E741
     """(doc_id, class_id: smallest doc_id of its group, class_size in documents, n_links: similar texts found, kept)."""
-    own = settle(sketches(docs, m, l, k), "sketches")
-    classes = settle(own.filter("n_words > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "classes")
+    sketched = settle(sketches(docs, m, l, k), "sketches")
+    classes = settle(sketched.filter("n_words > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "classes")
     placed = classes.select("rep", "n_words", F.posexplode("bands").alias("band", "value"))
     hubs = placed.groupBy("band", "value").agg(F.min("rep").alias("hub"), F.count("*").alias("n"), F.min(F.struct("rep", "n_words"))["n_words"].alias("hub_words")).filter("n > 1")
     hubs = settle(hubs.select(F.xxhash64("band", "value").alias("bucket"), "hub", "hub_words"), "hubs")
@@ -202,25 +240,35 @@ def near_duplicates(docs: DataFrame, least: float = THRESHOLD, m: int = M, l: in
     # of rows that share a representative's id and words, one text is enough
     texts = settle(docs.select(F.col("doc_id").alias("rep"), "text").filter(wanted("rep")).groupBy("rep").agg(F.min("text").alias("text")), "texts")
     alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (least - 1e-9)
-    pairs = members.filter((F.col("rep") != F.col("hub")) & alike(F.col("n_words"), F.col("hub_words"))).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = settle(pairs, "pairs")
+    star = lambda m: m.filter((F.col("rep") != F.col("hub")) & alike(F.col("n_words"), F.col("hub_words")))
+    # each member with its smallest hub, then with the hubs whose buckets aren't one component yet, then all that may be alike in such buckets
+    tried = settle(star(members).groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "pairs")
     links = settle(verify(tried, texts, least), "verified")
-    while True:
-        labels = components(links)
-        held = members.select("bucket", "rep", "n_words").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        held = settle(held, "held")
+    labels = components(links)
+    named = lambda node, label: labels.select(F.col("node").alias(node), F.col("label").alias(label))
+    for whole in (False, True):
+        held = settle(members.join(named("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "held")
         split = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
         open_ = held.join(split, "bucket")
-        x, y = (open_.select("bucket", *[F.col(c).alias(c + s) for c in ("rep", "n_words", "label")]) for s in "xy")
-        more = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("repx") < F.col("repy")) & (F.col("labelx") != F.col("labely")) & alike(F.col("n_wordsx"), F.col("n_wordsy"))).select(F.col("repx").alias("a"), F.col("repy").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = settle(more, "pairs")
-        if not more.limit(1).count():
-            break
-        tried = settle(tried.unionByName(more), "pairs")
-        links = settle(links.unionByName(verify(more, texts, least)), "verified")
+        if whole:
+            own = settle(open_.select("rep", "label").distinct().join(classes.select("rep", "n_words", "bands"), "rep"), "open")
+            lead = settle(rarest(texts.join(own.select("rep"), "rep"), least).join(own, "rep"), "rarest")
+            x, y = (lead.select("word", *[F.col(c).alias(c + s) for c in ("rep", "n_words", "label", "bands")]) for s in "xy")
+            more = x.join(y, (x["word"] == y["word"]) & (F.col("repx") < F.col("repy")) & (F.col("labelx") != F.col("labely")) & alike(F.col("n_wordsx"), F.col("n_wordsy")) & F.arrays_overlap("bandsx", "bandsy")).select(F.col("repx").alias("a"), F.col("repy").alias("b"))
+        else:
+            more = star(open_).join(named("hub", "hub_label"), "hub", "left").filter(F.col("label") != F.coalesce("hub_label", "hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+        more = settle(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.unionByName(more)
+        fresh = settle(verify(more, texts, least), "verified")
+        links = links.unionByName(fresh)
+        # links between known components join these
+        over = fresh.join(named("a", "label_a"), "a", "left").join(named("b", "label_b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+        joined = components(over).select(F.col("node").alias("label"), F.col("label").alias("further"))
+        every = labels.unionByName(fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("label", F.col("node")))
+        labels = settle(every.join(joined, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
     degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     known = settle(classes.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
-    full, empty = own.filter("n_words > 0").select("doc_id", "d1", "d2"), own.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"))
+    full, empty = sketched.filter("n_words > 0").select("doc_id", "d1", "d2"), sketched.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"))
     grouped = settle(full.join(known, ["d1", "d2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "grouped")
     sizes = settle(grouped.groupBy("class_id").agg(F.count("*").alias("class_size")).filter("class_size > 1"), "sizes")
     out = grouped.join(sizes, "class_id", "left").select("doc_id", "class_id", "n_links", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")).unionByName(empty)

@@ -85,6 +85,18 @@ def test_whole_result_equals_brute_force(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_rarest_words_of_similar_texts_meet(spark):
+    texts = _corpus(np.random.default_rng(5)) + ["one", "two words", "", "a a a a a b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "rep long, text string").repartition(3)
+    own = {}
+    for r in nd.rarest(rows, 0.8).collect():
+        own.setdefault(r["rep"], set()).add(r["word"])
+    split = [t.split() for t in texts]
+    assert all(len(own.get(i, ())) == (len(w) // 5 + 1 if w else 0) for i, w in enumerate(split))
+    alike = [(i, j) for i, a in enumerate(split) for j, b in enumerate(split[:i]) if a and 1 - _distance(a, b) / max(len(a), len(b)) >= 0.8]
+    assert len(alike) > 10 and all(own[i] & own[j] for i, j in alike)
+
+
 def test_chains_join_through_members_that_no_hub_links(spark):
     rng = np.random.default_rng(9)
     base, texts = [f"b{i}" for i in range(200)], []
