@@ -32,8 +32,9 @@ K = 5
 M = 20
 L = 4
 THRESHOLD = 0.8
-#: Slots in which words are counted to tell rare from common ones, 2 MB.
-SLOTS = 1 << 18
+#: Slots in which words are counted to tell rare from common ones, and how many counts travel in one row.
+SLOTS = 1 << 14
+PACK = 64
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -199,7 +200,8 @@ def rarest(texts: DataFrame, least: float) -> DataFrame:
     first of that share and one more can't all be foreign to the other. The order is by frequency, counted in SLOTS slots over all these texts.
     """
     ready(texts.sparkSession)
-    tally, out = T.StructType([T.StructField("slot", T.LongType()), T.StructField("n", T.LongType())]), T.StructType([T.StructField("rep", T.LongType()), T.StructField("word", T.LongType())])
+    packed = [f"n{i}" for i in range(PACK)]
+    tally, out = T.StructType([T.StructField(c, T.LongType()) for c in ("pack", *packed)]), T.StructType([T.StructField("rep", T.LongType()), T.StructField("word", T.LongType())])
     slot = lambda v: (v & np.uint64(SLOTS - 1)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,12 +209,14 @@ def rarest(texts: DataFrame, least: float) -> DataFrame:
         for _, data, limits in blocks(batches):
             _, _, h, first = words(data, limits)
             seen += np.bincount(slot(labelled(h, first)), minlength=SLOTS)
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=tally.names)
-
-    counts = texts.select("text").mapInArrow(count, tally).groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    frequency = np.zeros(SLOTS, np.int64)
-    frequency[np.asarray(counts.column("slot"))] = np.asarray(counts.column("n"))
+        rows = seen.reshape(-1, PACK)
+        some = np.flatnonzero(rows.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(rows[some, i]) for i in range(PACK)]], names=tally.names)
+
+    counts = texts.select("text").mapInArrow(count, tally).groupBy("pack").agg(*[F.sum(c).alias(c) for c in packed]).toArrow()
+    frequency = np.zeros((SLOTS // PACK, PACK), np.int64)
+    frequency[np.asarray(counts.column("pack"))] = np.stack([np.asarray(counts.column(c)) for c in packed], 1)
+    frequency = frequency.ravel()
     shared = texts.sparkSession.sparkContext.broadcast(frequency)
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
