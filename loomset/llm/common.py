@@ -19,8 +19,15 @@ BLOCK_ROWS = 2048
 WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
+#: Rows and bytes of the batches that go to Python workers, unless the session says otherwise: rows hold whole texts here.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, where the cluster was not given it by --py-files, and set their allocators."""
+    """Let Python workers import this package, where the cluster was not given it by --py-files, and bound their batches and allocators."""
+    for k, v in BATCHES.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     for k, v in WORKER_ENV.items():
