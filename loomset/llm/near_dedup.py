@@ -194,14 +194,15 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def rarest(texts: DataFrame, least: float) -> DataFrame:
-    """texts (rep, text) -> (rep, word): of each text so many of its rarest words, with occurrence numbers, that texts as similar as `least` share one.
+    """texts with `text` -> (word, and the other columns of texts): of each text so many of its rarest words, with occurrence numbers, that texts as similar as `least` share one.
 
     Similar texts have all but a share of 1 - least of the longer's words in common, so in any order of words that is the same for all texts the
     first of that share and one more can't all be foreign to the other. The order is by frequency, counted in SLOTS slots over all these texts.
     """
     ready(texts.sparkSession)
     packed = [f"n{i}" for i in range(PACK)]
-    tally, out = T.StructType([T.StructField(c, T.LongType()) for c in ("pack", *packed)]), T.StructType([T.StructField("rep", T.LongType()), T.StructField("word", T.LongType())])
+    tally, out = T.StructType([T.StructField(c, T.LongType()) for c in ("pack", *packed)]), T.StructType([T.StructField("word", T.LongType()), *[x for x in texts.schema if x.name != "text"]])
+    arrow = to_arrow_schema(out)
     slot = lambda v: (v & np.uint64(SLOTS - 1)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,9 +227,10 @@ def rarest(texts: DataFrame, least: float) -> DataFrame:
             row = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((v, shared.value[slot(v)], row))
             keep = order[np.arange(len(v)) - first[row] <= np.floor((1 - least) * n + 1e-9)[row]]
-            yield pa.RecordBatch.from_arrays([batch.column("rep").take(pa.array(row[keep])), pa.array(v[keep].view(np.int64))], names=out.names)
+            at = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(v[keep].view(np.int64)), *[batch.column(c).take(at).cast(arrow.field(c).type) for c in out.names[1:]]], schema=arrow)
 
-    return texts.select("rep", "text").mapInArrow(lead, out)
+    return texts.select("text", *out.names[1:]).mapInArrow(lead, out)
 
 
 def near_duplicates(docs: DataFrame, least: float = THRESHOLD, m: int = M, l: int = L, k: int = K) -> DataFrame:  # noqa: E741
@@ -256,7 +258,7 @@ def near_duplicates(docs: DataFrame, least: float = THRESHOLD, m: int = M, l: in
         open_ = held.join(split, "bucket")
         if whole:
             own = settle(open_.select("rep", "label").distinct().join(classes.select("rep", "n_words", "bands"), "rep"), "open")
-            lead = settle(rarest(texts.join(own.select("rep"), "rep"), least).join(own, "rep"), "rarest")
+            lead = settle(rarest(texts.join(own, "rep"), least), "rarest")
             x, y = (lead.select("word", *[F.col(c).alias(c + s) for c in ("rep", "n_words", "label", "bands")]) for s in "xy")
             more = x.join(y, (x["word"] == y["word"]) & (F.col("repx") < F.col("repy")) & (F.col("labelx") != F.col("labely")) & alike(F.col("n_wordsx"), F.col("n_wordsy")) & F.arrays_overlap("bandsx", "bandsy")).select(F.col("repx").alias("a"), F.col("repy").alias("b"))
         else:
