@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, least: float = THRESHOLD, m: int = M, l: in
         open_ = held.join(split, "bucket")
         if whole:
             own = settle(open_.select("rep", "label").distinct().join(classes.select("rep", "n_words", "bands"), "rep"), "open")
-            lead = settle(rarest(texts.join(own, "rep"), least), "rarest")
+            lead = settle(rarest(texts.join(own, "rep").repartition("rep"), least), "rarest")  # dealt evenly: each text becomes many rows
             x, y = (lead.select("word", *[F.col(c).alias(c + s) for c in ("rep", "n_words", "label", "bands")]) for s in "xy")
             more = x.join(y, (x["word"] == y["word"]) & (F.col("repx") < F.col("repy")) & (F.col("labelx") != F.col("labely")) & alike(F.col("n_wordsx"), F.col("n_wordsy")) & F.arrays_overlap("bandsx", "bandsy")).select(F.col("repx").alias("a"), F.col("repy").alias("b"))
         else:
