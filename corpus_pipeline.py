@@ -25,9 +25,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines are cut from all texts but the first; a document of which nothing but white space is left goes. n_chars follows the text."""
+    """Repeated chunks and passages of lines are cut from all texts but the first; a document of which nothing but white space is left goes. n_chars follows the text."""
     own, back = apart(docs, line_dedup.ADDED)
-    cut = line_dedup.dedup_lines(own).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    cut = line_dedup.dedup_lines(own, passages=True).filter((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return back(cut)

@@ -74,3 +74,45 @@ def test_passage_is_removed_but_first_stays(spark):
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert passage in got[0]
     assert all(got[i] == f"own {i} line\nlast {i}" for i in range(1, 5))
+
+
+def _passages_left(rows: list[tuple[int, str]], got: dict[int, str]) -> None:
+    """Each line that lies in a run of LONG words which stood earlier is gone, unless the earlier run overlaps it; some copy of every line stays."""
+    seen = {}
+    for doc_id, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        n = [len(x.split()) for x in lines]
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines)):
+                if sum(n[a : b + 1]) >= line_dedup.LONG:
+                    at = seen.setdefault(tuple(lines[a : b + 1]), (doc_id, a))
+                    if at != (doc_id, a):
+                        gone |= set(range(max(a, at[1] + b - a + 1) if at[0] == doc_id else a, b + 1))
+        left = got[doc_id].split("\n")
+        want = [x for i, x in enumerate(lines) if i not in gone]
+        rest = iter(want)
+        assert all(x in rest for x in left if x), doc_id  # nothing but what may stay
+    assert {x for _, t in rows for x in t.split("\n") if x} == {x for t in got.values() for x in t.split("\n") if x}
+
+
+def test_multi_line_passages_between_unlike_lines_go_whole(spark):
+    rng = np.random.default_rng(11)
+    rows, passages = [], []
+    for k, (n, m) in enumerate([(6, 10), (4, 15), (3, 20), (10, 10), (5, 10), (2, 25)] * 3):
+        passage = "\n".join(_line(rng, m) for _ in range(n))
+        passages.append(passage)
+        for i in range(3):
+            rows.append((10 * k + i, "\n".join([_line(rng, 7), _line(rng, 12), passage, _line(rng, 9), _line(rng, 8)])))
+    same = _line(rng, 10)
+    rows.append((5000, "\n".join([same] * 20)))
+    rows.append((5001, passages[0] + "\n" + passages[1] + "\n" + _line(rng, 5)))
+    rows.append((5002, "\n".join(passages[2].split("\n")[:2] + [_line(rng, 6)])))  # 40 words of a passage are no passage
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), passages=True).collect()}
+    for k, passage in enumerate(passages):
+        assert got[10 * k]["n_removed"] == 0
+        for i in (1, 2):
+            own = dict(rows)[10 * k + i].split("\n")
+            assert got[10 * k + i]["text"].split("\n") == own[:2] + own[-2:]
+    assert got[5000]["text"] == "\n".join([same] * 5)
+    assert got[5001]["text"] == rows[-2][1].split("\n")[-1]
+    _passages_left(rows, {i: r["text"] for i, r in got.items()})
