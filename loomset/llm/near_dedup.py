@@ -1,7 +1,8 @@
 """Near duplicates by Order MinHash and banded alignment.
 
-K-mers of five words carry their occurrence number. Each of M hash orders picks the L least k-mers of a text and keeps them in text order; two
-texts agree on it with a chance that falls with edit similarity. Texts that agree anywhere are candidates; a banded alignment over words decides:
+K-mers of three words carry their occurrence number. Each of M hash orders picks the L least k-mers of a text and keeps them in text order; two
+texts agree on it with a chance that falls with edit similarity. K, M and L suit THRESHOLD: a fifth of the words, edited one here and one there,
+leaves about a third of the k-mers in common, and 1 - (1 - J^L)^M is above 0.99 there. Texts that agree anywhere are candidates; a banded alignment over words decides:
 similar if 1 - edits / length of the longer >= THRESHOLD.
 
 Texts with the same words are one class, so copies cost nothing further. A bucket's hub is its smallest member. Members are first compared with
@@ -9,7 +10,7 @@ the smallest of their hubs; links make components; then with their hubs in other
 those members are compared that share one of their rarest words, which all similar ones do: texts that only have a common passage aren't. No link
 between different texts is lost within buckets, and pairs inside a known component aren't made.
 
-Defined cases: texts without words are alone, each its own class; texts of fewer than five words have one k-mer of all of them; A-Z are folded;
+Defined cases: texts without words are alone, each its own class; texts of fewer than three words have one k-mer of all of them; A-Z are folded;
 rows that repeat a doc_id with the same words are one; of two null doc_ids none is taken as a copy's representative; an empty table gives no rows.
 """
 
@@ -28,9 +29,9 @@ from loomset.llm.bloom import among
 from loomset.llm.common import _powers, blocks, mix, ready, settle, shingles, utf8, words
 from loomset.llm.components import components
 
-K = 5
-M = 20
-L = 4
+K = 3
+M = 48
+L = 2
 THRESHOLD = 0.8
 #: Slots in which words are counted to tell rare from common ones, and how many counts travel in one row.
 SLOTS = 1 << 14

@@ -108,6 +108,22 @@ def test_chains_join_through_members_that_no_hub_links(spark):
     assert got == {0}
 
 
+def test_scattered_edits_are_found_down_to_the_threshold(spark):
+    rng, rows, want = np.random.default_rng(12), [], {0.8: [], 0.85: [], 0.9: []}
+    for least, pairs in want.items():
+        for _ in range(100):
+            a = [f"u{x}" for x in rng.integers(0, 10**9, int(rng.integers(60, 300)))]
+            b = list(a)
+            for i in rng.choice(len(a), int((1 - least) * len(a) + 1e-9), False):
+                b[i] = f"v{rng.integers(10**9)}"
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    found = {least: sum(got[a] == got[b] for a, b in pairs) for least, pairs in want.items()}
+    assert found[0.8] >= 97 and found[0.85] >= 99 and found[0.9] == 100, found
+    assert all(got[a] in (a, a - 1) for a in got)
+
+
 def test_pipeline_stages(spark, tmp_path):
     texts = _corpus(np.random.default_rng(4))
     passage = " ".join(f"bad{chr(97 + i % 10)}{chr(97 + i // 10)}" for i in range(60))
