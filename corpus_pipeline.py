@@ -13,15 +13,20 @@ from loomset.llm import decontaminate, lang_id, line_dedup, mix_sources, near_de
 from loomset.llm.common import settle
 from loomset.llm.names import apart
 
-#: A text goes if its best cosine isn't above this: it looks like no language learned. Clean prose, even of a few words, is far above.
-LEAST_COSINE = 0.0
+#: A text goes if its best cosine isn't above a bound: it looks like no language learned. The bound rises from 0 at FEW trigrams, so that texts of a
+#: few words stay, to LEAST_COSINE at MANY. Calibrated on sf0.01: letters at random, in any script, reach 0.14 at most, documents of more than FEW
+#: trigrams 0.227 at least.
+LEAST_COSINE = 0.16
+FEW, MANY = 24, 84
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or unlike every language learned from docs, go."""
     own, back = apart(docs, ("lang_pred", "score", "margin"))
     seen = lang_id.identify(own, lang_id.learn(docs))
-    return back(seen.filter((F.col("lang_pred") != "und") & (F.col("score") > LEAST_COSINE)))
+    trigrams = F.length(F.regexp_replace("text", r"\P{L}", ""))  # one with each letter in its middle
+    bound = F.greatest(F.lit(0.0), LEAST_COSINE * (trigrams - FEW) / (MANY - FEW))
+    return back(seen.filter((F.col("lang_pred") != "und") & ((F.col("score") > LEAST_COSINE) | (F.col("score") > bound))))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

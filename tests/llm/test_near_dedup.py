@@ -153,3 +153,17 @@ def test_pipeline_stages(spark, tmp_path):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_language_stage_rejects_letters_of_no_language(spark):
+    rng = np.random.default_rng(13)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").filter("doc_id >= 0")
+    scripts = ["abcdefghijklmnopqrstuvwxyz", "bcdfghjklmnpqrstvwxz", *("".join(map(chr, range(a, b))) for a, b in ((0x430, 0x450), (0x4E00, 0x4F00), (0x3B1, 0x3C9)))]
+    junk = [" ".join("".join(rng.choice(list(s), int(rng.integers(2, 9)))) for _ in range(n)) for s in scripts for n in (60, 200) for _ in range(15)]
+    clean = [r["text"].split() for r in docs.filter("lang IS NOT NULL AND length(text) > 400").orderBy("doc_id").limit(60).collect()]
+    short = [" ".join(w[:4]) for w in clean]
+    more = [(-1 - i, x, None) for i, x in enumerate(junk)] + [(-1000 - i, x, None) for i, x in enumerate(short)]
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string")), "").collect()}
+    assert not kept & {-1 - i for i in range(len(junk))}
+    assert len(kept & {-1000 - i for i in range(len(short))}) == len(short)
+    assert docs.filter("length(text) > 400 AND lang IS NOT NULL").select("doc_id").distinct().count() == len({i for i in kept if i >= 0} & {r["doc_id"] for r in docs.filter("length(text) > 400 AND lang IS NOT NULL").collect()})
