@@ -72,6 +72,13 @@ def hadamard_rotate(spark, d: str) -> DataFrame:
     return _rows(spark, d).filter("vec_id < 100").select("vec_id", F.posexplode(tensors.rotate(F.col("values"), 64)).alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
+@query("hadamard_rotate_all", """WITH h AS (SELECT i, j, CASE WHEN (SELECT count(*) FROM range(0, 3) AS d(k) WHERE ((i >> (2 * k)) & 3) + ((j >> (2 * k)) & 3) = 3) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM range(0, 64) AS a(i), range(0, 64) AS b(j))
+SELECT vec_id, h.i::INTEGER AS place, round(sum(v.x::DOUBLE * h.s) * 0.125, 6) AS value FROM (SELECT vec_id, unnest(embedding::FLOAT[]) AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings) v JOIN h ON h.j = v.j GROUP BY vec_id, h.i""")
+def hadamard_rotate_all(spark, d: str) -> DataFrame:
+    """All vectors, each of the 64 values checked one by one."""
+    return _rows(spark, d).select("vec_id", F.posexplode(tensors.rotate(F.col("values"), 64)).alias("place", "value")).withColumn("value", F.round("value", 6))
+
+
 @query("hadamard_twice", "SELECT vec_id, true AS same FROM embeddings")
 def hadamard_twice(spark, d: str) -> DataFrame:
     """Rotating twice gives the vector back: all rows."""
