@@ -21,7 +21,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges, moves = _edges(links), []
     placed = lambda c: F.struct(F.xxhash64(c), F.col(c).alias("id"))
-    while not moves or edges.limit(1).count():
+    while edges.limit(1).count():
         both = edges.union(edges.select("b", "a"))
         near = settle(both.groupBy("a").agg(F.min(placed("b")).alias("near")).select(F.col("a").alias("node"), F.least("near", placed("a"))["id"].alias("to")), "moves")
         further = near.select(F.col("node").alias("to"), F.col("to").alias("further"))
@@ -29,6 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         moves.append(moved)
         ends = [moved.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in ("a", "b")]
         edges = _edges(edges.join(ends[0], "a").join(ends[1], "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")))
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
     found = moves.pop()
     while moves:
         last = found.select(F.col("node").alias("to"), F.col("to").alias("last"))

@@ -6,12 +6,13 @@ leaves about a third of the k-mers in common, and 1 - (1 - J^L)^M is above 0.99
 similar if 1 - edits / length of the longer >= THRESHOLD.
 
 Texts with the same words are one class, so copies cost nothing further. A bucket's hub is its smallest member. Members are first compared with
-the smallest of their hubs; links make components; then with their hubs in other components. In buckets that still hold several components,
-those members are compared that share one of their rarest words, which all similar ones do: texts that only have a common passage aren't. No link
-between different texts is lost within buckets, and pairs inside a known component aren't made.
+the smallest of their hubs that may be similar; links make components. In buckets that still hold several components, members are then compared
+that share a rare gram of one or two words at about the same place, which all similar texts do: texts that only have a common passage aren't. Pairs
+inside a known component aren't made, nor those that lengths or parities of word counts rule out. No link that joins components is lost within buckets.
 
 Defined cases: texts without words are alone, each its own class; texts of fewer than three words have one k-mer of all of them; A-Z are folded;
-rows that repeat a doc_id with the same words are one; of two null doc_ids none is taken as a copy's representative; an empty table gives no rows.
+rows that repeat a doc_id with the same words are one document, and share its mark; rows that repeat a doc_id with other words are other documents;
+null doc_ids come after all others: a group of them alone has a null class_id, and the text with the least digest is kept; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -33,10 +34,17 @@ K = 3
 M = 48
 L = 2
 THRESHOLD = 0.8
-#: Slots in which words are counted to tell rare from common ones, and how many counts travel in one row.
-SLOTS = 1 << 14
+#: Slots for the parities of word counts, at least, and of a long text for each word.
+BITS = 512
+SPREAD = 8
+#: Cells of bands that are aligned together.
+CELLS = 1 << 18
+#: Slots in which grams are counted to tell rare from common ones, how many counts travel in one row, and how many grams of a text.
+SLOTS = 1 << 16
 PACK = 64
+GRAMS = 32
 _TOP = np.uint64(2**64 - 1)
+_UPPER = np.uint64(0xFFFFFFFF00000000)
 
 
 def labelled(value: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -53,23 +61,26 @@ def labelled(value: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketch(value: np.ndarray, first: np.ndarray, m: int = M, l: int = L) -> np.ndarray:  # noqa: E741
-    """Rows x M: for each hash order a digest of the L least labelled k-mers, in text order. Rows without k-mers: zeros."""
+    """Rows x M: for each hash order a digest of the L least labelled k-mers, in text order. Rows without k-mers: zeros.
+
+    A hash order is that of the upper halves of products with an odd number; the lower halves hold the places, so that minima bring them along.
+    """
     n = len(first) - 1
     out = np.zeros((n, m), np.int64)
     full = np.flatnonzero(np.diff(first) > 0)
     if not len(full):
         return out
-    kmers, begin, counts = labelled(value, first), first[full], np.diff(first)[full]
-    row = np.repeat(np.arange(len(full)), counts)
+    kmers, begin = labelled(value, first), first[full]
+    place, odd = np.arange(len(kmers), dtype=np.uint64), mix(np.arange(m, dtype=np.uint64), 100) | np.uint64(1)
     for j in range(m):
-        order = mix(kmers, 100 + j)
-        picked = np.full((len(full), l), len(kmers))
+        order = kmers * odd[j]
+        order &= _UPPER
+        order |= place
+        picked = np.empty((len(full), l), np.int64)
         for t in range(l):
             least = np.minimum.reduceat(order, begin)
-            at = np.flatnonzero(order == least[row])
-            some = order[at] != _TOP
-            picked[row[at[some]], t] = at[some]
-            order[at] = _TOP
+            picked[:, t] = np.where(least == _TOP, len(kmers), least & ~_UPPER)
+            order[picked[least != _TOP, t]] = _TOP
         picked.sort(axis=1)
         chosen = np.where(picked < len(kmers), kmers[np.minimum(picked, len(kmers) - 1)], np.uint64(0))
         digest = np.full(len(full), j + 1, np.uint64)
@@ -79,208 +90,406 @@ def sketch(value: np.ndarray, first: np.ndarray, m: int = M, l: int = L) -> np.n
     return out
 
 
+def parities(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parity of the number of labelled words in each of a power of two of slots, at least BITS and SPREAD for each word: flat, and the index of each row's first 64.
+
+    An edit changes two of them at most. Slots are numbered so that the halves of a row's put upon each other are its parities in half as many.
+    """
+    n, count = len(first) - 1, np.diff(first)
+    size = BITS // 64 << np.maximum(0, np.ceil(np.log2(np.maximum(1, count) * SPREAD / BITS))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    row = np.repeat(np.arange(n), count)
+    slot = begin[row] * 64 + (word & (size[row] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(slot, minlength=begin[-1] * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64), begin
+
+
+def narrowed(parity: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Rows x BITS / 64: each row's parities put upon each other down to BITS slots."""
+    least = BITS // 64
+    out = np.zeros((len(begin) - 1, least), np.int64)
+    row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    np.bitwise_xor.at(out, (row, (np.arange(len(parity)) - begin[row]) % least), parity)
+    return out
+
+
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
-    """Edit distance of two word sequences, or most + 1 if it's larger.
+    """Edit distance of two word sequences, or most + 1 if it's larger."""
+    return int(all_edits([a], [b], np.array([most]))[0])
 
-    The band of diagonals within `most` of the main one holds the path. For each number of edits, all diagonals of the band move together: each
-    keeps how far along a its best alignment comes, and runs of equal words are passed in one go by halving over prefix hashes.
+
+def all_edits(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Edit distances of pairs of word sequences, or most + 1 where they're larger.
+
+    The band of diagonals within `most` of the main one holds the path. For each number of edits, all diagonals of the bands of all pairs move
+    together: each keeps how far along a its best alignment comes, and runs of equal words are passed in one go by halving over prefix hashes.
     """
-    n, m = len(a), len(b)
-    if abs(n - m) > most:
-        return most + 1
-    if not n or not m:
-        return max(n, m)
-    power, inverse = _powers(max(n, m))
-    pa_, pb_ = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[: len(x)])]) for x in (a, b))
-
-    def run(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Lengths of the equal runs from a[x] and b[y]."""
-        length = np.zeros(len(x), np.int64)
-        some = np.flatnonzero((x < n) & (y < m))
-        some = some[a[x[some]] == b[y[some]]]
-        if len(some):
-            u, v = x[some], y[some]
-            low, high = np.ones(len(some), np.int64), np.minimum(n - u, m - v)
-            while (low < high).any():
-                mid = (low + high + 1) >> 1
-                same = (pa_[u + mid] - pa_[u]) * inverse[u] == (pb_[v + mid] - pb_[v]) * inverse[v]
-                low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-            length[some] = low
-        return length
-
-    goal, never = m - n, -(1 << 40)
-    far = np.full(2 * most + 3, never)  # cell d stands for the diagonal b's place - a's place = d - most - 1
-    far[most + 1] = run(np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
-    for e in range(most + 1):
-        if far[goal + most + 1] >= n:
-            return e
-        if e == most:
-            break
+    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    out = most + 1
+    out[(n == 0) | (m == 0)] = np.minimum(np.maximum(n, m), most + 1)[(n == 0) | (m == 0)]
+    todo = np.flatnonzero((n > 0) & (m > 0) & (abs(n - m) <= most))
+    todo = todo[np.argsort(most[todo], kind="stable")]
+    while len(todo):  # pairs of like bands together, in bounded space
+        size = max(1, int(np.searchsorted(np.arange(1, len(todo) + 1) * (2 * most[todo] + 3), CELLS, "right")))
+        out[todo[:size]] = _banded([a[i] for i in todo[:size]], [b[i] for i in todo[:size]], most[todo[:size]])
+        todo = todo[size:]
+    return out
+
+
+def _banded(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    at_a, at_b = np.cumsum(n) - n, np.cumsum(m) - m
+    wa, wb = np.concatenate(a), np.concatenate(b)
+    power, inverse = _powers(max(len(wa), len(wb)))
+    sa, sb = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * power[: len(x)])]) for x in (wa, wb))
+
+    def run(u: np.ndarray, v: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Lengths of the equal runs from wa[u] and wb[v], which are equal, within room."""
+        low, high = np.ones(len(u), np.int64), room
+        while (low < high).any():
+            mid = (low + high + 1) >> 1
+            same = (sa[u + mid] - sa[u]) * inverse[u] == (sb[v + mid] - sb[v]) * inverse[v]
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        return low
+
+    def passed(x: np.ndarray, k: np.ndarray, ok: np.ndarray) -> None:
+        """Moves the places x on diagonals k over the equal words that follow, where ok."""
+        p, d = np.nonzero(ok & (x < n[:, None]) & (x + k < m[:, None]))
+        u, v = at_a[p] + x[p, d], at_b[p] + x[p, d] + k[d]
+        same = wa[u] == wb[v]
+        p, d, u, v = p[same], d[same], u[same], v[same]
+        if len(p):
+            x[p, d] += run(u, v, np.minimum(at_a[p] + n[p] - u, at_b[p] + m[p] - v))
+
+    out, own, widest, never = most + 1, np.arange(len(n)), int(most.max()), -(1 << 40)
+    far = np.full((len(n), 2 * widest + 3), never)  # cell d stands for the diagonal b's place - a's place = d - widest - 1
+    start = np.zeros((len(n), 1), np.int64)
+    passed(start, np.zeros(1, np.int64), np.ones((len(n), 1), bool))
+    far[:, widest + 1] = start[:, 0]
+    for e in range(widest + 1):
+        done = far[np.arange(len(n)), m - n + widest + 1] >= n
+        out[own[done]] = e
+        go = ~done & (most > e)
+        if not go.all():
+            own, n, m, at_a, at_b, most, far = (x[go] for x in (own, n, m, at_a, at_b, most, far))
+            if not len(own):
+                break
         left = most - e - 1  # edits that remain after this one: diagonals further from the goal are given up
-        low, high = max(-e - 1, goal - left), min(e + 1, goal + left)
+        low, high = max(-e - 1, int((m - n - left).min())), min(e + 1, int((m - n + left).max()))
         if low > high:
             break
         k = np.arange(low, high + 1)
-        at = k + most + 1
-        x = np.maximum(np.maximum(far[at] + 1, far[at + 1] + 1), far[at - 1])
-        x = np.minimum(np.minimum(x, n), m - k)
-        ok = (x >= 0) & (x + k >= 0)
-        place = np.flatnonzero(ok)
-        x[place] += run(x[place], x[place] + k[place])
-        fresh = np.full_like(far, never)
-        fresh[at] = np.where(ok, x, never)
-        far = fresh
-    return most + 1
-
-
-def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """1 - edits / longer, or 0 if that's under `least`."""
-    longer = max(len(a), len(b))
-    most = int(np.floor((1 - least) * longer + 1e-9))
-    if abs(len(a) - len(b)) > most:
-        return 0.0
-    # words in common bound the distance from below
-    va, ca = np.unique(a, return_counts=True)
-    vb, cb = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-    if longer - np.minimum(ca[i], cb[j]).sum() > most:
-        return 0.0
-    d = edits(a, b, most)
-    return 1 - d / longer if d <= most else 0.0
-
-
-SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+        at = slice(low + widest + 1, high + widest + 2)
+        x = np.maximum(np.maximum(far[:, at] + 1, far[:, at.start + 1 : at.stop + 1] + 1), far[:, at.start - 1 : at.stop - 1])
+        x = np.minimum(np.minimum(x, n[:, None]), m[:, None] - k)
+        ok = (x >= 0) & (x + k >= 0) & (abs(k - (m - n)[:, None]) <= left[:, None])
+        passed(x, k, ok)
+        far[:] = never
+        far[:, at] = np.where(ok, x, never)
+    return out
+
+
+def similar(a: list[np.ndarray], b: list[np.ndarray], least: float) -> np.ndarray:
+    """Whether 1 - edits / longer is at least `least`, for pairs of word sequences."""
+    bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bag(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if id(x) not in bags:
+            bags[id(x)] = np.unique(x, return_counts=True)
+        return bags[id(x)]
+
+    longer = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    most, maybe = np.floor((1 - least) * longer + 1e-9).astype(np.int64), np.zeros(len(a), bool)
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        if abs(len(x) - len(y)) <= most[i]:  # words in common bound the distance from below
+            (va, ca), (vb, cb) = bag(x), bag(y)
+            at = np.minimum(np.searchsorted(vb, va), max(0, len(vb) - 1))
+            maybe[i] = longer[i] - (np.minimum(ca, cb[at])[vb[at] == va].sum() if len(vb) else 0) <= most[i]
+    rows = np.flatnonzero(maybe)
+    maybe[rows] = all_edits([a[i] for i in rows], [b[i] for i in rows], most[rows]) <= most[rows]
+    return maybe
+
+
+DIGESTS = [T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType())]
+SKETCH = [*DIGESTS, T.StructField("n_words", T.LongType()), T.StructField("parity", T.ArrayType(T.LongType())), T.StructField("parities", T.ArrayType(T.LongType())), T.StructField("bands", T.ArrayType(T.LongType()))]
+
+
+def _digests(h: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """Two digests of each row's words."""
+    count = np.diff(first)
+    place, out = (np.arange(len(h)) - np.repeat(first[:-1], count)).astype(np.uint64), []
+    for seed in (41, 42):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(mix(h, seed) + place * np.uint64(0x9E3779B97F4A7C15), seed + 2))])
+        out.append(pa.array(mix(total[first[1:]] - total[first[:-1]] + count.astype(np.uint64), seed).view(np.int64)))
+    return out
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
 
 
 def sketches(docs: DataFrame, m: int = M, l: int = L, k: int = K) -> DataFrame:  # noqa: E741
-    """(doc_id, d1 and d2: a digest of the words, n_words, bands)."""
+    """(doc_id, d1 and d2: digests of the words, n_words, parities, and parity: these narrowed to BITS, bands)."""
     ready(docs.sparkSession)
-    arrow = to_arrow_schema(SKETCH)
+    schema = T.StructType([docs.schema["doc_id"], *SKETCH])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, limits in blocks(batches):
             _, _, h, first = words(data, limits)
-            n, count = len(limits) - 1, np.diff(first)
-            place = (np.arange(len(h)) - np.repeat(first[:-1], count)).astype(np.uint64)
-            digests = []
-            for seed in (41, 42):
-                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(mix(h, seed) + place * np.uint64(0x9E3779B97F4A7C15), seed + 2))])
-                digests.append(mix(total[first[1:]] - total[first[:-1]] + count.astype(np.uint64), seed).view(np.int64))
-            value, begin = shingles(h, first, k)
-            bands = sketch(value, begin, m, l)
-            lists = pa.ListArray.from_arrays(pa.array((np.arange(n + 1) * m).astype(np.int32)), pa.array(bands.ravel())).cast(arrow.field("bands").type)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests[0]), pa.array(digests[1]), pa.array(count.astype(np.int64)), lists], schema=arrow)
+            bands = sketch(*shingles(h, first, k), m, l)
+            odd, begin = parities(labelled(h, first), first)
+            lists = [_lists(narrowed(odd, begin)), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(odd)), _lists(bands)]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([batch.column("doc_id"), *_digests(h, first), pa.array(np.diff(first)), *lists], arrow, strict=True)], schema=arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def digested(docs: DataFrame, names: tuple[str, str] = ("d1", "d2")) -> DataFrame:
+    """docs with the digests of the words of text, in columns of these names."""
+    ready(docs.sparkSession)
+    schema = T.StructType([*docs.schema, *[T.StructField(c, T.LongType()) for c in names]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, limits in blocks(batches):
+            _, _, h, first = words(data, limits)
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip([*batch.columns, *_digests(h, first)], arrow, strict=True)], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """pairs (a, b) whose texts are similar, with similarity. texts: (rep, text)."""
-    out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("similarity", T.DoubleType())])
+    """pairs (a, b) whose texts are similar. texts: (cls, text)."""
+    out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def own(column: pa.Array) -> list[np.ndarray]:
-            _, _, h, first = words(*utf8(column))
-            return [h[first[i] : first[i + 1]] for i in range(len(first) - 1)]
+        def own(node: pa.Array, text: pa.Array) -> list[np.ndarray]:
+            """Each row's words; a text that stands in several rows is split once."""
+            _, lead, at = np.unique(np.asarray(node), return_index=True, return_inverse=True)
+            _, _, h, first = words(*utf8(text.take(pa.array(lead))))
+            each = [h[first[i] : first[i + 1]] for i in range(len(lead))]
+            return [each[i] for i in at]
 
         for whole in batches:
-            for i in range(0, len(whole), 64):
-                batch = whole.slice(i, 64)
-                s = np.array([similarity(x, y, least) for x, y in zip(own(batch.column("ta")), own(batch.column("tb")), strict=True)])
-                keep = np.flatnonzero(s > 0)
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(s[keep], pa.float64())], names=out.names)
+            for i in range(0, len(whole), 256):
+                batch = whole.slice(i, 256)
+                keep = pa.array(np.flatnonzero(similar(own(batch.column("a"), batch.column("ta")), own(batch.column("b"), batch.column("tb")), least)))
+                yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=out.names)
 
-    joined = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
+    joined = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(align, out)
 
 
-def rarest(texts: DataFrame, least: float) -> DataFrame:
-    """texts with `text` -> (word, and the other columns of texts): of each text so many of its rarest words, with occurrence numbers, that texts as similar as `least` share one.
-
-    Similar texts have all but a share of 1 - least of the longer's words in common, so in any order of words that is the same for all texts the
-    first of that share and one more can't all be foreign to the other. The order is by frequency, counted in SLOTS slots over all these texts.
+def _grams(h: np.ndarray, first: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the q-grams of words within rows, the row and the place of each."""
+    n = np.diff(first)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(h)) - first[row]
+    keep = place + q <= n[row]
+    value = mix(h, 50 + q)
+    for j in range(1, q):
+        value[:-j] = mix(value[:-j] * np.uint64(0x9E3779B97F4A7C15) + h[j:], 50 + q)
+    return value[keep], row[keep], place[keep]
+
+
+def _leading(value: np.ndarray, row: np.ndarray, place: np.ndarray, frequency: np.ndarray, spoilt: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each row its rarest grams until those before them are more than it may lose: row, gram, first and last place, frequency."""
+    times = frequency[(value & np.uint64(SLOTS - 1)).astype(np.int64)]
+    order = np.lexsort((value, times, row))
+    v, r, t, p = value[order], row[order], times[order], place[order]
+    new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (r[1:] != r[:-1])]) if len(v) else np.zeros(0, np.int64)
+    low, high = (np.minimum.reduceat(p, new), np.maximum.reduceat(p, new)) if len(new) else (new, new)
+    v, r, t = v[new], r[new], t[new]
+    keep = new - new[np.searchsorted(r, r)] <= spoilt[r] if len(new) else np.zeros(0, bool)
+    return r[keep], v[keep], low[keep], high[keep], t[keep]
+
+
+def rare_grams(texts: DataFrame, least: float) -> DataFrame:
+    """texts with `text` -> its other columns, q, and up to GRAMS rare grams of q words (1 or 2) in a row: gram, with its first (low) and last (high) place.
+
+    An edit spoils at most q of a text's q-grams, so of similar texts at most a share of 1 - least of the words, times q, is without a counterpart
+    at about the same place in the other. In any order of grams that is the same for all texts, the first of the others stands among the first so many and
+    one, in both. The order is by frequency, counted in SLOTS slots over all these texts, so common passages come last. A text uses two words where the leading ones aren't
+    much more frequent than all are or than its leading single words; a pair of texts meets by the lesser of their q.
     """
     ready(texts.sparkSession)
+    rest = [x for x in texts.schema if x.name != "text"]
     packed = [f"n{i}" for i in range(PACK)]
-    tally, out = T.StructType([T.StructField(c, T.LongType()) for c in ("pack", *packed)]), T.StructType([T.StructField("word", T.LongType()), *[x for x in texts.schema if x.name != "text"]])
+    long = lambda c: T.StructField(c, T.ArrayType(T.LongType()))
+    tally, out = T.StructType([T.StructField(c, T.LongType()) for c in ("pack", *packed)]), T.StructType([*rest, T.StructField("most_q", T.LongType()), T.StructField("q", T.LongType()), long("gram"), long("low"), long("high")])
     arrow = to_arrow_schema(out)
-    slot = lambda v: (v & np.uint64(SLOTS - 1)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.int64)
+        seen = np.zeros(2 * SLOTS, np.int64)
         for _, data, limits in blocks(batches):
             _, _, h, first = words(data, limits)
-            seen += np.bincount(slot(labelled(h, first)), minlength=SLOTS)
+            for q in (1, 2):
+                v, row, _ = _grams(h, first, q)
+                seen[(q - 1) * SLOTS : q * SLOTS] += np.bincount((v & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         rows = seen.reshape(-1, PACK)
         some = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(rows[some, i]) for i in range(PACK)]], names=tally.names)
 
     counts = texts.select("text").mapInArrow(count, tally).groupBy("pack").agg(*[F.sum(c).alias(c) for c in packed]).toArrow()
-    frequency = np.zeros((SLOTS // PACK, PACK), np.int64)
+    frequency = np.zeros((2 * SLOTS // PACK, PACK), np.int64)
     frequency[np.asarray(counts.column("pack"))] = np.stack([np.asarray(counts.column(c)) for c in packed], 1)
-    frequency = frequency.ravel()
-    shared = texts.sparkSession.sparkContext.broadcast(frequency)
+    shared = texts.sparkSession.sparkContext.broadcast(frequency.reshape(2, SLOTS))
+
+    load = 4 * shared.value[1].mean()
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, limits in blocks(batches):
             _, _, h, first = words(data, limits)
-            v, n = labelled(h, first), np.diff(first)
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((v, shared.value[slot(v)], row))
-            keep = order[np.arange(len(v)) - first[row] <= np.floor((1 - least) * n + 1e-9)[row]]
-            at = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(v[keep].view(np.int64)), *[batch.column(c).take(at).cast(arrow.field(c).type) for c in out.names[1:]]], schema=arrow)
+            n = np.diff(first)
+            parts, worst = [], np.zeros((2, len(n)), np.int64)
+            for q in (1, 2):
+                parts.append(_leading(*_grams(h, first, q), shared.value[q - 1], np.floor((1 - least) * q * n + 1e-9)))
+                np.maximum.at(worst[q - 1], parts[-1][0], parts[-1][4])
+            most_q = np.where((worst[1] <= np.maximum(worst[0], load)) & (n - 1 > np.floor((1 - least) * 2 * n + 1e-9)), 2, 1)
+            for q, (r, v, low, high, _) in zip((1, 2), parts, strict=True):
+                some = q <= most_q[r]
+                r, v, low, high = r[some], v[some], low[some], high[some]
+                begin = np.searchsorted(r, r)  # each text's first
+                cut = np.flatnonzero((np.arange(len(r)) - begin) % GRAMS == 0)
+                offsets, own = pa.array(np.append(cut, len(r)).astype(np.int32)), r[cut]
+                at = pa.array(own)
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)).cast(arrow.field("gram").type) for x in (v.view(np.int64), low, high)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name).take(at).cast(arrow.field(f.name).type) for f in rest], pa.array(most_q[own]), pa.array(np.full(len(own), q)), *lists], schema=arrow)
+
+    return texts.select("text", *[f.name for f in rest]).mapInArrow(lead, out)
+
+
+def _differing(px: str, py: str) -> Column:
+    return sum((F.bit_count(F.col(px)[i].bitwiseXOR(F.col(py)[i])) for i in range(BITS // 64)), F.lit(0))
+
 
-    return texts.select("text", *out.names[1:]).mapInArrow(lead, out)
+def _differing_whole(px: str, py: str) -> Column:
+    """As _differing, of parities in more slots; those in twice as many are put upon each other first."""
+    few = F.least(F.size(px), F.size(py))
+    fold = lambda p: F.when(F.size(p) > few, F.zip_with(F.slice(p, F.lit(1), few), F.slice(p, few + 1, few), lambda a, b: a.bitwiseXOR(b))).otherwise(F.col(p))
+    return F.aggregate(F.zip_with(fold(px), fold(py), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+
+
+def _reach(nx: str, ny: str, least: float) -> Column:
+    """Edits that similar texts of nx and ny words have at most."""
+    return F.floor((1 - least) * F.greatest(nx, ny) + 1e-9)
+
+
+def _possible(nx: str, ny: str, px: str, py: str, least: float) -> Column:
+    """Whether texts of nx and ny words with parities px and py may be similar: an edit changes two parities, or one and the length."""
+    return (F.abs(F.col(nx) - F.col(ny)) <= _reach(nx, ny, least)) & (_differing(px, py) <= 2 * _reach(nx, ny, least) - F.abs(F.col(nx) - F.col(ny)))
+
+
+def _by_hubs(classes: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of members and hubs that may be similar; for each member (key) those with more buckets in common rank first."""
+    alike = members.filter((F.col("cls") != F.col("hub")) & (F.abs(F.col("n_words") - F.col("hub_words")) <= _reach("n_words", "hub_words", least)))
+    met = alike.groupBy(F.col("hub").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("n"))
+    own = lambda c: classes.select(F.col("cls").alias(c), F.col("n_words").alias(f"n_words_{c}"), F.col("parity").alias(f"parity_{c}"))
+    may = met.join(own("a"), "a").join(own("b"), "b").filter(_possible("n_words_a", "n_words_b", "parity_a", "parity_b", least))
+    return settle(may.select("a", "b", F.struct("b").alias("key"), (-F.col("n")).alias("rank")), "pairs")
+
+
+def _by_grams(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different labels that have a rare gram in common and may be similar; of a text with a label (key) those whose words differ least rank first.
+
+    open_: (cls, label, n_words, parity, parities). Texts meet labels at a gram, and only texts that meet a label meet its members, so what many texts of a
+    label have in common counts once. Of a gram's labels the commonest is only met by the others.
+    """
+    rows = settle(rare_grams(texts.join(open_.drop("parities"), "cls").repartition("cls"), least), "rare")
+    own = ("cls", "label", "n_words", "parity", "most_q", "q")
+    # rows hold few grams each, so dealing them out again evens what long and short texts make
+    each = settle(rows.repartition(F.hash("cls", "gram")).select(*own, F.explode(F.arrays_zip("gram", "low", "high")).alias("g")).select(*own, "g.*"), "grams")
+    per = each.groupBy("gram", "label").agg(F.count("*").alias("n"), F.min("n_words").alias("least_n"), F.max("n_words").alias("most_n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("most_q").alias("most_q"), F.first("q").alias("q"), F.first("parity").alias("parity"))
+    per = settle(per, "labels")
+    shared = settle(per.groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.min("most_q").alias("most_q"), F.first("q").alias("q")).filter("labels > 1 AND q = most_q").select("gram", "main"), "shared")
+    x = each.join(shared, "gram").filter("label <> main").withColumnsRenamed({"label": "label_x"})
+    y = per.withColumnsRenamed({c: f"{c}_y" for c in per.columns})
+    reach = F.floor((1 - least) * F.greatest("n_words", "most_n_y") + 1e-9)
+    meet = (F.col("gram") == F.col("gram_y")) & (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main")) | (F.col("label_x") < F.col("label_y"))) & (F.col("q") == F.least("most_q", "most_q_y"))
+    meet = meet & (F.col("low") - reach <= F.col("high_y")) & (F.col("low_y") - reach <= F.col("high")) & (F.col("n_words") >= F.ceil(least * F.col("least_n_y") - 1e-9)) & (F.col("most_n_y") >= F.ceil(least * F.col("n_words") - 1e-9))
+    meet = meet & ((F.col("n_y") > 1) | (_differing("parity", "parity_y") <= 2 * reach))
+    met = settle(x.join(y, meet).select("cls", F.col("label_y").alias("label")).distinct(), "met")
+    met = met.join(open_.select("cls", "n_words", "parity", "parities"), "cls")
+    whole = open_.select(*[F.col(c).alias(f"{c}_y") for c in ("cls", "label", "n_words", "parity", "parities")])
+    differing = _differing_whole("parities", "parities_y")
+    pairs = met.join(whole, (F.col("label") == F.col("label_y")) & _possible("n_words", "n_words_y", "parity", "parity_y", least) & (differing <= 2 * _reach("n_words", "n_words_y", least) - F.abs(F.col("n_words") - F.col("n_words_y"))))
+    return settle(pairs.select(F.col("cls").alias("a"), F.col("cls_y").alias("b"), F.struct("cls", "label").alias("key"), differing.alias("rank")), "pairs")
+
+
+def _contracted(pairs: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """labels (cls, label) after the pairs (a, b, key, rank) that are similar join components: first of each key the pair of the least rank, then the others that are still apart."""
+    for ahead in (True, False):
+        ends = [labels.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b")]
+        apart = pairs.join(ends[0], "a").join(ends[1], "b").filter("label_a <> label_b")
+        if ahead:
+            apart = apart.groupBy("key").agg(F.min_by(F.struct("a", "b", "label_a", "label_b"), F.struct("rank", "a", "b")).alias("p")).select("p.*")
+        apart = settle(apart.select("a", "b", "label_a", "label_b"), "apart")
+        if not apart.limit(1).count():
+            break
+        similar = verify(apart.select("a", "b"), texts, least)
+        links = settle(similar.join(apart, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "links")
+        further = components(links).select(F.col("node").alias("label"), F.col("label").alias("further"))
+        labels = settle(labels.join(further, "label", "left").select("cls", F.coalesce("further", "label").alias("label")), "labels")
+    return labels
 
 
 def near_duplicates(docs: DataFrame, least: float = THRESHOLD, m: int = M, l: int = L, k: int = K) -> DataFrame:  # noqa: E741
-    """(doc_id, class_id: smallest doc_id of its group, class_size in documents, n_links: similar texts found, kept)."""
+    """(doc_id, d1 and d2: digests of the words, n_words, class_id: smallest doc_id of its group, class_size in rows, kept)."""
+    docs = docs.select("doc_id", "text")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
     sketched = settle(sketches(docs, m, l, k), "sketches")
-    classes = settle(sketched.filter("n_words > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "classes")
-    placed = classes.select("rep", "n_words", F.posexplode("bands").alias("band", "value"))
-    hubs = placed.groupBy("band", "value").agg(F.min("rep").alias("hub"), F.count("*").alias("n"), F.min(F.struct("rep", "n_words"))["n_words"].alias("hub_words")).filter("n > 1")
-    hubs = settle(hubs.select(F.xxhash64("band", "value").alias("bucket"), "hub", "hub_words"), "hubs")
+    # a class is all rows of the same words; its number is written down with it, so it stays
+    classes = sketched.filter("n_words > 0").groupBy("d1", "d2").agg(F.min(order).alias("at"), *[F.first(c).alias(c) for c in ("n_words", "parity", "parities", "bands")])
+    classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    placed = classes.select("cls", "n_words", F.explode("bands").alias("bucket"))
+    hubs = settle(placed.groupBy("bucket").agg(F.min(F.struct(F.col("cls").alias("hub"), F.col("n_words").alias("hub_words"))).alias("hub"), F.max("cls").alias("last")).filter("hub.hub < last").select("bucket", "hub.*"), "hubs")
     maybe = among(hubs, "bucket")
-    members = settle(placed.select(F.xxhash64("band", "value").alias("bucket"), "rep", "n_words").filter(maybe("bucket")).join(hubs, "bucket"), "members")
-    wanted = among(members.select("rep").distinct(), "rep")
-    # of rows that share a representative's id and words, one text is enough
-    texts = settle(docs.select(F.col("doc_id").alias("rep"), "text").filter(wanted("rep")).groupBy("rep").agg(F.min("text").alias("text")), "texts")
-    alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (least - 1e-9)
-    star = lambda m: m.filter((F.col("rep") != F.col("hub")) & alike(F.col("n_words"), F.col("hub_words")))
-    # each member with its smallest hub, then with the hubs whose buckets aren't one component yet, then all that may be alike in such buckets
-    tried = settle(star(members).groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "pairs")
-    links = settle(verify(tried, texts, least), "verified")
-    labels = components(links)
-    named = lambda node, label: labels.select(F.col("node").alias(node), F.col("label").alias(label))
-    for whole in (False, True):
-        held = settle(members.join(named("rep", "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "held")
-        split = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-        open_ = held.join(split, "bucket")
-        if whole:
-            own = settle(open_.select("rep", "label").distinct().join(classes.select("rep", "n_words", "bands"), "rep"), "open")
-            lead = settle(rarest(texts.join(own, "rep").repartition("rep"), least), "rarest")  # dealt evenly: each text becomes many rows
-            x, y = (lead.select("word", *[F.col(c).alias(c + s) for c in ("rep", "n_words", "label", "bands")]) for s in "xy")
-            more = x.join(y, (x["word"] == y["word"]) & (F.col("repx") < F.col("repy")) & (F.col("labelx") != F.col("labely")) & alike(F.col("n_wordsx"), F.col("n_wordsy")) & F.arrays_overlap("bandsx", "bandsy")).select(F.col("repx").alias("a"), F.col("repy").alias("b"))
-        else:
-            more = star(open_).join(named("hub", "hub_label"), "hub", "left").filter(F.col("label") != F.coalesce("hub_label", "hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-        more = settle(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(more)
-        fresh = settle(verify(more, texts, least), "verified")
-        links = links.unionByName(fresh)
-        # links between known components join these
-        over = fresh.join(named("a", "label_a"), "a", "left").join(named("b", "label_b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
-        joined = components(over).select(F.col("node").alias("label"), F.col("label").alias("further"))
-        every = labels.unionByName(fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").withColumn("label", F.col("node")))
-        labels = settle(every.join(joined, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
-    degree = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    known = settle(classes.select("d1", "d2", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("d1", "d2", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
-    full, empty = sketched.filter("n_words > 0").select("doc_id", "d1", "d2"), sketched.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"))
-    grouped = settle(full.join(known, ["d1", "d2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "grouped")
-    sizes = settle(grouped.groupBy("class_id").agg(F.count("*").alias("class_size")).filter("class_size > 1"), "sizes")
-    out = grouped.join(sizes, "class_id", "left").select("doc_id", "class_id", "n_links", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")).unionByName(empty)
-    return out.select("doc_id", "class_id", "class_size", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    members = settle(placed.filter(maybe("bucket")).join(hubs, "bucket"), "members")
+    wanted = settle(members.select("cls").distinct().join(classes.select("cls", "d1", "d2", "at.doc_id"), "cls"), "wanted")
+    maybe = among(wanted.select("doc_id"), "doc_id")
+    texts = digested(docs.filter(maybe("doc_id"))).join(wanted.withColumnRenamed("doc_id", "rep"), ["d1", "d2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+    texts = settle(texts.groupBy("cls").agg(F.min("text").alias("text")), "texts")
+    labels = _contracted(_by_hubs(classes, members, least), wanted.select("cls", F.col("cls").alias("label")), texts, least)
+    # then what may join components that meet in a bucket
+    held = settle(members.select("bucket", "cls").join(labels, "cls"), "held")
+    split = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
+    open_ = settle(held.join(split, "bucket").select("cls", "label").distinct().join(classes.select("cls", "n_words", "parity", "parities"), "cls"), "open")
+    labels = _contracted(_by_grams(open_, texts, least), labels, texts, least)
+    # the class_id is the smallest doc_id; the document that stays is that of this id with the least digest
+    named = wanted.select("cls", "d1", "d2", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id")).alias("at")).join(labels, "cls")
+    first = named.groupBy("label").agg(F.min(F.struct("at", "d1", "d2")).alias("first"), F.count("*").alias("classes")).filter("classes > 1")
+    moved = named.join(first, "label").select("d1", "d2", "first")
+    alone = classes.select("d1", "d2", F.struct("at", "d1", "d2").alias("own"))
+    known = settle(alone.join(moved, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("first", "own").alias("first")), "known")
+    rows = settle(sketched.select("doc_id", "d1", "d2", "n_words").join(known, ["d1", "d2"], "left"), "rows")
+    full = rows.filter("n_words > 0").select("doc_id", "d1", "d2", "n_words", F.col("first.at.doc_id").alias("class_id"), F.struct("first.d1", "first.d2").alias("group"), (F.struct("d1", "d2") == F.struct("first.d1", "first.d2")).alias("same"))
+    sizes = settle(full.groupBy("group").agg(F.count("*").alias("class_size")).filter("class_size > 1"), "sizes")
+    out = full.join(sizes, "group", "left").select("doc_id", "d1", "d2", "n_words", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), (F.col("same") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
+    alone = rows.filter("n_words = 0").select("doc_id", "d1", "d2", "n_words", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
+
+
+def one_of_each(docs: DataFrame, **sketch: float) -> DataFrame:
+    """docs less all rows of each group but one: those of the document that is kept; of rows that repeat its id and words, the first met.
+
+    Rows are told by doc_id and words together, so a doc_id on unlike texts costs none of them. Texts without words all stay.
+    """
+    found = settle(near_duplicates(docs, **sketch), "near")
+    gone = found.filter("NOT kept").select("doc_id", "d1", "d2", F.lit(False).alias("stays")).distinct()
+    again = found.filter("kept AND n_words > 0").groupBy("doc_id", "d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "d1", "d2", F.lit(True).alias("stays"))
+    touched = settle(gone.unionByName(again), "touched")
+    # the caller's columns stand in one, so that no name of theirs meets one of ours
+    rows = digested(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    maybe = among(touched, "doc_id", "d1", "d2")
+    marked = rows.withColumn("maybe", maybe("doc_id", "d1", "d2"))
+    known = touched.withColumnsRenamed({c: f"_{c}" for c in ("doc_id", "d1", "d2")})
+    altered = marked.filter("maybe").join(known, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")), "left")
+    altered = settle(altered.filter("stays IS NULL OR stays").select("doc_id", "d1", "d2", "stays", "row"), "altered")
+    once = altered.filter("stays").groupBy("doc_id", "d1", "d2").agg(F.first("row").alias("row"))
+    return marked.filter("NOT maybe").select("row").unionByName(altered.filter("stays IS NULL").select("row")).unionByName(once.select("row")).select("row.*")
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
