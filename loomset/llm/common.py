@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes and rows that a task handles at once; a longer text is handled alone and whole.
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 500_000
 BLOCK_ROWS = 2048
-#: Python workers give large freed buffers back to the system, so that a worker's memory follows the block at hand.
-WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Python workers keep the buffers of a block for the next one, and give what is above that back to the system.
+WORKER_ENV = {"MALLOC_MMAP_THRESHOLD_": "16777216", "MALLOC_TRIM_THRESHOLD_": "33554432", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 
 
 #: Rows and bytes of the batches that go to Python workers, unless the session says otherwise: rows hold whole texts here.

@@ -397,12 +397,15 @@ def _by_grams(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     label have in common counts once. Of a gram's labels the commonest is only met by the others.
     """
     rows = settle(rare_grams(texts.join(open_.drop("parities"), "cls").repartition("cls"), least), "rare")
-    own = ("cls", "label", "n_words", "parity", "most_q", "q")
     # rows hold few grams each, so dealing them out again evens what long and short texts make
-    each = settle(rows.repartition(F.hash("cls", "gram")).select(*own, F.explode(F.arrays_zip("gram", "low", "high")).alias("g")).select(*own, "g.*"), "grams")
-    per = each.groupBy("gram", "label").agg(F.count("*").alias("n"), F.min("n_words").alias("least_n"), F.max("n_words").alias("most_n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("most_q").alias("most_q"), F.first("q").alias("q"), F.first("parity").alias("parity"))
-    per = settle(per, "labels")
-    shared = settle(per.groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.min("most_q").alias("most_q"), F.first("q").alias("q")).filter("labels > 1 AND q = most_q").select("gram", "main"), "shared")
+    rows = rows.repartition(F.hash("cls", "gram"))
+    met = rows.select("label", "most_q", "q", F.explode("gram").alias("gram")).groupBy("gram", "label").agg(F.count("*").alias("n"), F.min("most_q").alias("most_q"), F.first("q").alias("q"))
+    shared = met.groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.min("most_q").alias("most_q"), F.first("q").alias("q"))
+    shared = settle(shared.filter("labels > 1 AND q = most_q").select("gram", "main"), "shared")
+    maybe = among(shared, "gram")
+    own = ("cls", "label", "n_words", "parity", "most_q", "q")
+    each = settle(rows.select(*own, F.explode(F.arrays_zip("gram", "low", "high")).alias("g")).select(*own, "g.*").filter(maybe("gram")), "grams")
+    per = each.groupBy("gram", "label").agg(F.count("*").alias("n"), F.min("n_words").alias("least_n"), F.max("n_words").alias("most_n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("most_q").alias("most_q"), F.first("parity").alias("parity"))
     x = each.join(shared, "gram").filter("label <> main").withColumnsRenamed({"label": "label_x"})
     y = per.withColumnsRenamed({c: f"{c}_y" for c in per.columns})
     reach = F.floor((1 - least) * F.greatest("n_words", "most_n_y") + 1e-9)
@@ -452,9 +455,12 @@ def near_duplicates(docs: DataFrame, least: float = THRESHOLD, m: int = M, l: in
     texts = settle(texts.groupBy("cls").agg(F.min("text").alias("text")), "texts")
     labels = _contracted(_by_hubs(classes, members, least), wanted.select("cls", F.col("cls").alias("label")), texts, least)
     # then what may join components that meet in a bucket
-    held = settle(members.select("bucket", "cls").join(labels, "cls"), "held")
-    split = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-    open_ = settle(held.join(split, "bucket").select("cls", "label").distinct().join(classes.select("cls", "n_words", "parity", "parities"), "cls"), "open")
+    held = settle(members.select("bucket", "cls", "n_words").join(labels, "cls"), "held")
+    # similar texts' lengths lie in one cell or in neighbours; each text stands in its own and the next
+    cell = F.floor(F.log(F.col("n_words") + F.lit(0.5)) / float(-np.log(least))).cast("int") if least < 1 else F.col("n_words").cast("int")
+    held = held.withColumn("cell", F.explode(F.array(cell, cell + 1)))
+    split = held.groupBy("bucket", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket", "cell")
+    open_ = settle(held.join(split, ["bucket", "cell"]).select("cls", "label").distinct().join(classes.select("cls", "n_words", "parity", "parities"), "cls"), "open")
     labels = _contracted(_by_grams(open_, texts, least), labels, texts, least)
     # the class_id is the smallest doc_id; the document that stays is that of this id with the least digest
     named = wanted.select("cls", "d1", "d2", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id")).alias("at")).join(labels, "cls")
