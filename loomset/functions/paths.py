@@ -61,7 +61,7 @@ def arch_stripped(key: Column, arch: str = "auto") -> Column:
     """A tensor's key without the first prefix of the architecture that it has."""
     arch = {"krea": "krea2"}.get(arch.lower(), arch.lower())
     if arch not in ARCH_PREFIXES:
-        raise ValueError(f"unknown model '{arch}' (expected auto, krea2 or anima)")
+        raise ValueError(f"no key prefixes are known for the architecture {arch!r}; known: {', '.join(sorted(ARCH_PREFIXES))}")
     out = key
     for p in reversed(ARCH_PREFIXES[arch]):
         out = F.when(F.startswith(key, F.lit(p)), F.substr(key, F.lit(len(p) + 1))).otherwise(out)

@@ -60,7 +60,7 @@ def chat_request(model: Column, prompt: Column, image_url: Column, max_tokens: C
     """The body of a chat completion with an image, as JSON."""
     part = lambda **x: F.struct(*[v.alias(k) for k, v in x.items()])
     content = F.concat(F.lit("["), F.to_json(part(type=F.lit("image_url"), image_url=part(url=image_url))), F.lit(","), F.to_json(part(type=F.lit("text"), text=prompt)), F.lit("]"))
-    return F.concat(F.lit('{"model":'), F.substring_index(F.substring(F.to_json(part(m=model)), 6, 1 << 20), "}", 1), F.lit(',"max_tokens":'), max_tokens.cast("string"), F.lit(',"stream":false,"messages":[{"role":"user","content":'), content, F.lit("}]}"))
+    return F.concat(F.lit('{"model":'), F.regexp_replace(F.to_json(part(m=model)), r'^\{"m":|\}$', ""), F.lit(',"max_tokens":'), max_tokens.cast("string"), F.lit(',"stream":false,"messages":[{"role":"user","content":'), content, F.lit("}]}"))
 
 
 def chat_answer(body: Column) -> Column:

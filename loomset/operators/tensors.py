@@ -167,6 +167,39 @@ def quantise(rows: DataFrame, values: str = "values") -> DataFrame:
     )
 
 
+def gs_histogram(plan: DataFrame) -> DataFrame:
+    """Layers of each group size."""
+    return plan.filter("gs IS NOT NULL").groupBy("gs").agg(F.count("*").alias("n"))
+
+
+def int8(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows (base, row, values) of the layers that the plan (base, gs) takes, rotated in groups of gs and quantised: gs, scale, codes and quantise's sums added.
+
+    A layer is as many rows as its matrix has, so large layers spread over tasks; the plan has a row for each layer and is joined to them.
+    """
+    taken = rows.join(plan.filter("gs IS NOT NULL").select("base", "gs"), "base")
+    turned = [taken.filter(F.col("gs") == g).withColumn("turned", rotate(F.col("values"), g)) for g in GROUPS]
+    both = turned[0]
+    for more in turned[1:]:
+        both = both.unionByName(more)
+    return quantise(both, "turned").drop("turned")
+
+
+def int8_tensors(quantised: DataFrame) -> DataFrame:
+    """What is written of quantised rows: (key, dtype, row, values): of each row its codes as I8 and its scale as F32, and of each layer the settings' bytes as U8, with row null."""
+    named = lambda end, dtype, row, values: (F.concat("base", F.lit(end)).alias("key"), F.lit(dtype).alias("dtype"), row.alias("row"), values.cast("array<float>").alias("values"))
+    codes = quantised.select(*named(".weight", "I8", F.col("row"), F.col("codes")))
+    scales = quantised.select(*named(".weight_scale", "F32", F.col("row"), F.array("scale")))
+    text = quant_json(F.col("gs"))
+    settings = quantised.groupBy("base").agg(F.first("gs").alias("gs")).select(*named(".comfy_quant", "U8", F.lit(None).cast("long"), F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))))
+    return codes.unionByName(scales).unionByName(settings)
+
+
+def errors_by_gs(errors: DataFrame) -> DataFrame:
+    """errors (gs, relerr) -> for each group size the mean, the largest and the number of layers."""
+    return errors.groupBy("gs").agg(F.avg("relerr").alias("mean"), F.max("relerr").alias("max"), F.count("*").alias("n"))
+
+
 def layer_errors(quantised: DataFrame, by: list[str]) -> DataFrame:
     """Relative error in percent and cosine of each layer, from its rows' sums."""
     sums = quantised.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("err2", "ref2", "dot", "dec2")])

@@ -66,15 +66,8 @@ def _rows(spark, d: str) -> DataFrame:
 
 
 @query("hadamard_rotate", """WITH h AS (SELECT i, j, CASE WHEN (SELECT count(*) FROM range(0, 3) AS d(k) WHERE ((i >> (2 * k)) & 3) + ((j >> (2 * k)) & 3) = 3) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM range(0, 64) AS a(i), range(0, 64) AS b(j))
-SELECT vec_id, h.i::INTEGER AS place, round(sum(v.x::DOUBLE * h.s) * 0.125, 6) AS value FROM (SELECT vec_id, unnest(embedding::FLOAT[]) AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings WHERE vec_id < 100) v JOIN h ON h.j = v.j GROUP BY vec_id, h.i""")
-def hadamard_rotate(spark, d: str) -> DataFrame:
-    """The first 100 vectors are the feature's fixture: each has 64 values, checked one by one."""
-    return _rows(spark, d).filter("vec_id < 100").select("vec_id", F.posexplode(tensors.rotate(F.col("values"), 64)).alias("place", "value")).withColumn("value", F.round("value", 6))
-
-
-@query("hadamard_rotate_all", """WITH h AS (SELECT i, j, CASE WHEN (SELECT count(*) FROM range(0, 3) AS d(k) WHERE ((i >> (2 * k)) & 3) + ((j >> (2 * k)) & 3) = 3) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM range(0, 64) AS a(i), range(0, 64) AS b(j))
 SELECT vec_id, h.i::INTEGER AS place, round(sum(v.x::DOUBLE * h.s) * 0.125, 6) AS value FROM (SELECT vec_id, unnest(embedding::FLOAT[]) AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings) v JOIN h ON h.j = v.j GROUP BY vec_id, h.i""")
-def hadamard_rotate_all(spark, d: str) -> DataFrame:
+def hadamard_rotate(spark, d: str) -> DataFrame:
     """All vectors, each of the 64 values checked one by one."""
     return _rows(spark, d).select("vec_id", F.posexplode(tensors.rotate(F.col("values"), 64)).alias("place", "value")).withColumn("value", F.round("value", 6))
 
@@ -118,6 +111,42 @@ def worst_layers(spark, d: str) -> DataFrame:
     return tensors.worst(_errors(spark, d), 3).select("label", F.round("relerr", 6).alias("relerr"))
 
 
+_H = """WITH h AS (SELECT i, j, CASE WHEN (SELECT count(*) FROM range(0, 3) AS d(k) WHERE ((i >> (2 * k)) & 3) + ((j >> (2 * k)) & 3) = 3) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM range(0, 64) AS a(i), range(0, 64) AS b(j)),
+t AS (SELECT vec_id, label, list(x ORDER BY i) AS v FROM (SELECT vec_id, label, h.i, (sum(v.x::DOUBLE * h.s) * 0.125)::FLOAT AS x FROM (SELECT vec_id, label, unnest(embedding::FLOAT[]) AS x, generate_subscripts(embedding, 1) - 1 AS j FROM embeddings) v JOIN h ON h.j = v.j GROUP BY vec_id, label, h.i) GROUP BY vec_id, label),
+s AS (SELECT vec_id, 'blocks.' || label || '.w' AS base, v, greatest((greatest(list_max(list_transform(v, lambda x: abs(x))), 1e-30::FLOAT) / 127.0::FLOAT)::FLOAT, 1e-30::FLOAT) AS scale FROM t),
+q AS (SELECT vec_id, base, scale, list_transform(v, lambda x: greatest(least(round_even((x / scale)::FLOAT, 0), 127), -127)::INTEGER) AS codes FROM s)
+"""
+
+
+def _int8(spark, d: str) -> DataFrame:
+    """Each label's vectors are the rows of a layer."""
+    rows = _rows(spark, d).select(F.concat(F.lit("blocks."), F.col("label").cast("string"), F.lit(".w")).alias("base"), F.col("vec_id").alias("row"), "values")
+    layers = rows.groupBy("base").agg(F.array(F.count("*"), F.first(F.size("values").cast("long"))).alias("shape"))
+    return tensors.int8(rows, tensors.layer_plan(layers, min_gemm=0))
+
+
+@query("quant_int8", _H + """SELECT base || '.weight' AS key, 'I8' AS dtype, vec_id AS row_no, array_to_string(codes, ',') AS content FROM q
+UNION ALL SELECT base || '.comfy_quant', 'U8', NULL, array_to_string(list_transform(string_split('{"format": "int8_tensorwise", "convrot": true, "convrot_groupsize": 64}', ''), lambda c: ascii(c)), ',') FROM (SELECT DISTINCT base FROM q)""")
+def quant_int8(spark, d: str) -> DataFrame:
+    """Codes and settings of all layers, after rotation; scales have a query of their own, as numbers."""
+    return tensors.int8_tensors(_int8(spark, d)).filter("dtype <> 'F32'").select("key", "dtype", F.col("row").alias("row_no"), F.array_join(F.transform("values", lambda x: x.cast("int").cast("string")), ",").alias("content"))
+
+
+@query("quant_int8_scales", _H + "SELECT base || '.weight_scale' AS key, vec_id AS row_no, round(scale::DOUBLE, 9) AS scale FROM q")
+def quant_int8_scales(spark, d: str) -> DataFrame:
+    return tensors.int8_tensors(_int8(spark, d)).filter("dtype = 'F32'").select("key", F.col("row").alias("row_no"), F.round(F.col("values")[0].cast("double"), 9).alias("scale"))
+
+
+@query("quant_errors_by_gs", _Q.replace("WITH s AS (SELECT vec_id, label, embedding::FLOAT[] AS v,", "WITH s0 AS (SELECT vec_id, label, CASE WHEN hash_of % 2 = 1 THEN embedding[:16] ELSE embedding END AS embedding FROM (SELECT *, length(label::VARCHAR) + ascii(right(label::VARCHAR, 1)) AS hash_of FROM embeddings)), s AS (SELECT vec_id, label, embedding::FLOAT[] AS v,").replace("FROM embeddings),\nq AS", "FROM s0),\nq AS") + "SELECT CASE WHEN (length(label::VARCHAR) + ascii(right(label::VARCHAR, 1))) % 2 = 1 THEN 16 ELSE 64 END::INTEGER AS gs, round(avg(relerr), 6) AS mean, round(max(relerr), 6) AS max, count(*)::BIGINT AS n FROM e GROUP BY 1")
+def quant_errors_by_gs(spark, d: str) -> DataFrame:
+    """Some labels' layers are 16 wide, the others 64."""
+    name = F.col("label").cast("string")
+    gs = F.when((F.length(name) + F.ascii(F.right(name, F.lit(1)))) % 2 == 1, 16).otherwise(64)
+    rows = _rows(spark, d).withColumn("gs", gs).withColumn("values", F.slice("values", 1, F.col("gs")))
+    errors = tensors.layer_errors(tensors.quantise(rows), ["label", "gs"])
+    return tensors.errors_by_gs(errors).select("gs", F.round("mean", 6).alias("mean"), F.round("max", 6).alias("max"), "n")
+
+
 _NAMES = "['blocks.{p}.attn.q', 'blocks.{p}.proj_out', 'final_layer.{p}', 'blocks.{p}.mlp.gate_logits', 'x.{p}.rope.w', 'blocks.{p}.scale']"
 
 
@@ -168,6 +197,11 @@ def quant_report(spark, d: str) -> DataFrame:
     return tensors.plan_report(_plan(spark, d))
 
 
+@query("quant_gs_histogram", _plan_sql(tensors.DENY["effective"]) + "SELECT best::INTEGER AS gs, count(*)::BIGINT AS n FROM plan WHERE reason IS NULL GROUP BY 1")
+def quant_gs_histogram(spark, d: str) -> DataFrame:
+    return tensors.gs_histogram(_plan(spark, d))
+
+
 @query("quant_downcasts", _plan_sql(tensors.DENY["effective"]) + f"SELECT base FROM plan WHERE reason IS NOT NULL AND dtype = 'F32' AND base NOT LIKE '%.scale' AND NOT regexp_matches(string_split(base, '.')[-1], '{tensors.DENY['effective']}')")
 def quant_downcasts(spark, d: str) -> DataFrame:
     return tensors.downcasts(_plan(spark, d)).filter("downcast").select("base")

@@ -12,19 +12,20 @@ from loomset.operators import enrich, tensors
 from loomset.sources import images, records, ron, safetensors, sinks, tagdict
 
 RON = """(
-  manual_tags: ["my_trigger", "-bad",],
-  auto_tags: [(tag: "1girl", score: 0.95, category: "general")],
-  // a comment
-  caption: Some("a \\u{e9} girl"),
-  captioner: Some((model: "qwen", captioned_at: "2025-01-01T00:00:00Z")),
-  caption_hint: Some("Left girl is Alice.\\nRight boy is Bob."),
-  unknown: {"x": 1},
+  manual_tags: ["sea_wall", "-blur",],
+  auto_tags: [(tag: "gull", score: 0.5, category: "general")], // the only one
+  /* two lines
+     of remark */
+  caption: Some("the caf\\u{e9} by the pier"),
+  captioner: Some((model: "eye-2", captioned_at: "2024-06-30T12:00:00Z")),
+  caption_hint: Some("Top: the lighthouse.\\nBelow: two boats."),
+  later_field: {"depth": [2, 3]},
 )"""
 
 
 def test_ron_round_trip():
     tree = ron.loads(RON)
-    assert tree["caption"] == "a é girl" and tree["manual_tags"] == ["my_trigger", "-bad"] and tree["unknown"] == {"x": 1}
+    assert tree["caption"] == "the café by the pier" and tree["manual_tags"] == ["sea_wall", "-blur"] and tree["later_field"] == {"depth": [2, 3]}
     value = {"a": ["x\n\"y\"", 1, 2.5, True], "m": ron.Map({"k": {"z": "\u0001"}}), "n": ron.Some({"q": []})}
     assert ron.loads(ron.dumps(value)) == {"a": ["x\n\"y\"", 1, 2.5, True], "m": {"k": {"z": "\u0001"}}, "n": {"q": []}}
     for bad in ("(a: 1", "[1 2]", "(a 1)", "x y"):
@@ -44,11 +45,11 @@ def test_records_and_images(spark, tmp_path):
     both = {os.path.basename(r["image_path"]): r for r in images.with_records(found, held, "inner").collect()}
     assert set(both) == {"a.JPG", "a.png", "b c.webp"}
     a = both["a.png"]
-    assert a["captions"]["qwen"]["caption"] == "a é girl" and a["caption_hints"] == ["Left girl is Alice.", "Right boy is Bob."] and a["auto_tags"][0]["tag"] == "1girl"
+    assert a["captions"]["eye-2"]["caption"] == "the café by the pier" and a["caption_hints"] == ["Top: the lighthouse.", "Below: two boats."] and a["auto_tags"][0]["tag"] == "gull"
     # written and read again, records stay the same
     assert records.write(held.withColumn("manual_tags", F.array_append("manual_tags", F.lit("new")))).count() == 2
     again = {r["sidecar_key"]: r for r in records.read(spark, str(tmp_path)).collect()}
-    assert again[str(tmp_path / "a")]["manual_tags"] == ["my_trigger", "-bad", "new"] and again[str(tmp_path / "a")]["captions"]["qwen"]["caption"] == "a é girl"
+    assert again[str(tmp_path / "a")]["manual_tags"] == ["sea_wall", "-blur", "new"] and again[str(tmp_path / "a")]["captions"]["eye-2"]["caption"] == "the café by the pier"
     (tmp_path / "bad.ron").write_text("(oops")
     assert {os.path.basename(r["sidecar_key"]) for r in records.read(spark, str(tmp_path), strict=False).filter("error IS NOT NULL").collect()} == {"bad"}
     with pytest.raises(Exception, match="bad"):
@@ -86,18 +87,18 @@ def test_tag_dictionary(spark, tmp_path):
 
 def test_checkpoint_round_trip_and_merge(spark, tmp_path):
     def file(name, prefix, fill, dtype="F32"):
-        rows = [(f"{prefix}w", dtype, [2, 2], 0, np.full(4, fill, "f4").tolist()), (f"{prefix}extra", "F16", [3], 1, [1.0, -2.5, 65504.0])]
+        rows = [(f"{prefix}w", dtype, [3, 2], 0, (fill * np.arange(6, dtype="f4")).tolist()), (f"{prefix}extra", "F16", [3], 1, [1.0, -2.5, 65504.0])]
         df = spark.createDataFrame(rows, "key string, dtype string, shape array<bigint>, ord bigint, values array<float>")
         safetensors.write(safetensors.encoded(df, F.col("dtype")), str(tmp_path / name), {"made": "here"})
         return safetensors.decoded(safetensors.read(spark, str(tmp_path / name)))
 
-    base, tuned, target = file("b", "net.", 0.0), file("t", "model.diffusion_model.", 1.0), file("x", "diffusion_model.", 5.0, "BF16")
+    base, tuned, target = file("b", "net.", 0.5), file("t", "model.diffusion_model.", 2.0), file("x", "diffusion_model.", -3.0, "BF16")
     assert safetensors.metadata(str(tmp_path / "b")) == {"made": "here"}
     assert os.path.getsize(tmp_path / "b") % 2 == 0
     got = {r["key"]: r for r in tensors.merge_diff(base, tuned, target).collect()}
-    assert got["diffusion_model.w"]["values"] == [6.0] * 4 and got["diffusion_model.w"]["applied"]
+    assert got["diffusion_model.w"]["values"] == [-1.5 * i for i in range(6)] and got["diffusion_model.w"]["applied"]
     same = {r["key"]: r["values"] for r in tensors.merge_diff(base, tuned, target, multiplier=0.0).collect()}
-    assert same["diffusion_model.w"] == [5.0] * 4
+    assert same["diffusion_model.w"] == [-3.0 * i for i in range(6)]
     assert same["diffusion_model.extra"] == [1.0, -2.5, 65504.0]
     with pytest.raises(ValueError):
         tensors.refuse_scaled(spark.createDataFrame([("a.weight_scale",)], "key string"))
@@ -114,13 +115,18 @@ def test_bf16_rounds_to_even():
 
 
 def test_low_rank_delta_is_recovered(spark):
-    rng = np.random.default_rng(11)
-    d = 0.05 * rng.standard_normal((96, 8)) @ rng.standard_normal((8, 64))
-    row = [("m", [96, 64], d.astype("f4").ravel().tolist()), ("zero", [8, 8], [0.0] * 64)]
-    got = {r["module"]: r for r in tensors.extract_lora(spark.createDataFrame(row, "module string, shape array<bigint>, delta array<float>"), rank=8, alpha=4.0).collect()}
+    # a delta of rank 5 with known singular values, from orthonormal bases
+    rng = np.random.default_rng(2024)
+    u, v = (np.linalg.qr(rng.standard_normal((n, 5)))[0] for n in (72, 40))
+    d = (u * np.array([3.0, 1.5, 0.8, 0.4, 0.2])) @ v.T
+    row = [("m", [72, 40], d.astype("f4").ravel().tolist()), ("zero", [8, 8], [0.0] * 64)]
+    table = spark.createDataFrame(row, "module string, shape array<bigint>, delta array<float>")
+    got = {r["module"]: r for r in tensors.extract_lora(table, rank=5, alpha=10.0).collect()}
     r = got["m"]
-    back = np.array(r["up"]).reshape(96, 8) @ np.array(r["down"]).reshape(8, 64) * (4.0 / 8)
-    assert abs(r["energy"] - 1) < 1e-3 and np.abs(back - d).max() < 1e-3
+    back = np.array(r["up"]).reshape(72, 5) @ np.array(r["down"]).reshape(5, 40) * (10.0 / 5)
+    assert abs(r["energy"] - 1) < 1e-4 and np.abs(back - d).max() < 1e-5
+    two = {r["module"]: r for r in tensors.extract_lora(table, rank=2, alpha=2.0).collect()}["m"]
+    assert abs(two["energy"] - (9 + 2.25) / (9 + 2.25 + 0.64 + 0.16 + 0.04)) < 1e-4
     assert got["zero"]["energy"] == 1.0
     h = np.array(tensors.hadamard(64)) / 8
     assert np.allclose(h @ h, np.eye(64)) and np.allclose(h, h.T)

@@ -38,5 +38,5 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_rotation_covers_all_vectors(spark, duck):
-    got = {r["vec_id"] for r in catalogue.QUERIES["hadamard_rotate_all"](spark, DATA).select("vec_id").distinct().collect()}
+    got = {r["vec_id"] for r in catalogue.QUERIES["hadamard_rotate"](spark, DATA).select("vec_id").distinct().collect()}
     assert len(got) > 100 and got == {r[0] for r in duck.sql("SELECT vec_id FROM embeddings").fetchall()}
