@@ -22,11 +22,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomset.llm.common import blocks, mix, ready, settle, words
 
-#: Bytes of benchmark text searched for in one pass over the documents; a larger benchmark is searched for in several passes.
+#: Bytes of benchmark text searched for in one pass over the documents, about; a larger benchmark is searched for in several passes.
 PATTERN_BYTES = 16_000_000
 #: End positions that a cursor covers; a long text has many cursors.
 STRETCH = 256
-_BITS = 16
+#: Slots of a shift table for each block, and the most slots: 32 MB.
+_SLOTS = 8
+_MOST_BITS = 24
 ADDED = ("n_words", "spans", "items")
 
 
@@ -53,9 +55,10 @@ class Patterns:
             _, _, h, _ = words(data, np.array([0, len(flat)]))
             h = h.reshape(len(texts), m)
             block = h if m == 1 else _join(h[:, :-1], h[:, 1:])
-            shift = np.full(1 << _BITS, m if m == 1 else m - 1, np.int16)
+            bits = min(_MOST_BITS, max(16, (_SLOTS * block.size).bit_length()))
+            shift = np.full(1 << bits, m if m == 1 else m - 1, np.int16)
             for q in range(block.shape[1]):
-                np.minimum.at(shift, (block[:, q] & np.uint64((1 << _BITS) - 1)).astype(np.int64), block.shape[1] - 1 - q)
+                np.minimum.at(shift, (block[:, q] & np.uint64(len(shift) - 1)).astype(np.int64), block.shape[1] - 1 - q)
             order = np.argsort(block[:, -1], kind="stable")
             self.by_length[m] = (shift, block[order, -1], block[order, 0], [b" ".join(texts[i]) for i in order], [sorted(found[texts[i]]) for i in order])
 
@@ -65,7 +68,7 @@ class Patterns:
             at, stop = _cursors(first, m)
             candidates = []
             while len(at):
-                step = shift[(_block(h, at, m) & np.uint64((1 << _BITS) - 1)).astype(np.int64)]
+                step = shift[(_block(h, at, m) & np.uint64(len(shift) - 1)).astype(np.int64)]
                 candidates.append(at[step == 0])
                 at = at + np.maximum(step, 1)
                 keep = at < stop
@@ -137,17 +140,12 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: list[st
     """The carried columns of docs (all, if None) with n_words, spans (hit stretches of words) and items (ids as strings, sorted)."""
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
     carry = docs.columns if carry is None else carry
-    groups: list[list[tuple[str, bytes]]] = [[]]
-    room = pattern_bytes
-    for r in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text")).filter("text IS NOT NULL").toLocalIterator():
-        text = r["text"].encode()
-        if room < len(text) and groups[-1]:
-            groups.append([])
-            room = pattern_bytes
-        groups[-1].append((r["item_id"], text))
-        room -= len(text)
-    for k, items in enumerate(groups):
-        final = k == len(groups) - 1
+    known = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text")).filter("text IS NOT NULL")
+    passes = max(1, -(-(known.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // pattern_bytes))
+    group = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
+    for k in range(passes):  # the driver holds one group of items at a time, dealt by hash
+        items = [(r["item_id"], r["text"].encode()) for r in (known if passes == 1 else known.filter(group == k)).collect()]
+        final = k == passes - 1
         docs = _pass(docs, items, window, carry if final or "text" in carry else [*carry, "text"])
         if not final:  # the next pass needs the room of this one's patterns
             docs = settle(docs, "decontaminate")

@@ -2,11 +2,12 @@
 
 A streaming aggregation keeps, for each digest of a normalised text, without expiry and in a disk-backed state store: the number of rows, the
 smallest doc_id and where that row's content lies (file and row). Copies meet in each task before they are shuffled, so a group that holds a
-third of all rows is a few rows to the state. On hits, that is for digests of more than one row, whole texts are compared byte by byte.
+third of all rows is a few rows to the state. On hits, that is for digests of more than one row, the content that the state points to is fetched and
+whole texts are compared with it byte by byte.
 
 Defined cases: a null text counts as empty, and all empty texts are equal; null doc_ids come after all others; repeated rows are
 copies, and share the mark where they share the doc_id; texts
-whose digests are equal but whose bytes differ are told apart; an empty table gives no rows; further columns are ignored.
+whose digests are equal but whose bytes differ are told apart, those of a digest by the smallest doc_id of each; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,15 +43,8 @@ def seen(stream: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
     def write(changed: DataFrame, batch: int) -> None:
         changed.select("digest", "at", "n", F.lit(batch).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{place}/changes/{batch:09d}")
 
-    before = {k: spark.conf.get(k, None) for k in _STORE}
-    for k, v in _STORE.items():
-        spark.conf.set(k, v)
-    try:
-        query = state.writeStream.outputMode("update").foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    query = state.writeStream.outputMode("update").foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").start()
+    query.awaitTermination()
     schema = state.withColumn("batch", F.lit(0).cast("long")).schema
     if not query.lastProgress and not query.recentProgress:
         return spark.createDataFrame([], "digest string, keep_id long, file string, row long, n long")
@@ -59,25 +53,44 @@ def seen(stream: DataFrame, digest: Callable[[Column], Column] = sha256) -> Data
 
 
 def dedup(docs: DataFrame, stream: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """docs' rows as (doc_id, keep_id, group_size, kept, digest); stream: the same rows as a file stream."""
+    """docs' rows as (doc_id, keep_id, group_size, kept, digest); docs: a table of files, stream: the same rows as a file stream."""
     copies = settle(seen(stream, digest).filter("n > 1"), "copies")
     rows = docs.select("doc_id", normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text")))
     hit = among(copies, "digest")
-    # whole texts of hits are grouped as they are, which compares their bytes; copies meet in each task first
-    checked = settle(rows.filter(hit("digest")).groupBy("digest", "text").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("at"), F.count("*").alias("n")).select("digest", F.xxhash64("text").alias("text_hash"), "text", F.col("at.doc_id").alias("keep_id"), "n"), "checked")
-    differing = checked.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1").limit(1).count()
-    if differing:
-        known = checked.filter("n > 1").drop("text_hash")
-        joined = rows.join(known, ["digest", "text"], "left")
+    # copies meet in each task first, so that few whole texts travel
+    found = rows.filter(hit("digest")).groupBy("digest", "text").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("at"), F.count("*").alias("n"))
+    # what the state points to
+    there = docs.select("text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    pointed = among(copies, "file", "row")
+    first = there.filter(pointed("file", "row")).join(copies, ["file", "row"]).select("digest", normalised(F.col("text")).alias("first"), F.col("keep_id").alias("first_id"))
+    own = F.col("text") == F.col("first")
+    checked = found.join(first, "digest").select("digest", "text", "n", own.alias("same"), F.when(own, F.col("first_id")).otherwise(F.col("at.doc_id")).alias("keep_id"))
+    checked = settle(checked, "checked")
+    # a digest of several texts is told apart by the texts themselves, any other by the digest
+    clash = settle(checked.filter("NOT same").select("digest").distinct(), "clash")
+    plain = checked.join(clash, "digest", "left_anti").select("digest", "keep_id", "n")
+    columns = ("doc_id", "digest", "keep_id", "n")
+    if clash.limit(1).count():
+        odd = among(clash, "digest")
+        out = rows.filter(~odd("digest")).drop("text").join(plain, "digest", "left").select(*columns)
+        joined = out.unionByName(rows.filter(odd("digest")).join(checked.select("digest", "text", "keep_id", "n"), ["digest", "text"], "left").select(*columns))
     else:
-        joined = rows.drop("text").join(copies.select("digest", "keep_id", "n"), "digest", "left")
+        joined = rows.drop("text").join(plain, "digest", "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("digest"))
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, files: int = 64) -> DataFrame:
-    """A stream over the Parquet files at path, a file or a folder, `files` in each micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path + "*")
+    """A stream over the Parquet files at path, a file or a folder, `files` in each micro-batch, in a session of its own for its state store's settings."""
+    own = spark.newSession()
+    for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.session.timeZone"):
+        if spark.conf.get(k, None) is not None:
+            own.conf.set(k, spark.conf.get(k))
+    for k, v in _STORE.items():
+        own.conf.set(k, v)
+    path = path.rstrip("/")
+    # a pattern that only this path meets: a stream takes a single file only by a pattern
+    return own.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

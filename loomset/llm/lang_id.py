@@ -24,7 +24,7 @@ from loomset.llm.common import blocks, part, ready
 DIMS = 1024
 #: Letters: none, a to z, and shared places for the others.
 SYMBOLS = 128
-#: A text's trigrams weigh this much together when languages are learned, so long texts don't outweigh short ones.
+#: A text's trigrams weigh this much together when languages are learned, so long texts don't outweigh short ones; one of more trigrams weighs their number.
 TEXT_WEIGHT = 1_000_000
 
 
@@ -83,7 +83,7 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
         for batch, data, limits in blocks(batches):
             langs = batch.column("lang").dictionary_encode()
             codes, row = trigrams(data, limits)
-            weight = TEXT_WEIGHT // np.maximum(1, np.bincount(row, minlength=len(limits) - 1))
+            weight = np.maximum(1, TEXT_WEIGHT // np.maximum(1, np.bincount(row, minlength=len(limits) - 1)))
             own, at = np.unique(np.asarray(langs.indices)[row] * SYMBOLS**3 + codes, return_inverse=True)
             total = np.bincount(at, weight[row], len(own)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(own // SYMBOLS**3)), pa.array(own % SYMBOLS**3), pa.array(total)], names=counted.names)
@@ -110,7 +110,7 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], carry: list[str] | None = None) -> DataFrame:
     """The carried columns of docs (all, if None) with lang_pred, score (cosine with its prototype, 0 to 1) and margin (to the next language)."""
     spark = ready(docs.sparkSession)
-    carry = [c for c in (docs.columns if carry is None else carry) if c not in ("lang_pred", "score", "margin")]
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in ("lang_pred", "score", "margin")]
     names = list(prototypes)
     shared = spark.sparkContext.broadcast(np.stack(list(prototypes.values())) if names else np.zeros((0, DIMS), np.float32))
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType())])

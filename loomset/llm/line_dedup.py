@@ -9,7 +9,8 @@ the fewest lines that have LONG words. Any run of lines with LONG words or more
 is cut if the run stood earlier. A copy that overlaps the window that stays loses only the lines beyond it.
 
 Defined cases: null and empty texts have no chunks and stay as they are; rows with the same doc_id and text count as one document and are
-treated alike; null doc_ids come after all others; chunks with equal hashes but different bytes are left alone; whole texts of any length count;
+treated alike; null doc_ids come after all others; chunks with equal hashes but different bytes are told apart by a second hash, and left alone where
+that is equal too; whole texts of any length count;
 an empty table gives no rows; further columns are carried unless their names are those added here.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,24 +135,32 @@ def dedup_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
     repeated = settle(docs.select("text").mapInArrow(hashed, plain).groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"), "repeated")
     likely = _likely(repeated)
     keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = settle(keyed.select("doc_id", "text", "text_hash").mapInArrow(cut, full), "chunks")
+    found = settle(keyed.select("doc_id", "text", "text_hash").mapInArrow(cut, full).withColumn("check", F.xxhash64("chunk")), "chunks")
     # grouping by the chunk itself compares bytes; copies meet in each task before they are shuffled
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"), F.col("first"))
-    texts = found.groupBy("hash", "chunk").agg(F.min(at).alias("keep"), F.count("*").alias("n"))
-    kept = settle(texts.groupBy("hash").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("keep").alias("keep")).filter("texts = 1 AND n > 1").select("hash", "keep"), "kept")
+    texts = found.groupBy("hash", "check", "chunk").agg(F.min(at).alias("keep"), F.count("*").alias("n"))
+    kept = settle(texts.groupBy("hash", "check").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("keep").alias("keep")).filter("texts = 1 AND n > 1").select("hash", "check", "keep"), "kept")
     # a copy that overlaps what stays is cut beyond it
     same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("text_hash") == F.col("keep.text_hash"))
     start = F.when(same, F.greatest("first", F.col("keep.first") + F.col("last") - F.col("first") + 1)).otherwise(F.col("first"))
-    cuts = found.select("hash", "doc_id", "text_hash", "first", "last").join(kept, "hash").filter(at != F.col("keep")).select(F.struct("doc_id", "text_hash").alias("who"), F.sequence(start, F.col("last")).alias("lines"))
+    cuts = found.select("hash", "check", "doc_id", "text_hash", "first", "last").join(kept, ["hash", "check"]).filter(at != F.col("keep")).select(F.struct("doc_id", "text_hash").alias("who"), F.sequence(start, F.col("last")).alias("lines"))
     gone = settle(cuts.groupBy("who").agg(F.flatten(F.collect_set("lines")).alias("gone")).select(F.col("who.doc_id").alias("_id"), F.col("who.text_hash").alias("_hash"), "gone"), "gone")
     touched = among(gone, "_id", "_hash")
     keyed = keyed.withColumn("n_lines", F.when(F.length("text") > 0, F.size(F.split("text", "\n", -1))).otherwise(0).cast("long"))
     marked = keyed.withColumn("_touched", touched("doc_id", "text_hash"))
     intact = marked.filter("NOT _touched").withColumn("gone", F.lit(None).cast("array<bigint>"))
     altered = marked.filter("_touched").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_id", "_hash")
-    both = intact.unionByName(altered).drop("_touched", "text_hash")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("gone", i.cast("long"))), "\n")
-    out = both.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)).withColumn("n_removed", F.coalesce(F.size(F.array_distinct("gone")), F.lit(0)).cast("long"))
+
+    @F.pandas_udf("string")
+    def without(text: pd.Series, gone: pd.Series) -> pd.Series:
+        out = []
+        for t, g in zip(text, gone, strict=True):
+            lost = set() if g is None else set(g.tolist())
+            out.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in lost) if lost else t)
+        return pd.Series(out)
+
+    both = intact.unionByName(altered.withColumn("text", without("text", "gone"))).drop("_touched", "text_hash")
+    out = both.withColumn("n_removed", F.coalesce(F.size(F.array_distinct("gone")), F.lit(0)).cast("long"))
     return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in columns], *ADDED)
 
 

@@ -4,7 +4,8 @@ Pairwise interactions have low rank, so that a row is scored in time linear in i
 (v x)^2. Fitted on the driver by Adam from a bounded sample of labelled rows; scored over all rows in numpy batches.
 
 Defined cases: null and empty texts have no words and the structure of an empty text, and are scored; a null n_chars is a feature of its own;
-without labelled rows of both labels, every score is the share of label 1 (1/2 if there are none); whole texts count; repeated rows score alike.
+without labelled rows of both labels, every score is the share of label 1 (1/2 if there are none); whole texts count; repeated rows score alike;
+carried columns with the names of results give way.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from loomset.llm.common import SPACE, blocks, hashes, part, ready, spans
 MAX_EXAMPLES = 8192
 BUCKETS = 1 << 16
 RANK = 8
+ADDED = ("score", "predicted")
 STATS = 20
 BINS = 10
 SIZE = BUCKETS + STATS + STATS * BINS
@@ -143,6 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus:
 def classify(docs: DataFrame, model: tuple, carry: list[str], threshold: float = 0.3) -> DataFrame:
     """The carried columns with score and predicted."""
     spark = ready(docs.sparkSession)
+    carry = [c for c in carry if c.lower() not in ADDED]
     shared = spark.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     arrow = to_arrow_schema(schema)

@@ -7,8 +7,9 @@ is below its k-th best example so far, and the most promising blocks come first:
 fall with distance; a curve fitted on the examples, each left out in turn, makes the vote a probability.
 
 Defined cases: null and empty texts, and texts without any term, have no neighbours and get the share of label 1 among such examples; without
-labelled rows of both labels, every score is the share of label 1 (0 if there are none); of equally near examples the smaller doc_id counts;
-whole texts of any length count; repeated rows score alike.
+labelled rows of both labels, every score is the share of label 1 (0 if there are none); of equally near examples those with the smaller digest
+of their text and the smaller label count, so ids don't enter a score; whole texts of any length count; repeated rows score alike; carried
+columns with the names of results give way.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ TERMS = 1024
 BEGINNINGS = range(4, 11)
 BLOCK = 128
 K = 15
+ADDED = ("score", "predicted", "evidence")
 
 
 def _terms(data: np.ndarray, limits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -61,7 +63,7 @@ def counted(vocabulary: np.ndarray, data: np.ndarray, limits: np.ndarray) -> tup
 
 
 class Index:
-    """Examples' unit vectors in blocks: each block's terms, their weights in its examples, and maxima."""
+    """Examples' unit vectors in blocks: each block's terms, their weights in its examples, and maxima. Of equally near examples the earlier given come first."""
 
     def __init__(self, ids: np.ndarray, y: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int) -> None:
         length = np.sqrt(np.bincount(row, weight**2, len(ids)))
@@ -71,8 +73,8 @@ class Index:
         lead = order[np.r_[True, row[order][1:] != row[order][:-1]]] if len(order) else order
         strongest[row[lead]] = term[lead]
         keep = np.flatnonzero(some)
-        keep = keep[np.lexsort((ids[keep], y[keep], strongest[keep]))]  # alike examples share blocks, so bounds are tight
-        self.ids, self.y, self.terms = ids[keep], y[keep], terms
+        keep = keep[np.lexsort((keep, y[keep], strongest[keep]))]  # alike examples share blocks, so bounds are tight
+        self.ids, self.y, self.terms, self.given = ids[keep], y[keep], terms, keep
         dense = np.zeros((len(ids), terms), np.float64)
         dense[row, term] = weight / length[row]
         dense = dense[keep]
@@ -86,13 +88,13 @@ class Index:
     def nearest(self, q: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """Cosines and places of the k nearest examples of each unit row of q (cosine 0: none), and the number of (row, block) pairs scored. skip: a place to leave out for each row.
 
-        A cosine, to 12 digits, and the example's order by id make one whole number, so that a partial sort settles ties too.
+        A cosine, to 12 digits, and the example's place among those given make one whole number, so that a partial sort settles ties too.
         """
         n, tail = len(q), np.int64(max(1, len(self.ids)).bit_length())
         best, scored = np.zeros((n, k), np.int64), 0
-        by_id = np.argsort(self.ids)
-        order = np.empty(len(by_id), np.int64)
-        order[by_id] = len(by_id) - np.arange(len(by_id))
+        by_given = np.argsort(self.given)
+        order = np.empty(len(by_given), np.int64)
+        order[by_given] = len(by_given) - np.arange(len(by_given))
         bound = q @ self.bound if n and self.blocks else np.zeros((n, 0))
         for b in np.argsort(-bound.sum(0), kind="stable"):
             rows = np.flatnonzero((bound[:, b] > 0) & (bound[:, b] >= (best[:, 0] >> tail) * 1e-12 - 1e-9))
@@ -107,7 +109,7 @@ class Index:
                 key[at[None, :] == skip[rows][:, None]] = 0
             best[rows] = np.partition(np.concatenate([best[rows], key], 1), -k, axis=1)[:, -k:]
         best = -np.sort(-best, axis=1)
-        place = np.where(best > 0, by_id[len(by_id) - np.maximum(1, best & ((np.int64(1) << tail) - 1))] if len(by_id) else -1, -1)
+        place = np.where(best > 0, by_given[len(by_given) - np.maximum(1, best & ((np.int64(1) << tail) - 1))] if len(by_given) else -1, -1)
         return np.where(best > 0, (best >> tail) * 1e-12, 0), place, scored
 
 
@@ -193,16 +195,18 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: in
     # the examples' postings
     slot = spark.createDataFrame([(int(h), i) for i, h in enumerate(m.vocabulary.view(np.int64))], "term long, slot int")
     got = pairs.join(F.broadcast(slot), "term").groupBy("doc_id", "slot").agg(F.max("times").alias("times")).toArrow()
-    everyone = sorted((r["doc_id"], r["label"]) for r in rows.select("doc_id", "label").distinct().collect())
-    ids, y = np.array([r[0] for r in everyone]), np.array([r[1] for r in everyone])
-    row, term, times = np.searchsorted(ids, np.asarray(got.column("doc_id"))), np.asarray(got.column("slot")).astype(int), np.asarray(got.column("times"))
+    digests = rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.min(F.xxhash64("text")).alias("digest")).collect()
+    everyone = sorted((r["digest"], r["label"], r["doc_id"]) for r in digests)
+    ids, y = np.array([r[2] for r in everyone]), np.array([r[1] for r in everyone])
+    by_id = np.argsort(ids)
+    row, term, times = by_id[np.searchsorted(ids[by_id], np.asarray(got.column("doc_id")))], np.asarray(got.column("slot")).astype(int), np.asarray(got.column("times"))
     m.index = Index(ids, y, row, term, (1 + np.log(times)) * m.idf[term], len(m.vocabulary))
     # calibration: each example without itself
     q = np.zeros((len(ids), len(m.vocabulary)))
     q[row, term] = (1 + np.log(times)) * m.idf[term]
     q /= np.maximum(np.sqrt((q**2).sum(1)), 1e-12)[:, None]
     places = np.full(len(ids), -1)
-    places[np.searchsorted(ids, m.index.ids)] = np.arange(len(m.index.ids))
+    places[m.index.given] = np.arange(len(m.index.ids))
     vote = np.concatenate([m.vote(*m.index.nearest(q[i : i + 256], k, places[i : i + 256])[:2]) for i in range(0, len(q), 256)])
     weight = np.where(y == 1, m.weigh[1], m.weigh[0])
     lone = vote < 0
@@ -216,6 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: in
 def classify(docs: DataFrame, model: Model, carry: list[str], threshold: float = 0.3, k: int = K) -> DataFrame:
     """The carried columns with score, predicted and evidence: the nearest examples with label and similarity."""
     spark = ready(docs.sparkSession)
+    carry = [c for c in carry if c.lower() not in ADDED]
     shared = spark.sparkContext.broadcast(model)
     proof = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("similarity", T.DoubleType())]))
     schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", proof)])

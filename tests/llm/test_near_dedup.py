@@ -1,13 +1,19 @@
 """Near duplicates: alignment, sketches and whole results against brute force; and the pipeline's stages."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loomset.llm import near_dedup as nd
+from loomset.llm import queries
 from loomset.llm.components import components
 
 
+WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -34,17 +40,39 @@ def test_sketch_equals_brute_force():
     kmers, got = nd.labelled(value, first), nd.sketch(value, first, 6, 4)
     assert not got[1].any()
     for r in (0, 2, 3):
-        own = kmers[first[r] : first[r + 1]]
-        assert len(set(own.tolist())) == len(own)
+        own = kmers[first[r] : first[r + 1]].tolist()
+        assert len(set(own)) == len(own)
         for j in range(6):
-            order = nd.mix(own, 100 + j)
-            picked = sorted(np.argsort(order, kind="stable")[:4].tolist())
+            odd = int(nd.mix(np.array([j], np.uint64), 100)[0]) | 1
+            picked = sorted(sorted(range(len(own)), key=lambda i: (own[i] * odd % 2**64 >> 32, i))[:4])
             digest = np.full(1, j + 1, np.uint64)
-            for x in [own[p] for p in picked] + [np.uint64(0)] * (4 - len(picked)):
-                digest = nd.mix(digest * np.uint64(0x9E3779B97F4A7C15) + x, 33)
+            for x in [own[p] for p in picked] + [0] * (4 - len(picked)):
+                digest = nd.mix(digest * np.uint64(0x9E3779B97F4A7C15) + np.uint64(x), 33)
             assert digest.view(np.int64)[0] == got[r, j]
 
 
+def test_parities_bound_edits():
+    rng = np.random.default_rng(8)
+    rows = []
+    for n in (1, 30, 200, 700, 2500):
+        a = rng.integers(0, n, n).astype(np.uint64)
+        for share in (0.0, 0.05, 0.2, 0.6):
+            b = np.array([x if rng.random() > share else rng.integers(0, 2 * n) for x in a if rng.random() > share / 3], np.uint64)
+            rows += [a, b]
+    flat, first = nd.mix(np.concatenate(rows), 1), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    parity, begin = nd.parities(nd.labelled(flat, first), first)
+    narrow = nd.narrowed(parity, begin)
+    bits = lambda x: sum(int(v).bit_count() for v in x.view(np.uint64))
+    for i in range(0, len(rows), 2):
+        most = max(len(rows[i]), len(rows[i + 1]))
+        d = nd.edits(rows[i], rows[i + 1], most)
+        x, y = (parity[begin[i + k] : begin[i + k + 1]] for k in (0, 1))
+        few = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(z.reshape(-1, few), 0) for z in (x, y))
+        gap = abs(len(rows[i]) - len(rows[i + 1]))
+        assert bits(narrow[i] ^ narrow[i + 1]) <= bits(x ^ y) <= 2 * d - gap
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 7), (20, 20), (5, 30), (30, 31), (31, 32), (32, 33), (33, 4)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -85,16 +113,53 @@ def test_whole_result_equals_brute_force(spark):
     assert nd.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_rarest_words_of_similar_texts_meet(spark):
-    texts = _corpus(np.random.default_rng(5)) + ["one", "two words", "", "a a a a a b"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "rep long, text string").repartition(3)
+def test_rare_grams_of_similar_texts_meet(spark):
+    texts = _corpus(np.random.default_rng(5)) + ["one", "two words", "", "a a a a a b", "a a a a b"]
+    rows = spark.createDataFrame([(i, t, len(t.split())) for i, t in enumerate(texts)], "cls long, text string, n_words long").repartition(3)
     own = {}
-    for r in nd.rarest(rows, 0.8).collect():
-        own.setdefault(r["rep"], set()).add(r["word"])
-    split = [t.split() for t in texts]
-    assert all(len(own.get(i, ())) == (len(w) // 5 + 1 if w else 0) for i, w in enumerate(split))
-    alike = [(i, j) for i, a in enumerate(split) for j, b in enumerate(split[:i]) if a and 1 - _distance(a, b) / max(len(a), len(b)) >= 0.8]
-    assert len(alike) > 10 and all(own[i] & own[j] for i, j in alike)
+    for r in nd.rare_grams(rows, 0.8).collect():
+        assert len(r["gram"]) <= nd.GRAMS and r["q"] <= r["most_q"]
+        for g, low, high in zip(r["gram"], r["low"], r["high"]):
+            own.setdefault((r["cls"], r["q"]), {})[g] = (low, high)
+    most = {}
+    for c, q in own:
+        most[c] = max(q, most.get(c, 0))
+    split, met = [t.split() for t in texts], 0
+    for i, a in enumerate(split):
+        for j, b in enumerate(split[:i]):
+            if a and b and 1 - _distance(a, b) / max(len(a), len(b)) >= 0.8:
+                q, reach = min(most[i], most[j]), int(0.2 * max(len(a), len(b)) + 1e-9)
+                x, y = own[i, q], own[j, q]
+                assert any(x[g][0] - reach <= y[g][1] and y[g][0] - reach <= x[g][1] for g in x.keys() & y.keys())
+                met += 1
+    assert met > 10
+
+
+def test_a_common_passage_makes_no_pairs_but_loses_none(spark):
+    rng = np.random.default_rng(21)
+    word = lambda: f"w{rng.integers(10**6)}"
+    passage = [word() for _ in range(50)]
+    texts = [[word() for _ in range(50)] + passage for _ in range(60)]
+    twin = list(texts[7])
+    for i in range(0, 38, 2):  # all edits fall outside the passage
+        twin[i] = word()
+    texts.append(twin)
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(rows).collect()}
+    assert got == {i: 7 if i == 60 else i for i in range(61)}
+
+
+def test_rows_are_told_by_id_and_words(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    long = " ".join(f"x{i % 977}" for i in range(30000))
+    rows = [(1, a, 0), (2, b, 1), (2, a, 2), (2, a.upper(), 3), (None, b, 4), (None, b, 5), (5, b + " more", 6), (None, "lone text", 7), (None, "lone text", 8), (6, "", 9), (6, "", 10), (None, None, 11), (7, long, 12), (8, long + " y", 13), (7, long, 14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").withColumn("d1", F.lit("kept")).withColumn("maybe", F.lit(1)).repartition(3)
+    out = nd.one_of_each(docs)
+    got = out.collect()
+    assert out.columns == docs.columns and all(r["d1"] == "kept" for r in got)
+    assert sorted((r["doc_id"] or 0, (r["text"] or "")[:9]) for r in got) == sorted([(1, a[:9]), (2, b[:9]), (0, "lone text"), (6, ""), (6, ""), (0, ""), (7, long[:9])])
+    marks = {(r["doc_id"], r["d1"]): (r["class_id"], r["kept"]) for r in nd.near_duplicates(docs.drop("d1", "maybe", "row")).collect() if r["n_words"] == 40}
+    assert sorted((str(k[0]), v) for k, v in marks.items()) == [("1", (1, True)), ("2", (1, False)), ("2", (2, True)), ("None", (2, False))]
 
 
 def test_chains_join_through_members_that_no_hub_links(spark):
@@ -167,3 +232,15 @@ def test_language_stage_rejects_letters_of_no_language(spark):
     assert not kept & {-1 - i for i in range(len(junk))}
     assert len(kept & {-1000 - i for i in range(len(short))}) == len(short)
     assert docs.filter("length(text) > 400 AND lang IS NOT NULL").select("doc_id").distinct().count() == len({i for i in kept if i >= 0} & {r["doc_id"] for r in docs.filter("length(text) > 400 AND lang IS NOT NULL").collect()})
+
+
+def test_query_covers_all_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = queries.QUERIES["op10_near_dedup"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == docs.count() and {r["class_id"] for r in got} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+    # every exact copy of words shares its class
+    own = {}
+    text = {r["doc_id"]: " ".join(WORD.findall((r["text"] or "").lower())) for r in docs.collect()}
+    for r in got:
+        if text[r["doc_id"]]:
+            assert own.setdefault(text[r["doc_id"]], r["class_id"]) == r["class_id"]
