@@ -1,6 +1,6 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter has a random vector of +1 and -1; a trigram's vector binds (multiplies) those of its letters, rotated by their places; texts and
+Each letter, of any script, has a random vector of +1 and -1 of its own; a trigram's vector binds (multiplies) those of its letters, rotated by their places; texts and
 languages bundle (add) the vectors of their trigrams; a text goes to the language whose prototype has the largest cosine.
 
 Defined cases: a null text, or one without letters, is `und` with score 0; with nothing to learn from, all are `und`; ties go to the first
@@ -19,37 +19,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomset.llm.common import blocks, part, ready
+from loomset.llm.common import blocks, mix, part, ready
 
 DIMS = 1024
-#: Letters: none, a to z, and shared places for the others.
-SYMBOLS = 128
+#: A trigram code holds three code points of so many bits; 0 stands for all that isn't a letter.
+BITS = 21
 #: A text's trigrams weigh this much together when languages are learned, so long texts don't outweigh short ones; one of more trigrams weighs their number.
 TEXT_WEIGHT = 1_000_000
 
 
 def _symbol(c: str) -> int:
-    if not c.isalpha():
-        return 0
-    c = c.lower()[0]
-    return ord(c) - 96 if "a" <= c <= "z" else 27 + (ord(c) * 2654435761 >> 7) % (SYMBOLS - 27)
+    return ord(c.lower()[0]) if c.isalpha() else 0
 
 
 @lru_cache(1)
 def _table() -> np.ndarray:
-    return np.array([_symbol(chr(i)) if not 0xD800 <= i < 0xE000 else 0 for i in range(0x10000)], np.uint8)
+    return np.array([_symbol(chr(i)) if not 0xD800 <= i < 0xE000 else 0 for i in range(0x10000)], np.int64)
 
 
-@lru_cache(1)
-def _letters() -> list[np.ndarray]:
-    """Vectors of the letters, one table for each of the three places in a trigram."""
-    base = np.random.default_rng(20).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMS))
-    return [np.roll(base, 2 - place, axis=1) for place in range(3)]
+def letters(symbols: np.ndarray) -> np.ndarray:
+    """Each symbol's vector of +1 and -1, drawn from its own code point."""
+    places = np.arange(DIMS // 64, dtype=np.uint64)
+    drawn = mix(mix(symbols.astype(np.uint64), 20)[:, None] + places * np.uint64(0x9E3779B97F4A7C15), 21)
+    return (np.unpackbits(drawn.view(np.uint8), axis=1).astype(np.int8) << 1) - 1
 
 
 def vectors(codes: np.ndarray) -> np.ndarray:
-    a, b, c = _letters()
-    return (a[codes // SYMBOLS**2] * b[codes // SYMBOLS % SYMBOLS] * c[codes % SYMBOLS]).astype(np.float32)
+    """Trigrams' vectors: those of the letters, rotated by their places and multiplied."""
+    out = np.ones((len(codes), DIMS), np.int8)
+    for place in range(3):
+        symbols, at = np.unique(codes >> BITS * (2 - place) & (1 << BITS) - 1, return_inverse=True)
+        out *= np.roll(letters(symbols), 2 - place, axis=1)[at]
+    return out.astype(np.float32)
 
 
 def trigrams(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +61,7 @@ def trigrams(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarr
     s = _table()[np.where(low, points, 0)]
     if not low.all():
         far, at = np.unique(points[~low], return_inverse=True)
-        s[~low] = np.array([_symbol(chr(i)) for i in far], np.uint8)[at]
+        s[~low] = np.array([_symbol(chr(i)) for i in far], np.int64)[at]
     # bytes that begin a code point, up to each row's limit
     heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[limits]
     before, after = np.zeros_like(s), np.zeros_like(s)
@@ -69,7 +70,7 @@ def trigrams(data: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarr
     before[inner] = 0
     after[inner - 1] = 0
     at = np.flatnonzero(s)
-    codes = before[at].astype(np.int64) * SYMBOLS**2 + s[at].astype(np.int64) * SYMBOLS + after[at]
+    codes = before[at] << 2 * BITS | s[at] << BITS | after[at]
     return codes, np.repeat(np.arange(len(limits) - 1), np.diff(np.searchsorted(at, heads)))
 
 
@@ -84,9 +85,10 @@ def learn(docs: DataFrame) -> dict[str, np.ndarray]:
             langs = batch.column("lang").dictionary_encode()
             codes, row = trigrams(data, limits)
             weight = np.maximum(1, TEXT_WEIGHT // np.maximum(1, np.bincount(row, minlength=len(limits) - 1)))
-            own, at = np.unique(np.asarray(langs.indices)[row] * SYMBOLS**3 + codes, return_inverse=True)
+            known, at = np.unique(codes, return_inverse=True)
+            own, at = np.unique(np.asarray(langs.indices)[row].astype(np.int64) * len(known) + at, return_inverse=True)
             total = np.bincount(at, weight[row], len(own)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(own // SYMBOLS**3)), pa.array(own % SYMBOLS**3), pa.array(total)], names=counted.names)
+            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(own // max(1, len(known)))), pa.array(known[own % max(1, len(known))]), pa.array(total)], names=counted.names)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
