@@ -3,9 +3,10 @@
 A leaf is a run of whole pre-tokens of about LEAF characters that begins where white space follows something else. There the tokenizer's pattern
 always ends a pre-token and looks neither back nor across, so leaves can be encoded alone and their counts add up. Counts stand in an array tree
 whose nodes hold the sums of their two children. An edit takes the leaves that it touches and the context up to the next leaf boundary, cuts and
-encodes their new text, and updates the sums above.
+encodes their new text, and updates the sums above. `kept_trees` keeps the documents' trees beside their texts as a column, to be written as a table;
+`count_edited` starts from that column where it is given, encodes nothing but what edits touch, and returns the trees as the edits leave them.
 
-Defined cases: a null text counts as empty, with 0 tokens; edits beyond the text's end are clipped to it; an edit list may be null or empty; edits
+Defined cases: a null tree, or one of another text, is made anew; a null text counts as empty, with 0 tokens; edits beyond the text's end are clipped to it; an edit list may be null or empty; edits
 apply in order, each to the text as left by those before; strings of special tokens are ordinary text; whole texts of any length count;
 repeated rows count alike; further columns are carried, but for those with the names of results.
 """
@@ -13,6 +14,7 @@ repeated rows count alike; further columns are carried, but for those with the n
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomset.llm.common import ready
+from loomset.llm.common import ready, settle
 
 #: Where the tokenizer's ranks lie; read by the driver and broadcast, about 1 MB.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -31,19 +33,26 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 LEAF = 400
 _BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
-ADDED = ("n_tokens", "n_tokens_after", "n_leaves", "n_encoded", "edited")
+ADDED = ("n_tokens", "n_tokens_after", "n_leaves", "n_encoded", "edited", "edited_tree")
 EDIT = "array<struct<start:bigint,deleted:bigint,inserted:string>>"
 
-_encodings: dict[tuple[int, str], tiktoken.Encoding] = {}
+#: A kept tree: a digest of its text, the number of leaves, and the characters and tokens of all nodes, the root at 1.
+TREE = "struct<digest:binary,leaves:bigint,chars:array<bigint>,tokens:array<bigint>>"
+
+_encodings: dict[tuple[bytes, str], tiktoken.Encoding] = {}
 
 
 def encoding(ranks: bytes) -> tiktoken.Encoding:
-    key = (len(ranks), PATTERN)
+    key = (hashlib.sha256(ranks).digest(), PATTERN)
     if key not in _encodings:
         _encodings[key] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}, special_tokens={})
     return _encodings[key]
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
 def leaves(text: str, size: int = LEAF) -> list[str]:
     out, at = [], 0
     while at < len(text):
@@ -57,9 +66,18 @@ def leaves(text: str, size: int = LEAF) -> list[str]:
 class Tree:
     """Leaves' texts, and sums of token and character counts in array trees: node i has the children 2 i and 2 i + 1."""
 
-    def __init__(self, text: str, encode) -> None:
+    def __init__(self, text: str, encode, kept: dict | None = None) -> None:
         self.encode, self.encoded = encode, 0
-        self._build([(x, self._count(x)) for x in leaves(text)])
+        if kept and kept["digest"] == _digest(text):
+            self.texts, self.chars, self.tokens, self.width, at = [], list(kept["chars"]), list(kept["tokens"]), len(kept["chars"]) // 2, 0
+            for size in self.chars[self.width : self.width + kept["leaves"]]:
+                self.texts.append(text[at : at + size])
+                at += size
+        else:
+            self._build([(x, self._count(x)) for x in leaves(text)])
+
+    def keep(self) -> dict:
+        return {"digest": _digest(self.text), "leaves": len(self.texts), "chars": self.chars, "tokens": self.tokens}
 
     def _count(self, text: str) -> int:
         self.encoded += 1
@@ -136,39 +154,52 @@ def read_ranks(spark: SparkSession, path: str = RANKS) -> bytes:
         return f.read()
 
 
-def count_edited(docs: DataFrame, edits: str = "edits", ranks: str = RANKS, carry: list[str] | None = None) -> DataFrame:
-    """docs (text, and the column `edits` of type EDIT) with n_tokens, n_tokens_after, n_leaves, n_encoded (leaves encoded for the edits) and the text after them as `edited`."""
+def _trees(docs: DataFrame, carry: list[str], inputs: list[str], added: list[T.StructField], ranks: str, each) -> DataFrame:
+    """The carried columns with those added: each(encode, row of the inputs) gives their values."""
     spark = ready(docs.sparkSession)
-    carry = [c for c in (docs.columns if carry is None else carry) if c != edits and c.lower() not in ADDED]
     shared = spark.sparkContext.broadcast(read_ranks(spark, ranks))
-    schema = T.StructType([docs.schema[c] for c in carry] + [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_tokens_after", "n_leaves", "n_encoded")] + [T.StructField("edited", T.StringType())])
+    schema = T.StructType([docs.schema[c] for c in carry] + added)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(shared.value).encode_ordinary
         for whole in batches:
-            for i in range(0, len(whole), 512):
-                batch = whole.slice(i, 512)
-                rows: list[list] = [[], [], [], [], []]
-                for text, changes in zip(batch.column("text").to_pylist(), batch.column(edits).to_pylist(), strict=True):
-                    tree = Tree(text or "", encode)
-                    before, built = tree.total, tree.encoded
-                    for e in changes or ():
-                        if e is not None:
-                            tree.edit(e["start"] or 0, max(0, e["deleted"] or 0), e["inserted"] or "")
-                    for column, x in zip(rows, (before, tree.total, len(tree.texts), tree.encoded - built, tree.text), strict=True):
-                        column.append(x)
-                yield pa.RecordBatch.from_arrays([batch.column(c).cast(arrow.field(c).type) for c in carry] + [pa.array(x, arrow.field(len(carry) + k).type) for k, x in enumerate(rows)], schema=arrow)
-
-    return docs.select(*dict.fromkeys([*carry, "text", edits])).mapInArrow(run, schema)
+            for i in range(0, len(whole), 256):
+                batch = whole.slice(i, 256)
+                rows = [each(encode, *row) for row in zip(*[batch.column(c).to_pylist() for c in inputs], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(c).cast(arrow.field(c).type) for c in carry] + [pa.array(x, arrow.field(f.name).type) for x, f in zip(zip(*rows, strict=True), added, strict=True)], schema=arrow)
+
+    return docs.select(*dict.fromkeys([*carry, *inputs])).mapInArrow(run, schema)
+
+
+def kept_trees(docs: DataFrame, ranks: str = RANKS, carry: list[str] | None = None) -> DataFrame:
+    """docs with `tree`, in place of a column of that name: the tree of text, of type TREE. Every leaf is encoded once, here."""
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() != "tree"]
+    return _trees(docs, carry, ["text"], [T.StructField("tree", T._parse_datatype_string(TREE))], ranks, lambda encode, text: (Tree(text or "", encode).keep(),))
+
+
+def count_edited(docs: DataFrame, edits: str = "edits", ranks: str = RANKS, carry: list[str] | None = None, tree: str | None = None) -> DataFrame:
+    """docs (text, the column `edits` of type EDIT, and the kept trees in the column `tree`, if named) with n_tokens, n_tokens_after, n_leaves, n_encoded (leaves encoded for the edits, and for trees made anew where trees were given), the text after the edits as `edited` and its tree as `edited_tree`."""
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in (edits, tree) and c.lower() not in ADDED]
+
+    def each(encode, text: str | None, changes: list | None, kept: dict | None = None) -> tuple:
+        own = Tree(text or "", encode, kept)
+        before, built = own.total, 0 if tree else own.encoded
+        for e in changes or ():
+            if e is not None:
+                own.edit(e["start"] or 0, max(0, e["deleted"] or 0), e["inserted"] or "")
+        return before, own.total, len(own.texts), own.encoded - built, own.text, own.keep()
+
+    added = [*[T.StructField(c, T.LongType()) for c in ADDED[:4]], T.StructField("edited", T.StringType()), T.StructField("edited_tree", T._parse_datatype_string(TREE))]
+    return _trees(docs, carry, ["text", edits, *([tree] if tree else [])], added, ranks, each)
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
-    """All documents, each with three edits that follow from its id: a word replaced near the middle, a stretch deleted, and a line added at the end."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    """All documents, whose trees are kept as a table first, each with three edits that follow from its id: a word replaced near the middle, a stretch deleted, and a line added at the end."""
+    docs = settle(kept_trees(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "trees")
     n = F.length(F.coalesce("text", F.lit(""))).cast("long")
     place = F.pmod(F.xxhash64("doc_id"), F.greatest(n, F.lit(1)))
     edit = lambda start, deleted, inserted: F.struct(start.cast("long").alias("start"), deleted.cast("long").alias("deleted"), inserted.alias("inserted"))
     edits = F.array(edit(F.floor(n / 2), F.lit(5), F.lit("word's")), edit(place, F.lit(40), F.lit("")), edit(n * 2, F.lit(0), F.concat(F.lit("\nRevision "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("."))))
-    counted = count_edited(docs.withColumn("edits", edits), carry=["doc_id"])
+    counted = count_edited(docs.withColumn("edits", edits), carry=["doc_id"], tree="tree")
     return counted.select("doc_id", "n_tokens", "n_tokens_after", F.length("edited").cast("long").alias("n_chars_after"), F.sha2("edited", 256).alias("text_sha256_after"), "n_leaves", "n_encoded")

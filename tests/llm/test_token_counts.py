@@ -5,6 +5,7 @@ import base64
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from loomset.llm import token_counts as tc
 
@@ -48,3 +49,32 @@ def test_table_with_nulls_and_columns(spark):
         assert r["n_tokens_after"] == len(ENCODE(r["edited"])) and r["n_tokens"] == len(ENCODE(r["text"] or ""))
     assert {r["edited"] for r in got} == {"Other text here", "new", "", "<|endoftext|>"}
     assert tc.count_edited(spark.createDataFrame([], df.schema)).count() == 0
+
+
+def test_trees_are_kept_between_runs(spark, tmp_path):
+    texts = [" ".join(f"word{i}" for i in range(4000)), "short", "", None, "x" * 5000, "short"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("Tree", F.lit("the caller's"))
+    tc.kept_trees(docs).write.parquet(str(tmp_path / "trees"))
+    kept = spark.read.parquet(str(tmp_path / "trees"))
+    edits = F.expr(f"cast(array(named_struct('start', 10, 'deleted', 3, 'inserted', 'new')) as {tc.EDIT})")
+    tc.count_edited(kept.withColumn("edits", edits), tree="tree").write.parquet(str(tmp_path / "second"))
+    second = {r["doc_id"]: r for r in spark.read.parquet(str(tmp_path / "second")).collect()}
+    for i, t in enumerate(texts):
+        t = t or ""
+        assert second[i]["edited"] == t[:10] + "new" + t[13:] and second[i]["n_tokens"] == len(ENCODE(t))
+        assert second[i]["n_tokens_after"] == len(ENCODE(second[i]["edited"]))
+    assert second[0]["n_leaves"] > 60 and second[0]["n_encoded"] <= 2
+    # the trees after the edits serve the next run; those of other texts are made anew
+    after = spark.read.parquet(str(tmp_path / "second")).select("doc_id", F.col("edited").alias("text"), F.col("edited_tree").alias("tree"))
+    none = F.expr(f"cast(null as {tc.EDIT})")
+    third = {r["doc_id"]: r for r in tc.count_edited(after.withColumn("edits", none), tree="tree").collect()}
+    assert all(r["n_encoded"] == 0 and r["n_tokens"] == second[i]["n_tokens_after"] for i, r in third.items())
+    stale = tc.count_edited(after.withColumn("text", F.concat(F.lit("z"), "text")).withColumn("edits", none), tree="tree").collect()
+    assert all(r["n_tokens"] == len(ENCODE(r["edited"])) for r in stale if r["edited"]) and any(r["n_encoded"] > 60 for r in stale)
+
+
+def test_query_against_whole_encodings(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = tc.op9_token_counts(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts) and all(r["n_tokens"] == len(ENCODE(texts[r["doc_id"]])) for r in got)
+    assert sum(r["n_encoded"] for r in got) < sum(r["n_leaves"] for r in got)
