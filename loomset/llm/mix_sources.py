@@ -1,13 +1,16 @@
 """Mixing sources to target weights: hash-random order within each source, distributed prefix sums of sizes, and a cut at each source's exact budget.
 
 Defined cases: a null text has size 0; null sources are one source, ordered last; rows that repeat a doc_id have one order by (key, doc_id,
-size), so reruns agree; an empty table gives no rows; sources of size 0 get target 0; columns with
+size, text), so reruns agree; rows with null ids have keys from their texts; an empty table gives no rows; sources of size 0 get target 0; columns with
 the names of results give way. Keys are uniform, so equal ranges of the key space hold
-equal shares of a source's rows: `digits` hex digits cut every source, a hot one too, into 16 ** digits sorted ranges.
+equal shares of a source's rows: `digits` hex digits cut every source, a hot one too, into 16 ** digits sorted ranges, and more digits are taken
+where a range would hold more than ROWS rows; results don't depend on them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,49 +18,82 @@ from pyspark.sql import functions as F
 from loomset.llm.common import settle
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a range that one task sorts, about.
+ROWS = 1_000_000
 
 
 def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame, seed: str, digits: int) -> DataFrame:
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")).cast("binary"))
-    slot = F.concat(F.substring("_key", 1, digits), F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
-    return docs.withColumn("_key", key).withColumn("_slot", slot)
+def _keyed(docs: DataFrame, seed: str) -> DataFrame:
+    """docs (doc_id, source, tie, ..) with a hash-random _key, in hex digits."""
+    named = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("none:"), F.col("tie").cast("string"))))
+    return docs.withColumn("_key", F.md5(named.cast("binary")))
+
+
+def _slot(digits: int) -> Column:
+    return F.concat(F.substring("_key", 1, digits), F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
+
+
+def running(rows: DataFrame, order: list[str | Column], **values: Column) -> DataFrame:
+    """rows with, for each name, the sum of the value over the rows up to and with each, in an order without ties.
+
+    Rows are cut into sorted ranges; a range's rows are summed up in one task, and only the ranges' totals, one row each, are ordered together.
+    """
+    cut = settle(rows.repartitionByRange(*order).withColumns(values).withColumn("_range", F.spark_partition_id()), "cut")
+    ahead = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = cut.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values])
+    offsets = totals.select("_range", *[F.coalesce(F.sum(v).over(ahead), F.lit(0)).alias(f"_{v}") for v in values])
+    inside = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = cut.withColumns({v: F.sum(v).over(inside) for v in values}).join(F.broadcast(offsets), "_range")
+    return summed.select(*rows.columns, *[(F.col(v) + F.col(f"_{v}")).alias(v) for v in values])
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size) with weight and target: share * all sizes dealt by weight, none above most * its size, the excess dealt again.
 
     Dealing again until none is above ends at one level per unit of weight, found here by prefix sums over sources in the order in which they
-    fill up. One row per source, so one ordered pass over the sources is enough.
+    fill up. One row per source; the driver gets the totals and the level.
     """
-    by_name, filling, every = W.orderBy(F.col("source").isNull(), F.col("source")), W.orderBy("ratio", "rank"), W.partitionBy(F.lit(1))
-    ranked = sources.withColumn("rank", F.row_number().over(by_name)).withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") - 1) % len(weights) + 1))
-    caps = ranked.withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight")).withColumn("total", F.lit(float(share)) * F.sum("source_size").over(every))
-    level = caps.withColumn("full", F.coalesce(F.sum("cap").over(filling.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).withColumn("level", (F.col("total") - F.col("full")) / F.sum("weight").over(filling.rowsBetween(0, W.unboundedFollowing)))
-    first = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "rank", "level"))).over(every)["level"]
-    return level.select("source", "source_size", "weight", F.least("cap", F.coalesce(first, F.lit(0.0) + F.col("ratio")) * F.col("weight")).alias("target"))
+    ranked = running(sources, [F.col("source").isNull(), "source"], rank=F.lit(1))
+    ranked = ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
+    caps = settle(ranked.withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight")), "caps")
+    all_ = caps.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    total, weight = float(share) * (all_["size"] or 0), all_["weight"] or 0.0
+    filling = running(caps, ["ratio", "rank"], caps=F.col("cap"), filled=F.col("weight"))
+    level = (F.lit(total) - (F.col("caps") - F.col("cap"))) / (F.lit(weight) - (F.col("filled") - F.col("weight")))
+    first = filling.withColumn("level", level).filter("level <= ratio").agg(F.min(F.struct("ratio", "rank", "level"))["level"].alias("level")).first()["level"]
+    return caps.select("source", "source_size", "weight", F.col("cap").alias("target") if first is None else F.least("cap", F.lit(first) * F.col("weight")).alias("target"))
 
 
 ADDED = ("size", "source_size", "target", "taken", "epoch")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", digits: int = 2, size: Column | None = None) -> DataFrame:
-    """docs with size, source_size, target, taken (words the mix takes, repeats counted), in place of columns of those names. size: an expression for the size, if not the words of text.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: str = "mix", digits: int = 2, size: Column | None = None, tie: Column | None = None) -> DataFrame:
+    """docs with size, source_size, target, taken (words the mix takes, repeats counted), in place of columns of those names. size, tie: expressions for the size and for what tells rows of one id apart, if not the words and a hash of text.
 
     One aggregation over (source, key range), a small table, gives all totals; a range's prefix is the sum of those before it; inside a range a sorted window
     runs. Documents are shuffled once, by (source, range).
     """
     sized = words_in(F.col("text")) if size is None else size
+    apart = F.xxhash64("text") if tie is None else tie
     rest_of = [c for c in docs.columns if c.lower() not in ADDED]
-    keyed = _keyed(docs.select("doc_id", "source", sized.alias("size"), F.struct(*rest_of).alias("row")), seed, digits)
-    ranges = settle(keyed.groupBy("_slot", "source").agg(F.sum("size").alias("range_size")), "ranges")
+    keyed = _keyed(docs.select("doc_id", "source", sized.alias("size"), apart.alias("tie"), F.struct(*rest_of).alias("row")), seed)
+    before_it = None  # where more digits don't help, rows share a key
+    while True:
+        slotted = keyed.withColumn("_slot", _slot(digits))
+        ranges = settle(slotted.groupBy("_slot", "source").agg(F.sum("size").alias("range_size"), F.count("*").alias("rows")), "ranges")
+        largest = ranges.agg(F.max("rows")).first()[0] or 0
+        if largest <= ROWS or largest == before_it or digits >= 8:
+            break
+        before_it = largest
+        digits = min(8, digits + max(1, math.ceil(math.log(largest / ROWS, 16))))
+    keyed = slotted
     dealt = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most)
     before = F.coalesce(F.sum("range_size").over(W.partitionBy("source").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     info = ranges.withColumn("_before", before).join(dealt.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("_slot", "_before", "source_size", "target")
-    inside = F.sum("size").over(W.partitionBy("_slot").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+    inside = F.sum("size").over(W.partitionBy("_slot").orderBy("_key", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
     placed = keyed.join(info, "_slot").withColumn("_at", F.col("_before") + inside)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.floor("target").cast("long") - epochs * F.col("source_size")
@@ -75,8 +111,8 @@ def materialise(mixed: DataFrame) -> DataFrame:
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", words_in(F.col("text")).alias("n"))
-    return mix(sized, size=F.col("n")).select("doc_id", "size", "source_size", "target", "taken")
+    sized = docs.select("doc_id", "source", words_in(F.col("text")).alias("n"), F.xxhash64("text").alias("t"))
+    return mix(sized, size=F.col("n"), tie=F.col("t")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP4_SQL = r"""
