@@ -14,8 +14,8 @@ from loomset.llm.common import settle
 from loomset.llm.names import apart
 
 #: A text goes if its best cosine isn't above a bound: it looks like no language learned. The bound rises from 0 at FEW trigrams, so that texts of a
-#: few words stay, to LEAST_COSINE at MANY. Calibrated on sf0.01: letters at random, in any script, reach 0.14 at most, documents of more than FEW
-#: trigrams 0.248 at least.
+#: few words stay, to LEAST_COSINE at MANY. Calibrated on sf0.01: letters at random, in any script, reach 0.14 at most, documents of 28
+#: trigrams and more 0.248 at least.
 LEAST_COSINE = 0.16
 FEW, MANY = 24, 84
 
