@@ -225,29 +225,27 @@ def key_names(spark, d: str) -> DataFrame:
 
 
 def _modules(spark, d: str) -> DataFrame:
-    """A module for each label: its vectors as rows of a matrix, base against base * 1.01 + 0.001."""
-    rows = table(spark, d, "embeddings").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<float>").alias("v")))).alias("r"))
-    flat = F.flatten(F.transform("r", lambda x: x.v))
-    shape = F.array(F.size("r").cast("long"), F.lit(64).cast("long"))
-    t = rows.select(F.format_string("blocks.%d.w.weight", "label").alias("key"), F.lit("F32").alias("dtype"), shape.alias("shape"), flat.alias("values"))
-    tuned = t.withColumn("values", F.transform("values", lambda x: (x * F.lit(1.01).cast("float")).cast("float")))
-    return tensors.lora_modules(t, tuned)
+    """A module for each label: its vectors as rows of a matrix, base against base * 1.01."""
+    base = table(spark, d, "embeddings").select(paths.lora_name(F.format_string("blocks.%d.w.weight", "label")).alias("module"), F.col("vec_id").alias("row"), F.col("embedding").cast("array<float>").alias("values"))
+    tuned = base.withColumn("values", F.transform("values", lambda x: (x * F.lit(1.01).cast("float")).cast("float")))
+    return tensors.delta_rows(base, tuned)
 
 
 @query("lora_delta_norm", "SELECT 'lora_unet_blocks_' || label || '_w' AS module, count(*)::BIGINT AS rows, round(sum(list_sum(list_transform(embedding::FLOAT[], lambda x: (((x * 1.01::FLOAT)::FLOAT - x)::FLOAT)::DOUBLE ** 2))), 8) AS norm2 FROM embeddings GROUP BY label")
 def lora_delta_norm(spark, d: str) -> DataFrame:
-    return _modules(spark, d).select("module", F.col("shape")[0].alias("rows"), F.round(F.aggregate("delta", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 8).alias("norm2"))
+    return tensors.module_norms(_modules(spark, d)).select("module", "rows", F.round("norm2", 8).alias("norm2"))
 
 
 @query("lora_energy")
 def lora_energy(spark, d: str) -> DataFrame:
-    return tensors.extract_lora(_modules(spark, d), rank=16).select("module", "rank", F.round("energy", 4).alias("energy"), F.size("up").alias("n_up"), F.size("down").alias("n_down"))
+    found = tensors.low_rank_basis(_modules(spark, d), rank=16).join(tensors.module_norms(_modules(spark, d)).select("module", "rows"), "module")
+    return found.select("module", "rank", F.round("energy", 4).alias("energy"), (F.col("rows") * F.col("rank")).cast("int").alias("n_up"), F.size("basis").alias("n_down"))
 
 
 @query("lora_full_rank", "SELECT count(DISTINCT label)::BIGINT AS n, true AS whole FROM embeddings")
 def lora_full_rank(spark, d: str) -> DataFrame:
     """At full rank the factors hold all of the delta."""
-    r = tensors.energy_report(tensors.extract_lora(_modules(spark, d), rank=64))
+    r = tensors.energy_report(tensors.low_rank_basis(_modules(spark, d), rank=64))
     return r.select("n", (F.abs(F.col("min") - 1) < 1e-9).alias("whole"))
 
 
