@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomset.plans import record_queries, tensor_queries
+from loomset.plans import checkpoint_queries, record_queries, tensor_queries
 
-QUERIES = {**record_queries.QUERIES, **tensor_queries.QUERIES}
-ORACLES = {**record_queries.ORACLES, **tensor_queries.ORACLES}
+QUERIES = {**record_queries.QUERIES, **tensor_queries.QUERIES, **checkpoint_queries.QUERIES}
+ORACLES = {**record_queries.ORACLES, **tensor_queries.ORACLES, **checkpoint_queries.ORACLES}

@@ -1,12 +1,10 @@
 """Checkpoint tensors as rows: weight-delta merges, low-rank extraction, and rotated 8-bit quantisation.
 
-Elementwise work is array expressions over float columns; only matrix factorisation is Python, one module in each call.
+Elementwise work is array expressions over float columns. Factors of matrices are in lowrank, whole files in checkpoints.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -219,47 +217,31 @@ def refuse_bad(errors: DataFrame, least: float = 0.99) -> DataFrame:
     return errors.withColumn("cosine", F.when(F.assert_true(F.col("cosine") > least, F.concat(F.lit("bad cosine: "), F.col("cosine").cast("string"))).isNull(), F.col("cosine")))
 
 
-# --- low rank ---
+# --- low rank: which weights, and their deltas (factors: lowrank) ---
 
 
-def lora_modules(base: DataFrame, tuned: DataFrame, include: str | None = None, exclude: str | None = None, arch: str = "auto") -> DataFrame:
-    """Two-dimensional float weights of both sides with one shape, by bare key: module, shape, delta."""
-    both = _bare(base, arch, "b").join(_bare(tuned, arch, "t"), "bare")
+def lora_pairs(base: DataFrame, tuned: DataFrame, include: str | None = None, exclude: str | None = None, arch: str = "auto") -> DataFrame:
+    """(module, bare, shape, b, t): the two-dimensional weights of both sides, of one shape and a float type on the base's side, that the patterns leave. b and t hold the other columns of either side."""
+    side = lambda df, name: df.withColumn("bare", arch_stripped(F.col("key"), arch)).groupBy("bare").agg(F.max_by(F.struct(*df.columns), "key").alias(name))
+    both = side(base, "b").join(side(tuned, "t"), "bare")
     ok = F.endswith(F.col("bare"), F.lit(".weight")) & is_float(F.col("b.dtype")) & (F.size("b.shape") == 2) & (F.col("b.shape") == F.col("t.shape"))
     if include:
         ok = ok & F.col("bare").rlike(include)
     if exclude:
         ok = ok & ~F.col("bare").rlike(exclude)
-    return both.filter(ok).select(lora_name(F.col("bare")).alias("module"), F.col("b.shape").alias("shape"), delta(F.col("b.values"), F.col("t.values")).alias("delta"))
-
-
-FACTORS = "module string, rank int, alpha double, up array<float>, down array<float>, sigma array<double>, energy double, norm2 double"
+    return both.filter(ok).select(lora_name(F.col("bare")).alias("module"), "bare", F.col("b.shape").alias("shape"), "b", "t")
 
 
-def extract_lora(modules: DataFrame, rank: int = 32, alpha: float | None = None, oversample: int = 8, niter: int = 2, seed: int = 0) -> DataFrame:
-    """Factors of each module's delta by randomised range finding and a small exact factorisation; up @ down approximates the delta.
-
-    energy: the share of squared size that the rank holds, 1 for a delta of zeros. A module is one row, so it must fit in a task.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+def lora_modules(base: DataFrame, tuned: DataFrame, include: str | None = None, exclude: str | None = None, arch: str = "auto") -> DataFrame:
+    """(module, shape, delta) of lora_pairs."""
+    return lora_pairs(base, tuned, include, exclude, arch).select("module", "shape", delta(F.col("b.values"), F.col("t.values")).alias("delta"))
 
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                d = np.asarray(r.delta, np.float64).reshape(tuple(int(x) for x in r.shape))
-                k = min(rank, *d.shape)
-                q = np.linalg.qr(d @ np.random.default_rng(seed).standard_normal((d.shape[1], min(k + oversample, min(d.shape)))))[0]
-                for _ in range(niter):
-                    q = np.linalg.qr(d @ np.linalg.qr(d.T @ q)[0])[0]
-                u, s, vt = np.linalg.svd(q.T @ d, full_matrices=False)
-                norm2, a = float((d**2).sum()), float(k if alpha is None else alpha)
-                fold = np.sqrt(s[:k]) * np.sqrt(k / a)
-                out.append((r.module, k, a, ((q @ u[:, :k]) * fold).astype("f4").ravel(), (fold[:, None] * vt[:k]).astype("f4").ravel(), s[:k], float((s[:k] ** 2).sum() / norm2) if norm2 else 1.0, norm2))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FACTORS.split(", ")])
 
-    return modules.mapInPandas(run, FACTORS)
+def lora_rows(modules: DataFrame) -> DataFrame:
+    """lora_modules as (module, row, delta), a row of a matrix each."""
+    width = F.col("shape")[1].cast("int")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shape")[0] - 1))
+    return modules.filter((F.col("shape")[0] > 0) & (F.col("shape")[1] > 0)).select("module", each.alias("row"), "shape", "delta").select("module", "row", F.slice("delta", (F.col("row") * width + 1).cast("int"), width).alias("delta"))
 
 
 def delta_rows(base: DataFrame, tuned: DataFrame) -> DataFrame:
@@ -272,86 +254,3 @@ def module_norms(rows: DataFrame) -> DataFrame:
     """rows (module, row, delta) -> (module, rows, width, norm2: the squared size)."""
     squares = F.aggregate("delta", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return rows.groupBy("module").agg(F.count("*").alias("rows"), F.max(F.size("delta")).alias("width"), F.sum(squares).alias("norm2"))
-
-
-BASIS = "module string, rank int, width int, basis array<double>, sigma array<double>, energy double, norm2 double"
-
-
-def low_rank_basis(rows: DataFrame, rank: int = 32, oversample: int = 8, niter: int = 2, seed: int = 0, block: int = 256) -> DataFrame:
-    """rows (module, row, delta), a row of a matrix each, of one width in a module -> BASIS: the leading right singular vectors (width x rank), their singular values, and the share of squared size that they hold (1 for zeros).
-
-    The range of the transposed matrix is found from random directions: in each pass blocks of rows make partial products, which Spark sums place by
-    place, so a task holds a block and width x (rank + oversample) numbers, never a module. Write the result down before using it twice: of equal
-    singular values another run may give other vectors.
-    """
-    sizes = module_norms(rows)
-    blocks = rows.groupBy("module", F.floor(F.col("row") / block).alias("block")).agg(F.collect_list("delta").alias("part"))
-
-    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for pdf in batches:
-            for w, module in zip(pdf["width"], pdf["module"], strict=True):
-                start = np.linalg.qr(np.random.default_rng(seed).standard_normal((w, min(rank + oversample, w))))[0]
-                yield pd.DataFrame({"module": [module], "v": [start.ravel()]})
-
-    def products(last: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import numpy as np
-
-            for pdf in batches:
-                for module, part, v in zip(pdf["module"], pdf["part"], pdf["v"], strict=True):
-                    d = np.stack([np.asarray(x, np.float64) for x in part])
-                    y = d @ np.asarray(v).reshape(d.shape[1], -1)
-                    z = (y.T @ y if last else d.T @ y).ravel()
-                    yield pd.DataFrame({"module": module, "place": np.arange(len(z)), "z": z})
-
-        return run
-
-    def summed(v: DataFrame, last: bool) -> DataFrame:
-        parts = blocks.join(v, "module").mapInPandas(products(last), "module string, place long, z double")
-        placed = parts.groupBy("module", "place").agg(F.sum("z").alias("z"))
-        return placed.groupBy("module").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "z"))), lambda x: x.z).alias("z"))
-
-    def orthonormal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for pdf in batches:
-            for module, w, z in zip(pdf["module"], pdf["width"], pdf["z"], strict=True):
-                yield pd.DataFrame({"module": [module], "v": [np.linalg.qr(np.asarray(z).reshape(w, -1))[0].ravel()]})
-
-    def leading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        names = [c.split()[0] for c in BASIS.split(", ")]
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                v = np.asarray(r.v).reshape(r.width, -1)
-                squares, turn = np.linalg.eigh(np.asarray(r.z).reshape(v.shape[1], -1))
-                k = int(min(rank, r.rows, r.width))
-                squares, turn = np.maximum(squares[::-1][:k], 0), turn[:, ::-1][:, :k]
-                yield pd.DataFrame([(r.module, k, r.width, (v @ turn).ravel(), np.sqrt(squares), float(squares.sum() / r.norm2) if r.norm2 else 1.0, r.norm2)], columns=names)
-
-    v = sizes.mapInPandas(begin, "module string, v array<double>")
-    for _ in range(niter + 1):
-        v = sizes.join(summed(v, False), "module").mapInPandas(orthonormal, "module string, v array<double>")
-    return sizes.join(v, "module").join(summed(v, True), "module").mapInPandas(leading, BASIS)
-
-
-def adapter_rows(rows: DataFrame, basis: DataFrame, alpha: float | None = None) -> DataFrame:
-    """The adapter's tensors: (key, row, values): of each module .lora_up.weight by the matrix's rows, .lora_down.weight by rank, and .alpha; up @ down times alpha / rank approximates the delta."""
-    scale = F.sqrt(F.col("rank") / F.col("a"))
-    held = basis.withColumn("a", F.col("rank").cast("double") if alpha is None else F.lit(float(alpha)))
-    # an entry of up: the row times a basis vector is singular value times left vector, so one over the root of the value remains
-    column = lambda j: F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.get("basis", i * F.col("rank") + j))
-    dot = lambda j: F.aggregate(F.zip_with("delta", column(j), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    root = lambda j: F.sqrt(F.get("sigma", j))
-    named = lambda end, row, values: (F.concat("module", F.lit(end)).alias("key"), row.cast("long").alias("row"), values.cast("array<float>").alias("values"))
-    ranks = F.sequence(F.lit(0), F.col("rank") - 1)
-    up = rows.join(held, "module").select(*named(".lora_up.weight", F.col("row"), F.transform(ranks, lambda j: F.when(root(j) > 0, dot(j) / root(j) * scale).otherwise(0.0))))
-    down = held.withColumn("j", F.explode(ranks)).select(*named(".lora_down.weight", F.col("j"), F.transform(column(F.col("j")), lambda x: x * root(F.col("j")) * scale)))
-    return up.unionByName(down).unionByName(held.select(*named(".alpha", F.lit(None), F.array("a"))))
-
-
-def energy_report(factors: DataFrame) -> DataFrame:
-    return factors.agg(F.avg("energy").alias("mean"), F.min("energy").alias("min"), F.min_by("module", F.struct("energy", "module")).alias("worst"), F.count("*").alias("n"))

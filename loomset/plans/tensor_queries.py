@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomset.operators import enrich, tensors
+from loomset.operators import enrich, lowrank, tensors
 from loomset.functions import paths
 from loomset.plans.derive import table
 
@@ -212,9 +212,10 @@ def compute_dtype(spark, d: str) -> DataFrame:
     return tensors.compute_dtype(_layers(spark, d).select(F.concat("base", F.lit(".weight")).alias("key"), "dtype"))
 
 
-@query("quant_config", """SELECT g.gs::INTEGER AS gs, '{"format": "int8_tensorwise", "convrot": true, "convrot_groupsize": ' || g.gs || '}' AS json FROM (VALUES (256), (64), (16)) AS g(gs)""")
+@query("quant_config", _plan_sql(tensors.DENY["effective"]) + """SELECT best::INTEGER AS gs, '{"format": "int8_tensorwise", "convrot": true, "convrot_groupsize": ' || best || '}' AS json, count(*)::BIGINT AS n FROM plan WHERE reason IS NULL GROUP BY best""")
 def quant_config(spark, d: str) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, tensors.GROUPS))).alias("gs")).select("gs", tensors.quant_json(F.col("gs")).alias("json"))
+    """The settings that the planned layers get, and how many get them."""
+    return _plan(spark, d).filter("gs IS NOT NULL").withColumn("json", tensors.quant_json(F.col("gs"))).groupBy("gs", "json").agg(F.count("*").alias("n"))
 
 
 @query("key_names", "SELECT p_partkey, 'lora_unet_b_' || p_partkey || '_w' AS lora, 'b.' || p_partkey || '.w.weight' AS bare, 'b.N.w.weight' AS pattern, '/m/a_' || p_partkey || '_int8_convrot-fp16.safetensors' AS dst, '/m/a_' || p_partkey || '_int8_convrot.safetensors' AS grown FROM part")
@@ -238,14 +239,14 @@ def lora_delta_norm(spark, d: str) -> DataFrame:
 
 @query("lora_energy")
 def lora_energy(spark, d: str) -> DataFrame:
-    found = tensors.low_rank_basis(_modules(spark, d), rank=16).join(tensors.module_norms(_modules(spark, d)).select("module", "rows"), "module")
+    found = lowrank.low_rank_basis(_modules(spark, d), rank=16).join(tensors.module_norms(_modules(spark, d)).select("module", "rows"), "module")
     return found.select("module", "rank", F.round("energy", 4).alias("energy"), (F.col("rows") * F.col("rank")).cast("int").alias("n_up"), F.size("basis").alias("n_down"))
 
 
 @query("lora_full_rank", "SELECT count(DISTINCT label)::BIGINT AS n, true AS whole FROM embeddings")
 def lora_full_rank(spark, d: str) -> DataFrame:
     """At full rank the factors hold all of the delta."""
-    r = tensors.energy_report(tensors.low_rank_basis(_modules(spark, d), rank=64))
+    r = lowrank.energy_report(lowrank.low_rank_basis(_modules(spark, d), rank=64))
     return r.select("n", (F.abs(F.col("min") - 1) < 1e-9).alias("whole"))
 
 

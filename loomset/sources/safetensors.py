@@ -1,13 +1,12 @@
 """Safetensors checkpoints: tensors as rows, and back.
 
-The header is read first; then executors read each tensor's bytes by offset, so a tensor is a row and no file passes through one task.
+The header is read first; then executors read and write tensors' bytes by offset (tensorfile), so no file passes through one task.
 """
 
 from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,21 +50,14 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "key string, dtype string, shape array<bigint>, begin bigint, end bigint, ord bigint")
 
 
-def read(spark: SparkSession, path: str, keys: Column | None = None, partitions: int | None = None) -> DataFrame:
-    """scan with data; filter by keys before bytes are read. The path must be open to all executors."""
-    wanted = scan(spark, path) if keys is None else scan(spark, path).filter(keys)
+def read(spark: SparkSession, path: str, keys: Column | None = None, chunk_bytes: int | None = None) -> DataFrame:
+    """scan with row, rows and data; tensors that `keys`, a filter over scan's rows, doesn't take aren't read. The path must be open to all executors.
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with open(path, "rb") as f:
-            for pdf in batches:
-                for i in range(len(pdf)):  # a tensor at a time: they may be large
-                    one = pdf.iloc[i : i + 1].copy()
-                    f.seek(int(one["begin"].iloc[0]))
-                    one["data"] = [f.read(int(one["end"].iloc[0] - one["begin"].iloc[0]))]
-                    yield one
+    A tensor of more than chunk_bytes comes as several rows, `rows` of its rows from `row` on.
+    """
+    from loomset.sources import tensorfile
 
-    spread = wanted.repartition(partitions, "key") if partitions else wanted
-    return spread.mapInPandas(load, "key string, dtype string, shape array<bigint>, begin bigint, end bigint, ord bigint, data binary")
+    return tensorfile.read(spark, path, keys, chunk_bytes or tensorfile.CHUNK)
 
 
 def decode(data: bytes, dtype: str) -> np.ndarray:
@@ -107,20 +99,14 @@ def encoded(tensors: DataFrame, dtype: Column) -> DataFrame:
 
 
 def write(tensors: DataFrame, path: str, extra: dict[str, str] | None = None) -> None:
-    """One file, as the format wants: the header from names, types and shapes, then bytes in order of ord, a partition at a time."""
-    plan = tensors.select("ord", "key", "dtype", "shape").orderBy("ord").collect()
-    tree: dict = {"__metadata__": dict(extra)} if extra else {}
-    at = 0
-    for r in plan:
-        size = SIZES[r["dtype"]] * int(np.prod(r["shape"], dtype=np.int64))
-        tree[r["key"]] = {"dtype": r["dtype"], "shape": list(r["shape"]), "data_offsets": [at, at + size]}
-        at += size
-    head = json.dumps(tree, separators=(",", ":"), sort_keys=True).encode()
-    head += b" " * (-(8 + len(head)) % PADDING)
-    with open(path, "wb") as out:
-        out.write(struct.pack("<Q", len(head)) + head)
-        for want, r in zip(plan, tensors.select("ord", "key", "data").orderBy("ord").toLocalIterator(), strict=True):
-            a, b = tree[want["key"]]["data_offsets"]
-            if r["key"] != want["key"] or len(r["data"]) != b - a:
-                raise ValueError(f"{r['key']}: not as planned")
-            out.write(r["data"])
+    """One file, as the format wants, of rows (ord, key, dtype, shape, data), or with `row`, of which data begins with that row of the tensor.
+
+    Names, types and shapes make the header on the driver; executors write the bytes at their places (see tensorfile).
+    """
+    from loomset.sources import tensorfile
+
+    plan = tensors.groupBy("key").agg(F.first("dtype").alias("dtype"), F.first("shape").alias("shape"), F.min("ord").alias("ord")).orderBy("ord", "key").collect()
+    size = F.element_at(F.create_map(*[F.lit(x) for kv in SIZES.items() for x in kv]), F.col("dtype"))
+    inner = F.aggregate(F.slice("shape", F.lit(2), F.greatest(F.size("shape") - 1, F.lit(0))), F.lit(1).cast("long"), lambda a, x: a * x)
+    at = F.col("row") * size * inner if "row" in tensors.columns else F.lit(0)
+    tensorfile.write(tensors.select("key", at.alias("at"), "data"), path, [(r["key"], r["dtype"], r["shape"]) for r in plan], extra)

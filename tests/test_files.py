@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomset import config
-from loomset.operators import enrich, tensors
+from loomset.operators import enrich, lowrank, tensors
 from loomset.sources import images, records, ron, safetensors, sinks, tagdict
 
 RON = """(
@@ -119,15 +119,15 @@ def test_low_rank_delta_is_recovered(spark):
     rng = np.random.default_rng(2024)
     u, v = (np.linalg.qr(rng.standard_normal((n, 5)))[0] for n in (72, 40))
     d = (u * np.array([3.0, 1.5, 0.8, 0.4, 0.2])) @ v.T
-    row = [("m", [72, 40], d.astype("f4").ravel().tolist()), ("zero", [8, 8], [0.0] * 64)]
-    table = spark.createDataFrame(row, "module string, shape array<bigint>, delta array<float>")
-    got = {r["module"]: r for r in tensors.extract_lora(table, rank=5, alpha=10.0).collect()}
-    r = got["m"]
-    back = np.array(r["up"]).reshape(72, 5) @ np.array(r["down"]).reshape(5, 40) * (10.0 / 5)
-    assert abs(r["energy"] - 1) < 1e-4 and np.abs(back - d).max() < 1e-5
-    two = {r["module"]: r for r in tensors.extract_lora(table, rank=2, alpha=2.0).collect()}["m"]
+    side = lambda x: spark.createDataFrame([("net.m.weight", "F32", [72, 40], x.astype("f4").ravel().tolist()), ("net.zero.weight", "F32", [8, 8], [0.5] * 64)], "key string, dtype string, shape array<bigint>, values array<float>")
+    rows = tensors.lora_rows(tensors.lora_modules(side(np.zeros((72, 40))), side(d)))
+    basis, made = lowrank.adapter(rows, rank=5, alpha=10.0)
+    got = {r["module"]: r for r in basis.collect()}
+    up, down = (np.array([r["values"] for r in made.filter(F.col("key") == f"lora_unet_m.lora_{x}.weight").orderBy("row").collect()]) for x in ("up", "down"))
+    assert abs(got["lora_unet_m"]["energy"] - 1) < 1e-4 and np.abs(up @ down * (10.0 / 5) - d).max() < 1e-5
+    two = {r["module"]: r for r in lowrank.low_rank_basis(rows, rank=2).collect()}["lora_unet_m"]
     assert abs(two["energy"] - (9 + 2.25) / (9 + 2.25 + 0.64 + 0.16 + 0.04)) < 1e-4
-    assert got["zero"]["energy"] == 1.0
+    assert got["lora_unet_zero"]["energy"] == 1.0
     h = np.array(tensors.hadamard(64)) / 8
     assert np.allclose(h @ h, np.eye(64)) and np.allclose(h, h.T)
 
