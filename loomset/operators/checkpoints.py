@@ -145,8 +145,9 @@ def adapter_file(spark: SparkSession, base: str, tuned: str, output: str, rank:
                 slot = r["first"] * r["width"] * 4 // max(1, slot_bytes)
                 yield _batch(["module", "slot", "ids", "width", "delta"], [pa.string(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.binary()], [(r["module"], slot, list(range(r["first"], r["first"] + r["count"])), r["width"], delta.astype("<f4").tobytes())])
 
+    slots = sum(1 + n * w * 4 // max(1, slot_bytes) for n, w in shapes.values())
     blocks = _spread(cut, sum(n * w * 8 for n, w in shapes.values())).mapInArrow(run, lowrank.BLOCKS)
-    basis, up = lowrank.factored(blocks, rank, oversample, niter, finish=lowrank.up_blocks(alpha))
+    basis, up = lowrank.factored(blocks, rank, oversample, niter, finish=lowrank.up_blocks(alpha), buckets=min(4096, max(lowrank.BUCKETS, slots)))
     ranks = {m: min(rank, *s) for m, s in shapes.items()}
     each = SIZES[save_dtype]
 

@@ -24,8 +24,8 @@ from loomset.storage import Scratch
 
 #: Fixed value: a direction is dependent if less than this share of its length is left after projection.
 DEPENDENT = 1e-6
-#: Bytes of a slot, about; products that one task sums up; buckets.
-SLOT, FAN, BUCKETS = 64 << 20, 16, 32
+#: Bytes of a slot, about; products that one task sums up; buckets at least.
+SLOT, FAN, BUCKETS = 64 << 20, 16, 8
 
 BLOCKS = "module string, slot int, ids array<bigint>, width int, delta binary"
 BASIS = "module string, rank int, width int, basis array<double>, sigma array<double>, energy double, norm2 double"
@@ -143,16 +143,16 @@ def low_rank_basis(rows: DataFrame, rank: int = 32, oversample: int = 8, niter:
     return factored(blocks_of(rows, block, slot_bytes), rank, oversample, niter, seed)[0]
 
 
-def factored(blocks: DataFrame, rank: int = 32, oversample: int = 8, niter: int = 2, seed: int = 0, finish: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame | None]:
+def factored(blocks: DataFrame, rank: int = 32, oversample: int = 8, niter: int = 2, seed: int = 0, finish: Callable[[DataFrame, DataFrame], DataFrame] | None = None, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame | None]:
     """BLOCKS -> BASIS: the leading right singular vectors (width x rank), their singular values, and the share of squared size that they hold (1 for zeros).
 
     finish(blocks, basis by slot) may make more of the bucketed blocks; its rows are written down too. Of equal singular values another run may give
-    other vectors, so the basis is a table that stays.
+    other vectors, so the basis is a table that stays. buckets: tasks of a pass; choose about as many as there are slots.
     """
     spark = blocks.sparkSession
     extra = rank + oversample
     with Scratch(spark) as run:
-        held = run.bucketed(blocks.withColumn("at", F.concat_ws(":", F.col("slot").cast("string"), "module")), "blocks", "at", BUCKETS)
+        held = run.bucketed(blocks.withColumn("at", F.concat_ws(":", F.col("slot").cast("string"), "module")), "blocks", "at", buckets)
 
         def norms(part: pa.RecordBatch) -> pa.RecordBatch:
             n2 = [float((np.frombuffer(x.as_buffer(), "<f4").astype(np.float64) ** 2).sum()) for x in part.column("delta")]

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomset.functions.text import keep_first
+from loomset.storage import Scratch
 
 
 def common_tags(records: DataFrame, key: str = "sidecar_key", least: int = 2) -> DataFrame:
@@ -39,15 +40,26 @@ def flags(tagger: Column, captions: Column, booru: Column, manual: Column, path:
 
 
 def nearest_rank(totals: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
-    """One row: the values at rank round((n - 1) * p), in 32-bit floats and half away from zero, the largest, and the count.
+    """One row: the values at rank round((n - 1) * p), in 32-bit floats and half away from zero, the largest, and the count. Null values don't count.
 
-    Counts of each value come first, so the ordered pass sees distinct values, not rows.
+    A selection over sorted ranges: values are counted once, their counts lie in sorted ranges, the ranges' sums (a row each) tell which range holds
+    a rank, and only those ranges are ordered, each in a task of its own. So neither the number of rows nor that of distinct values meets in one task.
     """
-    counts = totals.groupBy(value).agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(W.orderBy(value)))
-    n = F.lit(totals.count())
-    at = lambda p: F.round(((n - 1).cast("float") * F.lit(p).cast("float")).cast("float")).cast("long")
-    return upto.agg(*[F.min(F.when(F.col("upto") > at(p), F.col(value))).alias(name) for name, p in shares.items()], F.max(value).alias("max"), F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    with Scratch(totals.sparkSession) as run:
+        counts = totals.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+        ranged = run.settle(run.settle(counts, "counts").repartitionByRange("v").withColumn("range", F.spark_partition_id()), "ranges")
+        sums = ranged.groupBy("range").agg(F.sum("c").alias("c"), F.max("v").alias("most"))
+        whole = W.orderBy("range")  # over the ranges' sums alone
+        placed = run.settle(sums.withColumn("before", F.sum("c").over(whole) - F.col("c")), "sums")
+        total = placed.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.max("most").alias("max")).first()
+        n = F.lit(total["n"])
+        at = lambda p: F.round(((n - 1).cast("float") * F.lit(p).cast("float")).cast("float")).cast("long")
+        ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at(p).alias("rank")) for name, p in shares.items()]))
+        wanted = placed.select("range", "before", "c", ranks.alias("r")).filter("before <= r.rank AND r.rank < before + c").select("range", "r.name", (F.col("r.rank") - F.col("before")).alias("rank"))
+        inside = ranged.join(F.broadcast(wanted.select("range").distinct()), "range").withColumn("upto", F.sum("c").over(W.partitionBy("range").orderBy("v")))
+        found = {r["name"]: r["v"] for r in inside.join(F.broadcast(wanted), "range").filter("upto > rank").groupBy("name").agg(F.min("v").alias("v")).collect()}
+    kind = totals.schema[value].dataType.simpleString()
+    return totals.sparkSession.createDataFrame([(*[found.get(name) for name in shares], total["max"], total["n"])], ", ".join([f"`{name}` {kind}" for name in shares] + [f"max {kind}", "n long"]))
 
 
 def over_budget(counted: DataFrame, total: str, limit: int = 512) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomset.storage import importable
+
 CATEGORY = "CASE event_type WHEN 'error' THEN 'meta' WHEN 'purchase' THEN 'character' WHEN 'click' THEN 'artist' ELSE 'general' END"
 #: (order, divisor of the id, manual tag)
 MANUAL = [(1, 3, "-error"), (2, 4, "Purchase"), (3, 5, "_reviewed"), (4, 7, " view ")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _manual(key: Column) -> Column:

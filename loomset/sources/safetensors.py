@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomset.storage import importable
+
 #: Bytes of an element, and numpy types where there is one.
 SIZES = {"F64": 8, "F32": 4, "F16": 2, "BF16": 2, "I64": 8, "I32": 4, "I16": 2, "I8": 1, "U8": 1, "BOOL": 1, "F8_E5M2": 1, "F8_E4M3": 1}
 _NUMPY = {"F64": "<f8", "F32": "<f4", "F16": "<f2"}
@@ -85,6 +87,7 @@ def decoded(tensors: DataFrame) -> DataFrame:
     def values(data: pd.Series, dtype: pd.Series) -> pd.Series:
         return pd.Series([decode(d, t) if t in (*_NUMPY, "BF16") else None for d, t in zip(data, dtype, strict=True)], dtype=object)
 
+    importable(tensors.sparkSession)
     return tensors.withColumn("values", values("data", "dtype"))
 
 
@@ -95,6 +98,7 @@ def encoded(tensors: DataFrame, dtype: Column) -> DataFrame:
     def data(values: pd.Series, kind: pd.Series) -> pd.Series:
         return pd.Series([encode(v, t) for v, t in zip(values, kind, strict=True)], dtype=object)
 
+    importable(tensors.sparkSession)
     return tensors.withColumn("dtype", dtype).withColumn("data", data("values", "dtype"))
 
 
