@@ -61,3 +61,31 @@ class Scratch:
         self.tables.append(table)
         df.repartition(buckets, key).write.bucketBy(buckets, key).format("parquet").option("path", f"{self.folder}/{table}").saveAsTable(table)
         return self.spark.table(table)
+
+
+class Versions:
+    """Whole versions of some tables in one folder: a reader sees the last one that was finished, a writer adds the next and drops those before the last."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = importable(spark), folder.rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def numbers(self) -> list[int]:
+        found = self._fs.globStatus(self._path(f"{self.folder}/v*/FINISHED")) or []
+        return sorted(int(x.getPath().getParent().getName()[1:]) for x in found)
+
+    def read(self, name: str) -> DataFrame | None:
+        last = self.numbers()[-1:]
+        return self.spark.read.parquet(f"{self.folder}/v{last[0]}/{name}") if last else None
+
+    def write(self, **tables: DataFrame) -> None:
+        """All tables, or none: the mark that makes them readable comes last, and may be made once."""
+        old = self.numbers()
+        here = f"{self.folder}/v{(old or [0])[-1] + 1}"
+        self._fs.delete(self._path(here), True)  # what an unfinished writer left
+        for name, df in tables.items():
+            df.write.parquet(f"{here}/{name}")
+        self._fs.create(self._path(f"{here}/FINISHED"), False).close()
+        for n in old[:-1]:
+            self._fs.delete(self._path(f"{self.folder}/v{n}"), True)
