@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomset.config import ANIMA, ExportProfile
 from loomset.functions import paths
 from loomset.functions.text import spaced
-from loomset.operators import captions, edits, filters, groups, stats, tags
+from loomset.operators import captions, edits, filters, groups, postings, stats, tags, token_budget, versions
 from loomset.plans.derive import CAPTIONS_SQL, MANUAL, SQL, conversations, exported, records, table
+from loomset.storage import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -384,6 +387,53 @@ def token_overflow(spark, d: str) -> DataFrame:
     return stats.over_budget(table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("total")), "total")
 
 
+#: A public tokenizer's file; operators take any path.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+
+
+def _budget(spark, d: str) -> DataFrame:
+    """Users' records with the captions of the conversation of the same number."""
+    told = conversations(spark, d).select(F.col("conv_id").alias("user_id"), F.col("captions").alias("_c"), F.col("manual_caption").alias("_m"))
+    both = records(spark, d).drop("captions", "manual_caption").join(told, "user_id", "left")
+    return token_budget.budget(both.withColumnsRenamed({"_c": "captions", "_m": "manual_caption"}), ANIMA, TOKENIZER, "user_id")
+
+
+@query("token_budget")
+def token_budget_(spark, d: str) -> DataFrame:
+    """Tokens of tags and caption, apart and in all."""
+    return _budget(spark, d)
+
+
+@query("budget_percentiles")
+def budget_percentiles(spark, d: str) -> DataFrame:
+    return stats.nearest_rank(_budget(spark, d), "total", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+
+
+@query("tag_search_postings", _with(SQL) + "SELECT user_id FROM u WHERE (user_id IN (SELECT user_id FROM a WHERE contains(lower(tag), 'urch')) OR user_id IN (SELECT user_id FROM manual WHERE contains(lower(tag), 'urch'))) AND user_id IN (SELECT user_id FROM manual WHERE contains(lower(tag), '-err'))")
+def tag_search_postings(spark, d: str) -> DataFrame:
+    """Records with tags that contain both needles, by postings that were built of half of the records and updated with all."""
+    held = records(spark, d)
+    index = postings.Postings(spark, f"{shared_dir(spark)}/loomset/postings-{uuid.uuid4().hex}", "user_id")
+    index.update(held.filter("user_id % 2 = 0"))
+    index.update(held)
+    return index.search(" URCH", "-Err")
+
+
+@query("edit_log", _with(SQL) + """SELECT u.user_id, CASE WHEN u.user_id % 4 = 0 THEN 'changed' WHEN u.user_id % 3 = 0 THEN 'overtaken' END AS lost,
+  CASE WHEN u.user_id % 4 <> 0 THEN array_to_string(list_concat(list_filter(manual_tags, lambda t: lower(trim(t)) <> 'purchase'), ['kept', '-blur']), '|') END AS tags FROM u JOIN lists USING (user_id)""")
+def edit_log(spark, d: str) -> DataFrame:
+    """A log over all records: those of stale versions come back, and so does the second of two batches for one version."""
+    held = records(spark, d).withColumn("digest", F.md5(F.array_join("manual_tags", "|")))
+    step = lambda batch, seq, op, value: F.struct(F.lit(batch).cast("long").alias("batch"), F.lit(seq).alias("seq"), F.lit(op).alias("op"), F.lit(value).alias("value"))
+    first = F.array(step(1, 1, "add", "kept"), step(1, 2, "remove", "PURCHASE "), step(1, 3, "suppress", "blur"))
+    steps = F.explode(F.when(F.col("user_id") % 3 == 0, F.concat(first, F.array(step(2, 1, "add", "late")))).otherwise(first))
+    expected = F.when(F.col("user_id") % 4 == 0, "another").otherwise(F.col("digest"))
+    log = held.select("sidecar_key", expected.alias("expected"), steps.alias("s")).select("s.batch", "sidecar_key", "expected", "s.seq", "s.op", "s.value")
+    edited, conflicts = versions.apply(held, log)
+    lost = conflicts.groupBy("sidecar_key").agg(F.min("reason").alias("lost"))
+    return held.select("user_id", "sidecar_key").join(edited.select("sidecar_key", _joined("manual_tags").alias("tags")), "sidecar_key", "left").join(lost, "sidecar_key", "left").select("user_id", "lost", "tags")
+
+
 # --- lookups, plans and small functions ---
 
 

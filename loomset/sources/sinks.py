@@ -8,9 +8,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomset.functions.paths import with_extension
+from loomset.storage import Scratch
 
 
 def sd_scripts_entries(pairs: DataFrame) -> DataFrame:
@@ -19,14 +21,26 @@ def sd_scripts_entries(pairs: DataFrame) -> DataFrame:
 
 
 def write_sd_scripts(pairs: DataFrame, path: str) -> None:
-    """One JSON object keyed by path. It's one file by its format, so rows come to the driver in order, a partition at a time."""
-    tmp = f"{path}.tmp"
-    with open(tmp, "w", encoding="utf-8") as out:
-        out.write("{")
-        for i, r in enumerate(sd_scripts_entries(pairs).select(F.to_json(F.struct(F.col("image_path").alias("p"))).alias("p"), "entry", "image_path").orderBy("image_path").toLocalIterator()):
-            out.write(("," if i else "") + f"\n  {r['p'][5:-1]}: {r['entry']}")
-        out.write("\n}\n")
-    os.replace(tmp, path)
+    """One JSON object keyed by path, in order of path. Sorted ranges of entries are written by executors at their places in the file; the driver sees the ranges' sizes."""
+    from loomset.sources import tensorfile
+
+    key = F.regexp_extract(F.to_json(F.struct(F.col("image_path").alias("p"))), r'(?s)^\{"p":(.*)\}$', 1)
+    line = F.concat(F.lit(",\n  "), key, F.lit(": "), F.col("entry")).cast("binary")
+    with Scratch(pairs.sparkSession) as run:
+        lines = run.settle(sd_scripts_entries(pairs).select("image_path", "entry", line.alias("data")), "lines")
+        order = ["image_path", "entry"]
+        ranged = run.settle(lines.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+        sizes = ranged.groupBy("range").agg(F.sum(F.octet_length("data")).alias("n")).withColumn("start", F.sum("n").over(W.orderBy("range")) - F.col("n"))
+        sizes = run.settle(sizes, "sizes")
+        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        inside = W.partitionBy("range").orderBy(*order)
+        upto = F.sum(F.octet_length("data")).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
+        placed = ranged.join(F.broadcast(sizes), "range").withColumn("at", F.col("start") + upto - F.octet_length("data"))
+        # the first line has no comma before it: the head takes its place
+        body = placed.select(F.lit("body").alias("key"), F.greatest(F.col("at") - 1, F.lit(0)).alias("at"), F.when(F.col("at") == 0, F.substr("data", F.lit(2))).otherwise(F.col("data")).alias("data"))
+        length = max(total - 1, 0)
+        tail = pairs.sparkSession.createDataFrame([("tail", 0, b"\n}\n")], "key string, at long, data binary")
+        tensorfile.put(body.unionByName(tail), path, b"{", {"body": (1, 1 + length), "tail": (1 + length, 4 + length)}, 4 + length)
 
 
 def musubi_lines(pairs: DataFrame) -> DataFrame:

@@ -146,8 +146,7 @@ class TensorWriter(DataSourceArrowWriter):
         if (plan["start"] if at is None else at) != plan["end"]:
             raise ValueError(f"tensors are missing from byte {at} on")
         with open(plan["tmp"], "r+b") as out:
-            head = plan["head"].encode()
-            out.write(struct.pack("<Q", len(head)) + head)
+            out.write(plan["head"].encode("latin-1"))
             out.flush()
             os.fsync(out.fileno())
         os.replace(plan["tmp"], plan["path"])
@@ -211,13 +210,18 @@ def layout(plan: list[tuple], extra: dict[str, str] | None = None) -> tuple[str,
 
 def write(rows: DataFrame, path: str, plan: list[tuple], extra: dict[str, str] | None = None) -> None:
     """One file from rows (key, at, data), in any order and partition; plan: (key, dtype, shape) in the file's order. The header alone is on the driver."""
-    head, start, places, end = layout(plan, extra)
+    head, _, places, end = layout(plan, extra)
+    put(rows, path, struct.pack("<Q", len(head)) + head.encode(), places, end)
+
+
+def put(rows: DataFrame, path: str, head: bytes, places: dict[str, tuple[int, int]], end: int) -> None:
+    """One file of `end` bytes: head, and rows (key, at, data) at their places, which must tile what follows the head."""
     mark = uuid.uuid4().hex
     tmp, side = f"{path}.{mark}.tmp", f"{path}.{mark}.layout"
     with open(tmp, "wb") as out:
         out.truncate(end)
     with open(side, "w", encoding="utf-8") as out:
-        json.dump({"path": path, "tmp": tmp, "head": head, "start": start, "end": end, "tensors": places}, out)
+        json.dump({"path": path, "tmp": tmp, "head": head.decode("latin-1"), "start": len(head), "end": end, "tensors": places}, out)
     try:
         register(rows.sparkSession)
         rows.select("key", F.col("at").cast("long").alias("at"), "data").write.format("tensorfile").mode("append").option("layout", side).save()

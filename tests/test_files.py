@@ -76,6 +76,19 @@ def test_trainer_formats_and_moves(spark, tmp_path):
     assert not (tmp_path / "d/a.ron").exists()
 
 
+def test_one_json_file_of_many_parts(spark, tmp_path):
+    rows = [(f"/a/{i * 7919 % 500:03d} \"q\".png", f"t{i}" if i % 3 else None, "é" * (i % 9) if i % 4 else None) for i in range(500)]
+    pairs = spark.createDataFrame(rows, "image_path string, tags string, caption string").repartition(7)
+    sinks.write_sd_scripts(pairs, str(tmp_path / "meta.json"))
+    kept = sorted(r for r in rows if r[1] is not None or r[2] is not None)
+    show = lambda x: json.dumps(x, ensure_ascii=False)
+    entry = lambda tags, caption: "{" + ",".join(f'"{k}":{show(v)}' for k, v in (("caption", caption), ("tags", tags)) if v is not None) + "}"
+    want = "{" + ",".join(f"\n  {show(p)}: {entry(t, c)}" for p, t, c in kept) + "\n}\n"
+    assert (tmp_path / "meta.json").read_text() == want
+    sinks.write_sd_scripts(pairs.limit(0), str(tmp_path / "meta.json"))
+    assert (tmp_path / "meta.json").read_text() == "{\n}\n" and os.listdir(tmp_path) == ["meta.json"]
+
+
 def test_tag_dictionary(spark, tmp_path):
     (tmp_path / "tags.csv").write_text("tag_id,name,category,count\n9,1girl,0,5\n8,hatsune,4,2\n7,odd,6,1\n")
     got = tagdict.load(spark, str(tmp_path / "tags.csv"))
