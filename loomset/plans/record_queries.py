@@ -245,9 +245,9 @@ def export_caption(spark, d: str) -> DataFrame:
     return conversations(spark, d).select("conv_id", captions.export_caption(F.col("manual_caption"), F.col("captions")).alias("caption"))
 
 
-@query("build_caption_affix", _with(CAPTIONS_SQL) + "SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'realistic proportions, ' ELSE '' END || caption || CASE WHEN conv_id % 5 = 0 THEN ' At night.' ELSE '' END AS caption FROM caption")
+@query("build_caption_affix", _with(CAPTIONS_SQL) + "SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'true to life, ' ELSE '' END || caption || CASE WHEN conv_id % 5 = 0 THEN ' At night.' ELSE '' END AS caption FROM caption")
 def build_caption_affix(spark, d: str) -> DataFrame:
-    p = ExportProfile(caption_prefixes={"realistic": "realistic proportions, "}, caption_suffixes={"_night": " At night.", "day": " By day."})
+    p = ExportProfile(caption_prefixes={"realistic": "true to life, "}, caption_suffixes={"_night": " At night.", "day": " By day."})
     return conversations(spark, d).select("conv_id", captions.build_caption(p, F.col("manual_tags"), F.col("manual_caption"), F.col("captions")).alias("caption"))
 
 

@@ -5,40 +5,16 @@ The header is read first; then executors read and write tensors' bytes by offset
 
 from __future__ import annotations
 
-import json
-import struct
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomset.sources.tensorlayout import PADDING, SIZES, header  # noqa: F401
 from loomset.storage import importable
 
-#: Bytes of an element, and numpy types where there is one.
-SIZES = {"F64": 8, "F32": 4, "F16": 2, "BF16": 2, "I64": 8, "I32": 4, "I16": 2, "I8": 1, "U8": 1, "BOOL": 1, "F8_E5M2": 1, "F8_E4M3": 1}
+#: numpy types of the float types that it has.
 _NUMPY = {"F64": "<f8", "F32": "<f4", "F16": "<f2"}
-#: Fixed value: the header is padded to so many bytes.
-PADDING = 256
-
-
-def header(path: str) -> tuple[dict, int, int]:
-    """(header, where data begin, file size); fails on offsets that don't fit."""
-    with open(path, "rb") as f:
-        size = f.seek(0, 2)
-        f.seek(0)
-        if size < 8:
-            raise ValueError("too short for a header")
-        n = struct.unpack("<Q", f.read(8))[0]
-        if n > size - 8:
-            raise ValueError("the header is longer than the file")
-        tree = json.loads(f.read(n))
-    for key, x in tree.items():
-        if key != "__metadata__":
-            a, b = x["data_offsets"]
-            if not 0 <= a <= b <= size - 8 - n or b - a != SIZES[x["dtype"]] * int(np.prod(x["shape"], dtype=np.int64)):
-                raise ValueError(f"{key}: offsets don't fit")
-    return tree, 8 + n, size
 
 
 def metadata(path: str) -> dict[str, str]:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from loomset.sources.safetensors import PADDING, SIZES, header, scan
+from loomset.sources.tensorlayout import PADDING, SIZES, header
 from loomset.storage import importable
 
 SCHEMA = "key string, dtype string, shape array<bigint>, ord bigint, row bigint, rows bigint, begin bigint, end bigint, data binary"
@@ -183,6 +183,8 @@ def register(spark: SparkSession) -> SparkSession:
 
 def read(spark: SparkSession, path: str, keys: Column | None = None, chunk_bytes: int = CHUNK, partition_bytes: int = PARTITION) -> DataFrame:
     """SCHEMA of the tensors that `keys`, a filter over the header's rows, takes."""
+    from loomset.sources.safetensors import scan
+
     source = register(spark).read.format("tensorfile").option("chunkbytes", chunk_bytes).option("partitionbytes", partition_bytes)
     if keys is not None:
         source = source.option("tensors", json.dumps([r["ord"] for r in scan(spark, path).filter(keys).select("ord").collect()]))

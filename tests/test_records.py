@@ -65,12 +65,12 @@ def test_caption(spark, manual, own, manual_caption, pre, suf, want):
 
 
 @pytest.mark.parametrize("manual, auto, booru, group, want", [
-    ([], [A("b")], [("a", "general")], ["a", "b"], ("violation", None, ["a", "b"])),
-    (["-a", "b"], [A("a")], [], ["a", "b"], ("tag", "b", None)),
-    (["_none"], [], [], ["_none", "x"], ("tag", "_none", None)),
-    ([], [A("y", 0.01)], [], ["x", "Y "], ("tag", "Y ", None)),
-    (["foo", "-foo"], [], [], ["foo"], ("unset", None, None)),
-    (["a"], [], [], ["a", "A"], ("violation", None, ["a", "A"])),
+    (["harbour"], [A("quay", 0.4)], [("pier", "general")], ["pier", "quay", "lock"], ("violation", None, ["pier", "quay"])),
+    (["-quay"], [A("quay"), A("lock", 0.9)], [], ["lock", "quay"], ("tag", "lock", None)),
+    (["_todo", "other"], [], [], ["_done", "_todo"], ("tag", "_todo", None)),
+    ([], [A("dusk", 0.02)], [], ["dawn", " Dusk"], ("tag", " Dusk", None)),
+    (["-night", "night", "day "], [], [], ["night"], ("unset", None, None)),
+    (["Ink"], [], [], ["ink", "INK", "oil"], ("violation", None, ["ink", "INK"])),
 ])
 def test_classify(spark, manual, auto, booru, group, want):
     c = groups.classify(record(spark, manual, auto, booru), group).first()["classification"]
@@ -78,11 +78,11 @@ def test_classify(spark, manual, auto, booru, group, want):
 
 
 @pytest.mark.parametrize("manual, auto, group, target, want", [
-    ([], ["y"], ["x", "y", "z"], "x", ["x", "-y"]),
-    ([], ["y"], ["x", "y"], None, ["-y"]),
-    (["x", "-y"], ["y"], ["x", "y"], "y", ["y", "-x"]),
-    (["Y"], [], ["x", "y"], "x", ["Y", "x", "-y"]),
-    (["x"], [], ["x"], " ", ["x"]),
+    (["boat"], ["rain", "fog"], ["fog", "rain", "sun"], "sun", ["boat", "sun", "-rain", "-fog"]),
+    (["sun"], ["fog"], ["sun", "fog"], None, ["-fog"]),
+    (["-oil", "ink"], ["oil"], ["ink", "oil"], "oil", ["oil", "-ink"]),
+    (["Oil"], [], ["oil", "ink"], "ink", ["Oil", "ink", "-oil"]),
+    (["ink", "x"], [], ["ink"], "  ", ["ink", "x"]),
 ])
 def test_drop(spark, manual, auto, group, target, want):
     got = groups.apply_drop(record(spark, manual, [A(t) for t in auto]), group, target)
