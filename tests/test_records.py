@@ -78,8 +78,8 @@ def test_classify(spark, manual, auto, booru, group, want):
 
 
 @pytest.mark.parametrize("manual, auto, group, target, want", [
-    (["boat"], ["rain", "fog"], ["fog", "rain", "sun"], "sun", ["boat", "sun", "-rain", "-fog"]),
-    (["sun"], ["fog"], ["sun", "fog"], None, ["-fog"]),
+    (["boat"], ["rain", "fog"], ["fog", "rain", "sun"], "sun", ["boat", "sun", "-fog", "-rain"]),
+    (["sun", "kept"], ["fog"], ["fog", "sun", "hail"], None, ["kept", "-fog", "-sun"]),
     (["-oil", "ink"], ["oil"], ["ink", "oil"], "oil", ["oil", "-ink"]),
     (["Oil"], [], ["oil", "ink"], "ink", ["Oil", "ink", "-oil"]),
     (["ink", "x"], [], ["ink"], "  ", ["ink", "x"]),
