@@ -37,8 +37,8 @@ UNIT = 1_000_000_000
 #: Groups of a team, and entries of a cell, at most (about).
 TEAM = 8
 CELL = 500_000
-#: Buckets of the cells' table. Text bytes that a task counts at once.
-BUCKETS = 64
+#: Cells of a bucket, about; at most so many buckets. Text bytes that a task counts at once.
+CELLS, BUCKETS = 4, 4096
 COUNT_BYTES = 8_000_000
 
 TERM = np.zeros(256, bool)
@@ -217,10 +217,11 @@ def audit(docs: DataFrame, top: int = 200, least_docs: int = 3, team: int = TEAM
     docs = docs.select(empty("lang"), empty("source"), empty("text"))
     terms = kept_terms(docs, least_docs)
     groups = groups_of(docs, terms, team)
-    size = groups.groupBy("lang", "team").agg(F.max("v").alias("v"), F.count("*").alias("members")).agg(F.max(F.col("v") * F.col("members")).alias("cells"), F.max("team").alias("team")).first()
+    size = groups.groupBy("lang", "team").agg(F.max("v").alias("v"), F.count("*").alias("members")).agg(F.max(F.col("v") * F.col("members")).alias("cells"), F.max("team").alias("team"), F.count("*").alias("all")).first()
     pieces = max(4, -(-(size["cells"] or 0) // cell))
     teams = (size["team"] or 0) + 1
     teams += teams % 2
+    buckets = min(BUCKETS, max(8, pieces * size["all"] // CELLS))
 
     seat = groups.select("lang", "source", "team", "member")
     piece = F.pmod(F.xxhash64("term"), F.lit(pieces)).cast("int")
@@ -232,7 +233,7 @@ def audit(docs: DataFrame, top: int = 200, least_docs: int = 3, team: int = TEAM
     cells = every.join(packed, ["lang", "team", "piece"], "left").withColumn("slot", slot(F.col("team")))
 
     name = f"loomset_cells_{uuid.uuid4().hex}"
-    cells.repartition(BUCKETS, "slot").write.bucketBy(BUCKETS, "slot").format("parquet").option("path", f"{shared_dir(spark).rstrip('/')}/loomset/{name}").saveAsTable(name)
+    cells.repartition(buckets, "slot").write.bucketBy(buckets, "slot").format("parquet").option("path", f"{shared_dir(spark).rstrip('/')}/loomset/{name}").saveAsTable(name)
     try:
         hosts = spark.table(name)
         rounds = [settle(hosts.mapInArrow(_at_home(top), PAIRS), "home")]
