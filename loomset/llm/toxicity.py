@@ -149,7 +149,8 @@ def _curve(vote: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndar
 
 def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: int = 4, held: int = 2, most: int = MAX_EXAMPLES, terms: int = TERMS, k: int = K) -> Model:
     spark = ready(docs.sparkSession)
-    rows, counts = labelled.sample(docs.select("doc_id", "text"), labels, column, modulus, held, most, balanced=True)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")  # ids of any whole-number type
+    rows, counts = labelled.sample(docs, labels, column, modulus, held, most, balanced=True)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("term", T.LongType()), T.StructField("times", T.LongType())])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,3 +47,17 @@ def test_toxic_words_are_found_and_edge_cases_defined(spark):
     assert {got[i]["predicted"] for i in (1000, 1001, 1002)} == {0}
     none = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.classify(docs, none, ["doc_id"]).collect()} == {0.0}
+
+
+def test_ids_of_any_whole_number_type(spark):
+    """The model and the scores are the same for int and long ids."""
+    words = ["good", "fine", "day", "rotten", "vile", "scum"]
+    rows = [(i, " ".join([words[i % 3], words[(i // 3) % 3], *(words[3:] if i % 4 == 0 else [])])) for i in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id int, toxic int")
+    scores = []
+    for kind in ("int", "long"):
+        docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+        got = toxicity.classify(docs, toxicity.learn(docs, labels), ["doc_id"])
+        assert got.schema["doc_id"].dataType.simpleString() == {"int": "int", "long": "bigint"}[kind]
+        scores.append(sorted((r["doc_id"], r["score"]) for r in got.collect()))
+    assert scores[0] == scores[1] and len(scores[0]) == 80 and max(s for _, s in scores[0]) > 0.5
