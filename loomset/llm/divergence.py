@@ -37,9 +37,9 @@ UNIT = 1_000_000_000
 #: Groups of a team, and entries of a cell, at most (about).
 TEAM = 8
 CELL = 500_000
-#: Cells of a bucket, about; at most so many buckets. Text bytes that a task counts at once.
-CELLS, BUCKETS = 4, 4096
-COUNT_BYTES = 8_000_000
+#: At most so many buckets, of a cell each up to that. Text bytes that a task counts at once.
+BUCKETS = 4096
+COUNT_BYTES = 4_000_000
 
 TERM = np.zeros(256, bool)
 TERM[65:91] = TERM[97:123] = TERM[128:] = True
@@ -221,7 +221,7 @@ def audit(docs: DataFrame, top: int = 200, least_docs: int = 3, team: int = TEAM
     pieces = max(4, -(-(size["cells"] or 0) // cell))
     teams = (size["team"] or 0) + 1
     teams += teams % 2
-    buckets = min(BUCKETS, max(8, pieces * size["all"] // CELLS))
+    buckets = min(BUCKETS, max(8, pieces * size["all"]))
 
     seat = groups.select("lang", "source", "team", "member")
     piece = F.pmod(F.xxhash64("term"), F.lit(pieces)).cast("int")
