@@ -4,7 +4,7 @@ Terms are all words of the examples, a sample of labelled rows of bounded number
 documents. A word weighs (1 + ln times) * idf * relevance: relevance frequency, log2(2 + its share of toxic examples over its share of
 others), keeps every word at 1 or more and lifts those that toxic examples favour; relevance=False leaves plain TF-IDF. Examples stand in
 blocks; a posting list is cut into cells, one for each block, with their maxima. A text's cosine with any example of a block is at most the sum
-of its weights times those maxima, so a text skips all blocks whose bound is below its k-th best example so far, and the most promising blocks
+of its weights times those maxima (of frequent words, the largest exact part), so a text skips all blocks whose bound is below its k-th best example so far, and the most promising blocks
 come first: the k nearest are exact. They vote with weights that fall with distance; a curve fitted on the examples, each left out in turn
 (its own label counts nothing in its weights either), makes the vote a probability.
 
@@ -71,7 +71,10 @@ def unit(row: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """Examples' unit vectors in blocks: posting lists cut into cells of one term and block, with maxima. Of equally near examples the earlier given come first."""
+    """Examples' unit vectors in blocks: posting lists cut into cells of one term and block, with maxima. Of equally near examples the earlier given come first.
+
+    Frequent terms, whose cells would fill every block, are a dense matrix instead: their part of a cosine is computed for all examples.
+    """
 
     def __init__(self, ids: np.ndarray, y: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int) -> None:
         weight = unit(row, weight, len(ids))
@@ -114,14 +117,17 @@ class Index:
         common = slots >= 0
         q = np.zeros((n, len(self.dense)))
         q[row[common], slots[common]] = weight[common]
-        # the cells of every entry, by block: their maxima give the bounds, those of rarer terms the scores
+        frequent = q @ self.dense
+        row, term, weight = row[~common], term[~common], weight[~common]
+        # rarer terms: the cells of every entry, by block; their maxima bound what they add to the frequent terms' part
         sizes = self.first_cell[term + 1] - self.first_cell[term]
         cell, entry = _ranges(self.first_cell[term], sizes), np.repeat(np.arange(len(term)), sizes)
         block = self.cell_block[cell]
-        bound = np.bincount(row[entry] * self.n_blocks + block, weight[entry] * self.cell_max[cell], n * self.n_blocks).reshape(n, self.n_blocks) if self.n_blocks else np.zeros((n, 0))
-        rare = ~common[entry]
-        cell, entry, block = cell[rare], entry[rare], block[rare]
-        by_block = np.argsort(block, kind="stable")
+        bound = np.zeros((n, self.n_blocks))
+        if self.n_blocks:
+            bound = np.bincount(row[entry] * self.n_blocks + block, weight[entry] * self.cell_max[cell], n * self.n_blocks).reshape(n, self.n_blocks)
+            bound = bound + np.maximum.reduceat(frequent, np.arange(0, len(self.ids), BLOCK), axis=1)
+        by_block = np.argsort(block.astype(np.int16 if self.n_blocks < 1 << 15 else np.int64), kind="stable")
         cell, entry = cell[by_block], entry[by_block]
         limits = np.searchsorted(block[by_block], np.arange(self.n_blocks + 1))
         for b in np.argsort(-bound.sum(0), kind="stable"):
@@ -131,7 +137,7 @@ class Index:
             scored += len(rows)
             here = slice(b * BLOCK, min((b + 1) * BLOCK, len(self.ids)))
             width = here.stop - here.start
-            cosine = q[rows] @ self.dense[:, here]
+            cosine = frequent[rows, here]
             local = np.full(n, -1)
             local[rows] = np.arange(len(rows))
             c, e = cell[limits[b] : limits[b + 1]], entry[limits[b] : limits[b + 1]]
