@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -55,14 +57,46 @@ def shared_dir(spark: SparkSession) -> str:
     return place
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+#: Folders of the runs under way, innermost last.
+_RUNS: ContextVar[tuple[str, ...]] = ContextVar("runs", default=())
+
+
+def _place(spark: SparkSession, runs: tuple[str, ...]) -> str:
+    return runs[-1] if runs else f"{shared_dir(spark).rstrip('/')}/loomset"
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables settled inside go when the block ends well; those settled with keep belong to the block around it, or stay where there is none."""
+    folder = f"{_place(spark, _RUNS.get())}/run-{uuid.uuid4().hex}"
+    mark = _RUNS.set((*_RUNS.get(), folder))
+    try:
+        yield
+    finally:
+        _RUNS.reset(mark)
+    _delete(spark, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder))
+
+
+def _delete(spark: SparkSession, path) -> None:
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settle(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df written once as a table in the shared folder and read back: lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomset/{name}-{uuid.uuid4().hex}"
+    path = f"{_place(spark, _RUNS.get()[:-1] if keep else _RUNS.get())}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(settled: DataFrame) -> None:
+    """Deletes a settled table that nothing reads any more."""
+    spark = settled.sparkSession
+    jvm = spark.sparkContext._jvm
+    for file in settled.inputFiles()[:1]:
+        _delete(spark, jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)).getParent())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

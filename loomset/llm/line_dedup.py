@@ -31,12 +31,13 @@ from loomset.llm.common import SPACE, _powers, blocks, hashes, mix, ready, settl
 
 #: A chunk ends after one line in so many, on average.
 EVERY = 4
+#: Words of a passage, and of a chunk of several lines, at least, unless others are given.
 LONG = 50
 WORDS = 20
 ADDED = ("n_lines", "n_removed")
 
 
-def chunks(data: np.ndarray, limits: np.ndarray, passages: bool = False) -> dict[str, np.ndarray]:
+def chunks(data: np.ndarray, limits: np.ndarray, passages: bool = False, long: int = LONG) -> dict[str, np.ndarray]:
     """All chunks: row, hash, first and last line (within the row), begin and end byte, words. With passages: then all windows of several lines."""
     n = len(limits) - 1
     nonempty = np.diff(limits) > 0
@@ -50,18 +51,18 @@ def chunks(data: np.ndarray, limits: np.ndarray, passages: bool = False) -> dict
     h = hashes(data, begins, ends, fold=False)
     starts, _, _ = spans(~SPACE[data], limits)
     count = np.searchsorted(starts, ends) - np.searchsorted(starts, begins)
-    long = count >= LONG
+    alone = count >= long
     rolled = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:], 6)
-    cut = long.copy()
+    cut = alone.copy()
     cut[1:] |= (rolled % np.uint64(EVERY) == 0) & (row[1:] == row[:-1])
-    cut[:-1] |= long[1:] | (row[1:] != row[:-1])
+    cut[:-1] |= alone[1:] | (row[1:] != row[:-1])
     cut[-1] = True
     final = np.flatnonzero(cut)
     lead = np.concatenate([[0], final[:-1] + 1])
     words = np.concatenate([[0], np.cumsum(count)])
     seed = np.full(len(lead), 62)
     if passages:
-        a, b = _windows(words, row)
+        a, b = _windows(words, row, long)
         lead, final, seed = np.concatenate([lead, a]), np.concatenate([final, b]), np.concatenate([seed, np.full(len(a), 63)])
     power, inverse = _powers(len(h))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h, 61) * power[: len(h)])])
@@ -71,12 +72,12 @@ def chunks(data: np.ndarray, limits: np.ndarray, passages: bool = False) -> dict
     return {"row": row[lead], "hash": value.view(np.int64), "first": lead - origin[row[lead]], "last": final - origin[row[lead]], "begin": begins[lead], "end": ends[final], "words": words[final + 1] - words[lead]}
 
 
-def _windows(words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last line of the least runs of several lines with LONG words that begin or end at a line. words: before each line, and in all."""
+def _windows(words: np.ndarray, row: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of the least runs of several lines with `long` words that begin or end at a line. words: before each line, and in all."""
     n = len(row)
     line = np.arange(n)
-    ahead = np.searchsorted(words[1:], words[:-1] + LONG)
-    back = np.searchsorted(words[:-1], words[1:] - LONG, "right") - 1
+    ahead = np.searchsorted(words[1:], words[:-1] + long)
+    back = np.searchsorted(words[:-1], words[1:] - long, "right") - 1
     a, b = np.concatenate([line, np.maximum(back, 0)]), np.concatenate([np.minimum(ahead, n - 1), line])
     ok = (np.concatenate([ahead < n, back >= 0])) & (a < b)
     ok &= row[a] == row[b]
@@ -84,8 +85,8 @@ def _windows(words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return key // n, key % n
 
 
-def _eligible(c: dict[str, np.ndarray]) -> np.ndarray:
-    return np.flatnonzero((c["words"] >= LONG) | ((c["last"] > c["first"]) & (c["words"] >= WORDS)))
+def _eligible(c: dict[str, np.ndarray], long: int, few: int) -> np.ndarray:
+    return np.flatnonzero((c["words"] >= long) | ((c["last"] > c["first"]) & (c["words"] >= few)))
 
 
 def _likely(keys: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
@@ -107,8 +108,12 @@ def _likely(keys: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
     return likely
 
 
-def dedup_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
-    """docs with the text less its repeated chunks (with passages: less all repeated runs of lines with LONG words, too), n_lines (before) and n_removed."""
+def dedup_lines(docs: DataFrame, passages: bool = False, long: int = LONG, few: int = WORDS) -> DataFrame:
+    """docs with the text less its repeated chunks (with passages: less all repeated runs of lines with `long` words, too), n_lines (before) and n_removed.
+
+    few: the least words of a chunk of several lines. long: those of a passage, which goes wherever it stands; a repeated run of fewer, but not
+    below few, goes where rolling hashes happen to bound it or a part of it, and stays otherwise. With passages and long = few nothing hangs on chance.
+    """
     ready(docs.sparkSession)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
     columns, whole = docs.columns, docs
@@ -120,13 +125,13 @@ def dedup_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, limits in blocks(batches):
-            c = chunks(data, limits, passages)
-            yield pa.RecordBatch.from_arrays([pa.array(c["hash"][_eligible(c)])], names=["hash"])
+            c = chunks(data, limits, passages, long)
+            yield pa.RecordBatch.from_arrays([pa.array(c["hash"][_eligible(c, long, few)])], names=["hash"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, limits in blocks(batches):
-            c = chunks(data, limits, passages)
-            e = _eligible(c)
+            c = chunks(data, limits, passages, long)
+            e = _eligible(c, long, few)
             e = e[likely(c["hash"][e])]
             text = data.tobytes()
             own = pa.array(c["row"][e])

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomset.llm.bloom import among
-from loomset.llm.common import _powers, blocks, mix, ready, settle, shingles, utf8, words
+from loomset.llm.common import _powers, blocks, mix, passing, ready, settle, shingles, utf8, words
 from loomset.llm.components import components
 
 K = 3
@@ -438,8 +438,12 @@ def _contracted(pairs: DataFrame, labels: DataFrame, texts: DataFrame, least: fl
 
 
 def near_duplicates(docs: DataFrame, least: float = THRESHOLD, m: int = M, l: int = L, k: int = K) -> DataFrame:  # noqa: E741
-    """(doc_id, d1 and d2: digests of the words, n_words, class_id: smallest doc_id of its group, class_size in rows, kept)."""
-    docs = docs.select("doc_id", "text")
+    """(doc_id, d1 and d2: digests of the words, n_words, class_id: smallest doc_id of its group, class_size in rows, kept), a table; all others made on the way are gone."""
+    with passing(docs.sparkSession):
+        return settle(_classes(docs.select("doc_id", "text"), least, m, l, k), "near", keep=True)
+
+
+def _classes(docs: DataFrame, least: float, m: int, l: int, k: int) -> DataFrame:  # noqa: E741
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
     sketched = settle(sketches(docs, m, l, k), "sketches")
     # a class is all rows of the same words; its number is written down with it, so it stays
@@ -481,7 +485,7 @@ def one_of_each(docs: DataFrame, **sketch: float) -> DataFrame:
 
     Rows are told by doc_id and words together, so a doc_id on unlike texts costs none of them. Texts without words all stay.
     """
-    found = settle(near_duplicates(docs, **sketch), "near")
+    found = near_duplicates(docs, **sketch)
     gone = found.filter("NOT kept").select("doc_id", "d1", "d2", F.lit(False).alias("stays")).distinct()
     again = found.filter("kept AND n_words > 0").groupBy("doc_id", "d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "d1", "d2", F.lit(True).alias("stays"))
     touched = settle(gone.unionByName(again), "touched")

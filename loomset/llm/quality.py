@@ -24,6 +24,8 @@ from loomset.llm.common import SPACE, blocks, hashes, part, ready, spans
 
 #: About so many labelled rows are fitted on, at any size of input.
 MAX_EXAMPLES = 8192
+#: Steps of the fit, about, at any number of examples.
+STEPS = 256
 BUCKETS = 1 << 16
 RANK = 8
 ADDED = ("score", "predicted")
@@ -92,14 +94,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(index: np.ndarray, value: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 256, rate: float = 0.01, decay: float = 1e-5) -> tuple:
+def fit(index: np.ndarray, value: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = 256, rate: float = 0.01, decay: float = 1e-5) -> tuple:
     rng = np.random.default_rng(8)
     base = float(np.clip(y.mean() if len(y) else 0.5, 1e-4, 1 - 1e-4))
     model = [np.log(base / (1 - base)), np.zeros(SIZE, np.float32), rng.normal(0, 0.02, (SIZE, RANK)).astype(np.float32)]
     if len(set(y.tolist())) < 2:
         return (model[0], model[1], np.zeros_like(model[2]))
     m, s, t = [0.0, np.zeros(SIZE, np.float32), np.zeros((SIZE, RANK), np.float32)], [0.0, np.zeros(SIZE, np.float32), np.zeros((SIZE, RANK), np.float32)], 0
-    for _ in range(epochs):
+    for _ in range(-(-steps // -(-len(y) // batch))):
         order = rng.permutation(len(y))
         for i in range(0, len(y), batch):
             rows = order[i : i + batch]

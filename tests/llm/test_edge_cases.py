@@ -1,10 +1,14 @@
 """Nulls in any column, empty and very long texts, ties, repeated rows, empty tables and clashing names, for each operator, and the registered queries on a whole table."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loomset.llm import decontaminate, lang_id, line_dedup, mix_sources, near_dedup, quality, queries, toxicity
+from loomset.llm.common import discard, passing, settle, shared_dir
 
 DATA = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 997}" for i in range(120_000))
@@ -109,3 +113,25 @@ def test_registered_scores_rank_held_out_rows(spark, name, column, least):
 def test_registered_query_returns_every_document(spark, name):
     ids = sorted(r[0] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect())
     assert sorted(r["doc_id"] for r in queries.QUERIES[name](spark, DATA).select("doc_id").collect()) == ids
+
+
+def _tables(spark):
+    place = f"{shared_dir(spark).removeprefix('file://')}/loomset"
+    return {f"{d}/{x}" for d, names, _ in os.walk(place) for x in names}
+
+
+def test_tables_made_on_the_way_are_deleted(spark, docs):
+    spark.range(1).write.mode("ignore").parquet(f"{shared_dir(spark)}/loomset/other")
+    before = _tables(spark)
+    found = near_dedup.near_duplicates(docs)
+    assert len(_tables(spark) - before) == 1 and found.count() == len(ROWS)
+    discard(found)
+    assert _tables(spark) == before
+    with passing(spark):
+        with passing(spark):
+            inner = settle(spark.range(3), "inner", keep=True)
+        assert inner.count() == 3
+    assert _tables(spark) == before
+    rows = corpus_pipeline.run(spark, DATA)
+    left = sorted(os.path.basename(x).split("-")[0] + "-" + os.path.basename(x).split("-")[1] for x in _tables(spark) - before if "stage-" in x)
+    assert left == ["stage-decontaminated"] and rows.count() > 0

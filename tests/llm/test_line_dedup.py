@@ -1,6 +1,7 @@
 """Line deduplication against a brute-force version in plain Python."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomset.llm import line_dedup
@@ -12,9 +13,9 @@ def _line_hash(line: str) -> int:
     return int(hashes(data, np.array([0]), np.array([len(data)]), fold=False)[0])
 
 
-def _chunks(text: str) -> list[tuple[int, int]]:
+def _chunks(text: str, least: int = line_dedup.LONG) -> list[tuple[int, int]]:
     lines, out, first = text.split("\n"), [], 0
-    long = [len(x.split()) >= line_dedup.LONG for x in lines]
+    long = [len(x.split()) >= least for x in lines]
     for i in range(len(lines)):
         rolled = int(mix(np.array([(_line_hash(lines[i - 1]) * 0x9E3779B97F4A7C15 + _line_hash(lines[i])) % 2**64], np.uint64), 6)[0]) if i else None
         if i == len(lines) - 1 or long[i] or long[i + 1] or (rolled is not None and rolled % line_dedup.EVERY == 0):
@@ -23,6 +24,30 @@ def _chunks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _windows(lines: list[str], long: int) -> list[tuple[int, int]]:
+    """From every line on and up to every line, the fewest lines, but several, that have `long` words."""
+    n, out = [len(x.split()) for x in lines], set()
+    for i in range(len(lines)):
+        out |= {(i, b) for b in range(i, len(lines)) if sum(n[i : b + 1]) >= long > sum(n[i:b])}
+        out |= {(a, i) for a in range(i + 1) if sum(n[a : i + 1]) >= long > sum(n[a + 1 : i + 1])}
+    return sorted((a, b) for a, b in out if a < b)
+
+
+def brute_passages(rows: list[tuple[int, str]], long: int, few: int) -> dict[int, str]:
+    """Of each chunk and of each window, apart, the first by doc_id and place stays; one that overlaps it in its text loses the lines beyond it."""
+    seen, out = {}, {}
+    for doc_id, text in sorted(rows):
+        lines, gone = (text or "").split("\n"), set()
+        n = [len(x.split()) for x in lines]
+        parts = [("chunk", a, b) for a, b in (_chunks(text, long) if text else []) if sum(n[a : b + 1]) >= (few if b > a else long)]
+        for kind, a, b in parts + [("window", a, b) for a, b in _windows(lines, long)]:
+            at = seen.setdefault((kind, *lines[a : b + 1]), (doc_id, a))
+            if at != (doc_id, a):
+                gone |= set(range(max(a, at[1] + b - a + 1) if at[0] == doc_id else a, b + 1))
+        out[doc_id] = text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
 def brute(rows: list[tuple[int, str]]) -> dict[int, str]:
     """First by doc_id and place stays."""
     seen, out = {}, {}
@@ -116,3 +141,22 @@ def test_multi_line_passages_between_unlike_lines_go_whole(spark):
     assert got[5000]["text"] == "\n".join([same] * 5)
     assert got[5001]["text"] == rows[-2][1].split("\n")[-1]
     _passages_left(rows, {i: r["text"] for i, r in got.items()})
+    want = brute_passages(rows, line_dedup.LONG, line_dedup.WORDS)
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert got[5002]["text"] == dict(rows)[5002]  # its runs of the passage's lines bound no chunk
+
+
+@pytest.mark.parametrize("long,few", [(50, 20), (20, 20), (12, 7)])
+def test_whole_result_with_passages_equals_brute_force(spark, long, few):
+    rng = np.random.default_rng(long)
+    shared = ["\n".join(_line(rng, int(rng.integers(2, 12))) for _ in range(int(rng.integers(2, 9)))) for _ in range(6)] + [_line(rng, 60), _line(rng, 15)]
+    rows = []
+    for i in range(80):
+        parts = [_line(rng, int(rng.integers(0, 15))) for _ in range(int(rng.integers(1, 6)))]
+        for _ in range(int(rng.integers(0, 4))):
+            parts.insert(int(rng.integers(0, len(parts) + 1)), shared[int(rng.integers(len(shared)))])
+        rows.append((i, "\n".join(parts)))
+    rows += [(100, ""), (101, None), (102, rows[0][1]), (103, "\n"), (104, "\n".join(["again and again"] * 30)), (105, shared[0] + "\n" + shared[0])]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), passages=True, long=long, few=few).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == brute_passages(rows, long, few)
+    assert sum(r["n_removed"] > 0 for r in got) > 20

@@ -3,10 +3,12 @@
 import math
 import os
 import re
+import zlib
 from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,53 @@ def test_factorisation_machine(spark):
     assert all(got[r[0]]["predicted"] == r[3] for r in good + bad) and all(0 <= r["score"] <= 1 for r in got.values()) and len(got) == 302
     none = quality.learn(docs.drop("quality"), docs.select("doc_id", "quality").limit(0))
     assert {r["score"] for r in quality.classify(docs.drop("quality"), none, ["doc_id"]).collect()} == {0.5}
+
+
+def test_every_quality_score_is_the_pairwise_sum_of_its_row(spark):
+    """The whole result: each row's features taken alone, and all pairs of them summed in a loop."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").filter("length(text) < 3000").select("doc_id", "text", "n_chars").union(spark.createDataFrame([(-1, None, None), (-2, "", 5)], "doc_id long, text string, n_chars long"))
+    bias, w, v = model = quality.learn(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+    rows = docs.collect()
+    got = {r["doc_id"]: r["score"] for r in quality.classify(docs, model, ["doc_id"]).collect()}
+    assert len(got) == len(rows) > 50
+    for r in rows:
+        text = (r["text"] or "").encode()
+        one = pa.RecordBatch.from_arrays([pa.array([r["n_chars"]], pa.int64())], names=["n_chars"])
+        index, value, _ = quality.features(one, np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        vx = v[index].astype(float) * value[:, None]
+        total = float(bias) + float(w[index].astype(float) @ value) + sum(float((vx[i] * vx[i + 1 :]).sum()) for i in range(len(index)))
+        assert abs(got[r["doc_id"]] - 1 / (1 + math.exp(-total))) < 1e-4
+
+
+def test_every_language_is_that_of_plain_loops(spark):
+    """The whole query: learning rows bundled and documents compared a trigram at a time."""
+    rows = [r for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect() if len(r["text"] or "") < 3000]
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in rows] + [(-1, None, "en"), (-2, "...", None), (-3, "Ünïcode 𐐀𐐁", None)]
+    known, vector = {}, {}
+
+    def bundle(text):
+        out, n = np.zeros(lang_id.DIMS), 0
+        s = [0, *map(lang_id._symbol, text or ""), 0]
+        for gram in zip(s, s[1:], s[2:]):
+            if gram[1]:
+                if gram not in vector:
+                    a, b, c = lang_id.letters(np.array(gram)).astype(float)
+                    vector[gram] = np.roll(a, 2) * np.roll(b, 1) * c
+                out, n = out + vector[gram], n + 1
+        return out, n
+
+    bundled = {i: bundle(text) for i, text, _ in rows}
+    learned = {i for i, text, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2 and text is not None and lang is not None}
+    for i, _, lang in rows:
+        if i in learned:
+            x, n = bundled[i]
+            known[lang] = known.get(lang, 0) + max(1, lang_id.TEXT_WEIGHT // max(1, n)) * x
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    prototypes = lang_id.learn(docs.filter(docs.doc_id.isin(sorted(learned))))
+    assert sorted(prototypes) == sorted(known)
+    got = {r["doc_id"]: r for r in lang_id.identify(docs.drop("lang"), prototypes).collect()}
+    assert len(got) == len(rows) > 50
+    for i, (x, n) in bundled.items():
+        scores = sorted(((float(x @ p / np.linalg.norm(x) / np.linalg.norm(p)), k) for k, p in known.items()), key=lambda s: (-s[0], s[1])) if n else [(0.0, "und")]
+        assert abs(got[i]["score"] - max(0.0, scores[0][0])) < 1e-4
+        assert got[i]["lang_pred"] == scores[0][1] or scores[0][0] - scores[1][0] < 1e-5
