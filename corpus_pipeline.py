@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomset.llm import decontaminate, lang_id, line_dedup, mix_sources, near_dedup
-from loomset.llm.common import settle
+from loomset.llm.common import discard, passing, settle
 from loomset.llm.names import apart
 
 #: A text goes if its best cosine isn't above a bound: it looks like no language learned. The bound rises from 0 at FEW trigrams, so that texts of a
@@ -62,10 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written as Parquet in the shared folder and read again."""
+    """All stages over documents, each one's result written as Parquet in the shared folder and read again; it goes when the next one's is written, as do a stage's own tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = settle(docs, f"stage-{name}")
-    return docs
+    *earlier, (_, last) = STAGES
+    for k, (name, stage) in enumerate(earlier):
+        before = docs
+        with passing(spark):
+            docs = settle(stage(spark, before, sf_dir), f"stage-{name}", keep=True)
+        if k:
+            discard(before)
+    return last(spark, docs, sf_dir)
