@@ -6,8 +6,9 @@ leaves about a third of the k-mers in common, and 1 - (1 - J^L)^M is above 0.99
 similar if 1 - edits / length of the longer >= THRESHOLD.
 
 Texts with the same words are one class, so copies cost nothing further. A bucket's hub is its smallest member. Members are first compared with
-the smallest of their hubs that may be similar; links make components. In buckets that still hold several components, members are then compared
-that share a rare gram of one or two words at about the same place, which all similar texts do: texts that only have a common passage aren't. Pairs
+the smallest of their hubs that may be similar, then with the other hubs; links make components. In buckets that still hold several components beside
+the hub, a few members of like lengths are compared with each other, and of more those that share a rare gram of one or two words at about the same
+place, which all similar texts do: texts that only have a common passage aren't. Pairs
 inside a known component aren't made, nor those that lengths or parities of word counts rule out. No link that joins components is lost within buckets.
 
 Defined cases: texts without words are alone, each its own class; texts of fewer than three words have one k-mer of all of them; A-Z are folded;
@@ -39,9 +40,12 @@ BITS = 512
 SPREAD = 8
 #: Cells of bands that are aligned together.
 CELLS = 1 << 18
-#: Slots in which grams are counted to tell rare from common ones, how many counts travel in one row, and how many grams of a text.
-SLOTS = 1 << 16
-PACK = 64
+#: Members of a bucket, beside its hub and of like lengths, that are compared with each other at once.
+FEW = 8
+#: Slots in which grams are counted to tell rare from common ones, at least and at most, in how many ranges they're added up, the count at which it stays, and how many grams of a text travel in one row.
+SLOTS, MOST_SLOTS = 1 << 16, 1 << 23
+RANGES = 256
+MANY = 255
 GRAMS = 32
 _TOP = np.uint64(2**64 - 1)
 _UPPER = np.uint64(0xFFFFFFFF00000000)
@@ -259,6 +263,10 @@ def digested(docs: DataFrame, names: tuple[str, str] = ("d1", "d2")) -> DataFram
     return docs.mapInArrow(run, schema)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return settle(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "ends")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """pairs (a, b) whose texts are similar. texts: (cls, text)."""
     out = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -277,6 +285,8 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 keep = pa.array(np.flatnonzero(similar(own(batch.column("a"), batch.column("ta")), own(batch.column("b"), batch.column("tb")), least)))
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=out.names)
 
+    maybe = among(_ends(pairs), "cls")  # most texts are in no pair, and stay where they lie
+    texts = texts.filter(maybe("cls"))
     joined = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
     return joined.select("a", "b", "ta", "tb").mapInArrow(align, out)
 
@@ -294,49 +304,60 @@ def _grams(h: np.ndarray, first: np.ndarray, q: int) -> tuple[np.ndarray, np.nda
 
 
 def _leading(value: np.ndarray, row: np.ndarray, place: np.ndarray, frequency: np.ndarray, spoilt: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of each row its rarest grams until those before them are more than it may lose: row, gram, first and last place, frequency."""
-    times = frequency[(value & np.uint64(SLOTS - 1)).astype(np.int64)]
+    """Of each row its rarest grams until those before them are more than it may lose: row, gram, first and last place, frequency, and whether another row may have it."""
+    times = frequency[(value & np.uint64(len(frequency) - 1)).astype(np.int64)]
     order = np.lexsort((value, times, row))
     v, r, t, p = value[order], row[order], times[order], place[order]
     new = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (r[1:] != r[:-1])]) if len(v) else np.zeros(0, np.int64)
     low, high = (np.minimum.reduceat(p, new), np.maximum.reduceat(p, new)) if len(new) else (new, new)
+    own = np.diff(np.append(new, len(v)))
     v, r, t = v[new], r[new], t[new]
     keep = new - new[np.searchsorted(r, r)] <= spoilt[r] if len(new) else np.zeros(0, bool)
-    return r[keep], v[keep], low[keep], high[keep], t[keep]
+    return r[keep], v[keep], low[keep], high[keep], t[keep], (t > own)[keep] | (t[keep] == MANY)
+
+
+def gram_counts(texts: DataFrame, slots: int) -> np.ndarray:
+    """2 x slots: how many grams of one and of two words of `text` fall in each slot, up to MANY."""
+    width = 2 * slots // RANGES
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, limits in blocks(batches):
+            _, _, h, first = words(data, limits)
+            found = np.concatenate([(_grams(h, first, q)[0] & np.uint64(slots - 1)).astype(np.int32) + (q - 1) * slots for q in (1, 2)])
+            slot, n = np.unique(found, return_counts=True)
+            slot = np.repeat(slot, np.minimum(n, MANY))  # more of them count no further
+            some, begin = np.unique(slot // width, return_index=True)
+            held = [x.astype(np.int32).tobytes() for x in np.split(slot, begin[1:])] if len(slot) else []
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held, pa.binary())], names=["range", "held"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        part, n = rows.column("range")[0].as_py(), np.zeros(width, np.int64)
+        for x in rows.column("held"):
+            n += np.bincount(np.frombuffer(x.as_buffer(), np.int32) - part * width, minlength=width)
+        return pa.table({"range": [part], "n": pa.array([np.minimum(n, MANY).astype(np.uint8).tobytes()], pa.binary())})
+
+    out = np.zeros((RANGES, width), np.uint8)
+    for r in texts.select("text").mapInArrow(place, "range long, held binary").groupBy("range").applyInArrow(add, "range long, n binary").toArrow().to_pylist():
+        out[r["range"]] = np.frombuffer(r["n"], np.uint8)
+    return out.reshape(2, slots)
 
 
-def rare_grams(texts: DataFrame, least: float) -> DataFrame:
-    """texts with `text` -> its other columns, q, and up to GRAMS rare grams of q words (1 or 2) in a row: gram, with its first (low) and last (high) place.
+def rare_grams(texts: DataFrame, least: float, counted: DataFrame | None = None, slots: int = SLOTS) -> DataFrame:
+    """texts with `text` -> its other columns, q, and up to GRAMS rare grams of q words (1 or 2) in a row: gram, with its first (low) and last (high) place. Grams that only one text has are left out.
 
     An edit spoils at most q of a text's q-grams, so of similar texts at most a share of 1 - least of the words, times q, is without a counterpart
     at about the same place in the other. In any order of grams that is the same for all texts, the first of the others stands among the first so many and
-    one, in both. The order is by frequency, counted in SLOTS slots over all these texts, so common passages come last. A text uses two words where the leading ones aren't
-    much more frequent than all are or than its leading single words; a pair of texts meets by the lesser of their q.
+    one, in both. The order is by frequency, counted in slots over all these texts (or over `counted`, which has all of them and maybe more), so common passages
+    come last. A text uses two words where the leading ones aren't much more frequent than all are or than its leading single words; a pair of texts meets by
+    the lesser of their q.
     """
     ready(texts.sparkSession)
     rest = [x for x in texts.schema if x.name != "text"]
-    packed = [f"n{i}" for i in range(PACK)]
     long = lambda c: T.StructField(c, T.ArrayType(T.LongType()))
-    tally, out = T.StructType([T.StructField(c, T.LongType()) for c in ("pack", *packed)]), T.StructType([*rest, T.StructField("most_q", T.LongType()), T.StructField("q", T.LongType()), long("gram"), long("low"), long("high")])
+    out = T.StructType([*rest, T.StructField("most_q", T.LongType()), T.StructField("q", T.LongType()), long("gram"), long("low"), long("high")])
     arrow = to_arrow_schema(out)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(2 * SLOTS, np.int64)
-        for _, data, limits in blocks(batches):
-            _, _, h, first = words(data, limits)
-            for q in (1, 2):
-                v, row, _ = _grams(h, first, q)
-                seen[(q - 1) * SLOTS : q * SLOTS] += np.bincount((v & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        rows = seen.reshape(-1, PACK)
-        some = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(rows[some, i]) for i in range(PACK)]], names=tally.names)
-
-    counts = texts.select("text").mapInArrow(count, tally).groupBy("pack").agg(*[F.sum(c).alias(c) for c in packed]).toArrow()
-    frequency = np.zeros((2 * SLOTS // PACK, PACK), np.int64)
-    frequency[np.asarray(counts.column("pack"))] = np.stack([np.asarray(counts.column(c)) for c in packed], 1)
-    shared = texts.sparkSession.sparkContext.broadcast(frequency.reshape(2, SLOTS))
-
-    load = 4 * shared.value[1].mean()
+    frequency = gram_counts(texts if counted is None else counted, slots)
+    load, shared = 4 * frequency[1].mean(), texts.sparkSession.sparkContext.broadcast(frequency)
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, limits in blocks(batches):
@@ -347,8 +368,8 @@ def rare_grams(texts: DataFrame, least: float) -> DataFrame:
                 parts.append(_leading(*_grams(h, first, q), shared.value[q - 1], np.floor((1 - least) * q * n + 1e-9)))
                 np.maximum.at(worst[q - 1], parts[-1][0], parts[-1][4])
             most_q = np.where((worst[1] <= np.maximum(worst[0], load)) & (n - 1 > np.floor((1 - least) * 2 * n + 1e-9)), 2, 1)
-            for q, (r, v, low, high, _) in zip((1, 2), parts, strict=True):
-                some = q <= most_q[r]
+            for q, (r, v, low, high, _, met) in zip((1, 2), parts, strict=True):
+                some = (q <= most_q[r]) & met
                 r, v, low, high = r[some], v[some], low[some], high[some]
                 begin = np.searchsorted(r, r)  # each text's first
                 cut = np.flatnonzero((np.arange(len(r)) - begin) % GRAMS == 0)
@@ -390,13 +411,30 @@ def _by_hubs(classes: DataFrame, members: DataFrame, least: float) -> DataFrame:
     return settle(may.select("a", "b", F.struct("b").alias("key"), (-F.col("n")).alias("rank")), "pairs")
 
 
+def _by_few(held: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different labels in one bucket and cell that may be similar; of a text with a label (key) those whose words differ least rank first. held: FEW rows or less of each bucket and cell."""
+    side = lambda c: held.select("bucket", "cell", F.col("cls").alias(c), F.col("label").alias(f"label_{c}"), F.col("n_words").alias(f"n_{c}"))
+    alike = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= _reach("n_a", "n_b", least))
+    met = settle(side("a").join(side("b"), ["bucket", "cell"]).filter(alike).select("a", "b", F.col("label_b").alias("label")).distinct(), "met")
+    maybe = among(_ends(met), "cls")
+    known = settle(classes.filter(maybe("cls")).select("cls", "n_words", "parity", "parities"), "known")
+    own = lambda c: known.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in known.columns[1:]])
+    differing = _differing_whole("parities_a", "parities_b")
+    room = 2 * _reach("n_words_a", "n_words_b", least) - F.abs(F.col("n_words_a") - F.col("n_words_b"))
+    may = met.join(own("a"), "a").join(own("b"), "b").filter(_possible("n_words_a", "n_words_b", "parity_a", "parity_b", least) & (differing <= room))
+    return settle(may.select("a", "b", F.struct(F.col("a").alias("cls"), "label").alias("key"), differing.alias("rank")), "pairs")
+
+
 def _by_grams(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of different labels that have a rare gram in common and may be similar; of a text with a label (key) those whose words differ least rank first.
 
     open_: (cls, label, n_words, parity, parities). Texts meet labels at a gram, and only texts that meet a label meet its members, so what many texts of a
     label have in common counts once. Of a gram's labels the commonest is only met by the others.
     """
-    rows = settle(rare_grams(texts.join(open_.drop("parities"), "cls").repartition("cls"), least), "rare")
+    maybe, n = among(open_, "cls"), open_.agg(F.sum("n_words")).first()[0] or 0
+    some = texts.filter(maybe("cls"))
+    slots = min(MOST_SLOTS, max(SLOTS, 1 << int(np.ceil(np.log2(2 * max(1, n))))))
+    rows = settle(rare_grams(some.repartition("cls").join(open_.drop("parities"), "cls"), least, some, slots), "rare")
     # rows hold few grams each, so dealing them out again evens what long and short texts make
     rows = rows.repartition(F.hash("cls", "gram"))
     met = rows.select("label", "most_q", "q", F.explode("gram").alias("gram")).groupBy("gram", "label").agg(F.count("*").alias("n"), F.min("most_q").alias("most_q"), F.first("q").alias("q"))
@@ -422,18 +460,23 @@ def _by_grams(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def _contracted(pairs: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """labels (cls, label) after the pairs (a, b, key, rank) that are similar join components: first of each key the pair of the least rank, then the others that are still apart."""
+    ends = [labels.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b")]
+    left = settle(pairs.join(ends[0], "a").join(ends[1], "b").filter("label_a <> label_b"), "left")
     for ahead in (True, False):
-        ends = [labels.select(F.col("cls").alias(c), F.col("label").alias(f"label_{c}")) for c in ("a", "b")]
-        apart = pairs.join(ends[0], "a").join(ends[1], "b").filter("label_a <> label_b")
+        apart = left
         if ahead:
-            apart = apart.groupBy("key").agg(F.min_by(F.struct("a", "b", "label_a", "label_b"), F.struct("rank", "a", "b")).alias("p")).select("p.*")
-        apart = settle(apart.select("a", "b", "label_a", "label_b"), "apart")
+            apart = settle(left.groupBy("key").agg(F.min_by(F.struct("a", "b", "label_a", "label_b"), F.struct("rank", "a", "b")).alias("p")).select("p.*"), "apart")
         if not apart.limit(1).count():
             break
         similar = verify(apart.select("a", "b"), texts, least)
         links = settle(similar.join(apart, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "links")
         further = components(links).select(F.col("node").alias("label"), F.col("label").alias("further"))
         labels = settle(labels.join(further, "label", "left").select("cls", F.coalesce("further", "label").alias("label")), "labels")
+        if ahead:  # compared pairs are done with, and the others' labels follow the links
+            left = left.join(apart.select("a", "b"), ["a", "b"], "left_anti")
+            for c in ("label_a", "label_b"):
+                left = left.join(further.withColumnRenamed("label", c), c, "left").withColumn(c, F.coalesce("further", c)).drop("further")
+            left = settle(left.filter("label_a <> label_b"), "left")
     return labels
 
 
@@ -456,15 +499,18 @@ def _classes(docs: DataFrame, least: float, m: int, l: int, k: int) -> DataFrame
     wanted = settle(members.select("cls").distinct().join(classes.select("cls", "d1", "d2", "at.doc_id"), "cls"), "wanted")
     maybe = among(wanted.select("doc_id"), "doc_id")
     texts = digested(docs.filter(maybe("doc_id"))).join(wanted.withColumnRenamed("doc_id", "rep"), ["d1", "d2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
-    texts = settle(texts.groupBy("cls").agg(F.min("text").alias("text")), "texts")
+    texts = settle(texts.groupBy("d1", "d2", "cls").agg(F.min("text").alias("text")).select("cls", "text"), "texts")
     labels = _contracted(_by_hubs(classes, members, least), wanted.select("cls", F.col("cls").alias("label")), texts, least)
-    # then what may join components that meet in a bucket
-    held = settle(members.select("bucket", "cls", "n_words").join(labels, "cls"), "held")
+    # then what may join components that meet in a bucket beside its hub, which all members were compared with
+    held = settle(members.filter("cls <> hub").select("bucket", "cls", "n_words").join(labels, "cls"), "held")
     # similar texts' lengths lie in one cell or in neighbours; each text stands in its own and the next
     cell = F.floor(F.log(F.col("n_words") + F.lit(0.5)) / float(-np.log(least))).cast("int") if least < 1 else F.col("n_words").cast("int")
     held = held.withColumn("cell", F.explode(F.array(cell, cell + 1)))
-    split = held.groupBy("bucket", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket", "cell")
-    open_ = settle(held.join(split, ["bucket", "cell"]).select("cls", "label").distinct().join(classes.select("cls", "n_words", "parity", "parities"), "cls"), "open")
+    split = held.groupBy("bucket", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high").select("bucket", "cell", "n")
+    held = settle(held.join(split, ["bucket", "cell"]), "split")
+    labels = _contracted(_by_few(held.filter(F.col("n") <= FEW), classes, least), labels, texts, least)
+    many = settle(held.filter(F.col("n") > FEW).select("cls").distinct().join(labels, "cls"), "many")
+    open_ = settle(many.join(classes.select("cls", "n_words", "parity", "parities"), "cls"), "open")
     labels = _contracted(_by_grams(open_, texts, least), labels, texts, least)
     # the class_id is the smallest doc_id; the document that stays is that of this id with the least digest
     named = wanted.select("cls", "d1", "d2", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id")).alias("at")).join(labels, "cls")

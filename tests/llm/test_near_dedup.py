@@ -135,6 +135,34 @@ def test_rare_grams_of_similar_texts_meet(spark):
     assert met > 10
 
 
+def test_grams_are_counted_and_those_of_one_text_left_out(spark):
+    texts = ["only this text says so", "common start of a text here", "common start of a text there", "z " * 700, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "cls long, text string").repartition(3)
+    slots = 1 << 20
+    want = np.zeros((2, slots), int)
+    for t in texts:
+        h = nd.words(*nd.utf8(nd.pa.array([t])))[2]
+        for q in (1, 2):
+            np.add.at(want[q - 1], (nd._grams(h, np.array([0, len(h)]), q)[0] & np.uint64(slots - 1)).astype(int), 1)
+    assert (nd.gram_counts(rows, slots) == np.minimum(want, 255)).all() and want.max() == 700
+    assert {r["cls"] for r in nd.rare_grams(rows, 0.8, slots=slots).collect()} - {3} == {1, 2}
+
+
+def test_few_texts_of_a_bucket_need_no_grams(spark, monkeypatch):
+    rng, seen, real = np.random.default_rng(31), [], nd._by_grams
+    monkeypatch.setattr(nd, "_by_grams", lambda open_, *a: seen.append(open_.count()) or real(open_, *a))
+    word = lambda: f"w{rng.integers(10**6)}"
+    rows, want = [], {}
+    for k in range(8):  # texts with a passage in common, and of each twin the edits are outside
+        passage = [word() for _ in range(50)]
+        texts = [[word() for _ in range(50)] + passage for _ in range(4)]
+        texts.append([word() if i in range(0, 36, 2) else x for i, x in enumerate(texts[2])])
+        rows += [(10 * k + i, " ".join(t)) for i, t in enumerate(texts)]
+        want |= {10 * k + i: 10 * k + (2 if i == 4 else i) for i in range(5)}
+    got = {r["doc_id"]: r["class_id"] for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want and seen == [0]
+
+
 def test_a_common_passage_makes_no_pairs_but_loses_none(spark):
     rng = np.random.default_rng(21)
     word = lambda: f"w{rng.integers(10**6)}"
