@@ -21,6 +21,8 @@ DENY = {
 }
 #: Fixed value: the name of the reason of a denied segment.
 DENIED = "denylist(scale_shift/embed/gate/time/head/refiner_blocks/adapter)"
+#: Rows of header entries, of either side, that a task sorts.
+ROWS = 1 << 17
 
 
 def is_float(dtype: Column) -> Column:
@@ -220,10 +222,16 @@ def refuse_bad(errors: DataFrame, least: float = 0.99) -> DataFrame:
 # --- low rank: which weights, and their deltas (factors: lowrank) ---
 
 
+def tasks(rows: int) -> int:
+    """Tasks for so many rows of header entries."""
+    return max(1, -(-rows // ROWS))
+
+
 def lora_pairs(base: DataFrame, tuned: DataFrame, include: str | None = None, exclude: str | None = None, arch: str = "auto") -> DataFrame:
     """(module, bare, shape, b, t): the two-dimensional weights of both sides, of one shape and a float type on the base's side, that the patterns leave. b and t hold the other columns of either side."""
-    side = lambda df, name: df.withColumn("bare", arch_stripped(F.col("key"), arch)).groupBy("bare").agg(F.max_by(F.struct(*df.columns), "key").alias(name))
-    both = side(base, "b").join(side(tuned, "t"), "bare")
+    n = tasks(max(base.count(), tuned.count()))  # whole keys are sorted, in parts whose size doesn't follow the input's
+    side = lambda df, name: df.withColumn("bare", arch_stripped(F.col("key"), arch)).repartition(n, "bare").groupBy("bare").agg(F.max_by(F.struct(*df.columns), "key").alias(name))
+    both = side(base, "b").hint("merge").join(side(tuned, "t"), "bare")  # a broadcast side would follow the input
     ok = F.endswith(F.col("bare"), F.lit(".weight")) & is_float(F.col("b.dtype")) & (F.size("b.shape") == 2) & (F.col("b.shape") == F.col("t.shape"))
     if include:
         ok = ok & F.col("bare").rlike(include)
