@@ -8,7 +8,8 @@ similar if 1 - edits / length of the longer >= THRESHOLD.
 Texts with the same words are one class, so copies cost nothing further. A bucket's hub is its smallest member. Members are first compared with
 the smallest of their hubs that may be similar, then with the other hubs; links make components. In buckets that still hold several components beside
 the hub, a few members of like lengths are compared with each other, and of more those that share a rare gram of one or two words at about the same
-place, which all similar texts do: texts that only have a common passage aren't. Pairs
+place, which all similar texts do: texts that only have a common passage aren't. Where a crowd shares a gram, blocks of its texts of like lengths meet
+in one task each, and no pair of texts is a row. Pairs
 inside a known component aren't made, nor those that lengths or parities of word counts rule out. No link that joins components is lost within buckets.
 
 Defined cases: texts without words are alone, each its own class; texts of fewer than three words have one k-mer of all of them; A-Z are folded;
@@ -47,6 +48,9 @@ SLOTS, MOST_SLOTS = 1 << 16, 1 << 23
 RANGES = 256
 MANY = 255
 GRAMS = 32
+#: Texts with one gram of which more are a crowd, and texts and words of a block of it.
+CROWD = 64
+BLOCK, BLOCK_WORDS = 128, 1 << 18
 _TOP = np.uint64(2**64 - 1)
 _UPPER = np.uint64(0xFFFFFFFF00000000)
 
@@ -108,9 +112,8 @@ def parities(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.packbits(odd.astype(np.uint8)).view(np.int64), begin
 
 
-def narrowed(parity: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Rows x BITS / 64: each row's parities put upon each other down to BITS slots."""
-    least = BITS // 64
+def narrowed(parity: np.ndarray, begin: np.ndarray, least: int = BITS // 64) -> np.ndarray:
+    """Rows x least: each row's parities put upon each other down to 64 x least slots."""
     out = np.zeros((len(begin) - 1, least), np.int64)
     row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
     np.bitwise_xor.at(out, (row, (np.arange(len(parity)) - begin[row]) % least), parity)
@@ -411,11 +414,8 @@ def _by_hubs(classes: DataFrame, members: DataFrame, least: float) -> DataFrame:
     return settle(may.select("a", "b", F.struct("b").alias("key"), (-F.col("n")).alias("rank")), "pairs")
 
 
-def _by_few(held: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different labels in one bucket and cell that may be similar; of a text with a label (key) those whose words differ least rank first. held: FEW rows or less of each bucket and cell."""
-    side = lambda c: held.select("bucket", "cell", F.col("cls").alias(c), F.col("label").alias(f"label_{c}"), F.col("n_words").alias(f"n_{c}"))
-    alike = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= _reach("n_a", "n_b", least))
-    met = settle(side("a").join(side("b"), ["bucket", "cell"]).filter(alike).select("a", "b", F.col("label_b").alias("label")).distinct(), "met")
+def _promising(met: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Of met (a, b, label: that of b) the pairs whose lengths and parities allow them to be similar: (a, b, key: a and label, rank: parities that differ)."""
     maybe = among(_ends(met), "cls")
     known = settle(classes.filter(maybe("cls")).select("cls", "n_words", "parity", "parities"), "known")
     own = lambda c: known.select(F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in known.columns[1:]])
@@ -425,11 +425,101 @@ def _by_few(held: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return settle(may.select("a", "b", F.struct(F.col("a").alias("cls"), "label").alias("key"), differing.alias("rank")), "pairs")
 
 
-def _by_grams(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different labels that have a rare gram in common and may be similar; of a text with a label (key) those whose words differ least rank first.
+def _by_few(held: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different labels in one bucket and cell that may be similar; of a text with a label (key) those whose words differ least rank first. held: FEW rows or less of each bucket and cell."""
+    side = lambda c: held.select("bucket", "cell", F.col("cls").alias(c), F.col("label").alias(f"label_{c}"), F.col("n_words").alias(f"n_{c}"))
+    alike = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= _reach("n_a", "n_b", least))
+    met = settle(side("a").join(side("b"), ["bucket", "cell"]).filter(alike).select("a", "b", F.col("label_b").alias("label")).distinct(), "met")
+    return _promising(met, classes, least)
 
-    open_: (cls, label, n_words, parity, parities). Texts meet labels at a gram, and only texts that meet a label meet its members, so what many texts of a
-    label have in common counts once. Of a gram's labels the commonest is only met by the others.
+
+def _cell(least: float) -> Column:
+    """A number for n_words: those of similar texts are the same or neighbours."""
+    return (F.floor(F.log(F.col("n_words") + F.lit(0.5)) / float(-np.log(least))) if least < 1 else F.col("n_words")).cast("int")
+
+
+def _linked(text: pa.Array, label: np.ndarray, side: np.ndarray, within: bool, most_q: np.ndarray, q: int, mine: list[set[int]], gram: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Labels that similar texts of two blocks (side 0 and 1), or of one (within), join."""
+    _, _, h, first = words(*utf8(text))
+    n = np.diff(first)
+    parity, begin = parities(labelled(h, first), first)
+    bits = narrowed(parity, begin, int(np.diff(begin).min())).view(np.uint64)  # bits of negative numbers would be counted without their sign
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if within else 1))
+    found = [np.zeros((3, 0), np.int64)]
+    for i in left:
+        reach = np.floor((1 - least) * np.maximum(n[i], n[right]) + 1e-9)
+        differ, apart = np.bitwise_count(bits[i] ^ bits[right]).sum(1), abs(n[i] - n[right])
+        may = (label[right] != label[i]) & (apart <= reach) & (differ <= 2 * reach - apart) & (np.minimum(most_q[i], most_q[right]) == q)
+        may &= right > i if within else True
+        # texts that share several crowded grams meet at the first
+        at = [j for j in np.flatnonzero(may) if min(mine[i] & mine[right[j]]) == gram]
+        found.append(np.array([np.full(len(at), i), right[at], differ[at]], np.int64))
+    a, b, differ = np.concatenate(found, axis=1)
+    order = np.argsort(differ, kind="stable")
+    a, b = a[order], b[order]
+    each = [h[first[i] : first[i + 1]] for i in range(len(n))]
+    names, own = np.unique(label, return_inverse=True)
+    root, links = np.arange(len(names)), []
+    left = np.unique(own[a] * len(names) + own[b], return_index=True)[1]  # of two labels the pair whose words differ least, then the others
+    for todo in (left, np.setdiff1d(np.arange(len(a)), left)):
+        for i in range(0, len(todo), 256):
+            some = todo[i : i + 256]
+            some = some[root[own[a[some]]] != root[own[b[some]]]]
+            some = some[similar([each[x] for x in a[some]], [each[x] for x in b[some]], least)]
+            for x, y in zip(own[a[some]], own[b[some]], strict=True):
+                if root[x] != root[y]:
+                    links.append((names[x], names[y]))
+                    root[root == root[y]] = root[x]
+    return tuple(np.array(links, np.int64).reshape(-1, 2).T)
+
+
+def _by_crowds(crowded: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the labels of similar texts that share a crowded gram. crowded: (gram, main, cls, label, n_words, most_q, q).
+
+    The texts of a gram and of a length are dealt to blocks, those of the commonest label to their own, which don't meet each other. A block meets those of
+    its length and of neighbouring ones, and a task gets the texts of two: a text travels once for each block it meets, not for each text.
+    """
+    out = "a long, b long"
+
+    def compare(rows: pa.Table) -> pa.Table:
+        col = lambda c: rows.column(c).combine_chunks()
+        one = lambda c: rows.column(c)[0].as_py()
+        side, within = np.asarray(col("side")), one("low") == one("high") and one("i") == one("j")
+        label = np.asarray(col("label"))
+        a = b = np.zeros(0, np.int64)
+        if len(np.unique(label)) > 1 and (within or len(np.unique(side)) > 1):
+            a, b = _linked(col("text"), label, side, within, np.asarray(col("most_q")), one("q"), [set(x) for x in col("mine").to_pylist()], one("gram"), least)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    own = ("cls", "label", "n_words", "most_q", "q")
+    mine = crowded.groupBy(*own).agg(F.collect_list(F.struct("gram", "main")).alias("at"))
+    rows = mine.select(*own, F.col("at.gram").alias("mine"), F.explode("at").alias("at")).select(*own, "mine", "at.*")
+    rows = settle(rows.withColumn("part", 2 * _cell(least) + (F.col("label") == F.col("main")).cast("int")).drop("main", "n_words"), "crowds")
+    n_words = crowded.select("gram", "label", "main", "n_words")
+    n_words = n_words.withColumn("part", 2 * _cell(least) + (F.col("label") == F.col("main")).cast("int"))
+    sizes = n_words.groupBy("gram", "part").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("n"))
+    sizes = settle(sizes.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("n")), "sizes")
+    block = F.pmod(F.xxhash64("cls"), F.col("n")[F.col("part")]).cast("int")
+    maybe = among(rows, "cls")
+    rows = rows.join(sizes, "gram").withColumn("block", block).join(texts.filter(maybe("cls")), "cls")
+    part, block, cell = F.col("part"), F.col("block"), F.floor(F.col("part") / 2).cast("int")
+    peers = F.filter(F.transform(F.sequence(2 * cell - 2, 2 * cell + 3), lambda p: F.struct(p.alias("part"), F.coalesce(F.col("n")[p], F.lit(0)).alias("n"))), lambda p: (p["n"] > 0) & ((part % 2 == 0) | (p["part"] % 2 == 0)))
+
+    def meeting(p: Column, j: Column) -> Column:
+        ahead = (part < p) | ((part == p) & (block <= j))
+        low, high, i, k = F.when(ahead, part).otherwise(p), F.when(ahead, p).otherwise(part), F.when(ahead, block).otherwise(j), F.when(ahead, j).otherwise(block)
+        return F.struct(low.alias("low"), high.alias("high"), i.alias("i"), k.alias("j"), F.when(ahead, 0).otherwise(1).alias("side"))
+
+    met = F.flatten(F.transform(peers, lambda p: F.transform(F.sequence(F.lit(0), p["n"] - 1), lambda j: meeting(p["part"], j))))
+    rows = rows.select("gram", "label", "most_q", "q", "mine", "text", F.explode(met).alias("m")).select("gram", "label", "most_q", "q", "mine", "text", "m.*")
+    return settle(rows.groupBy("gram", "low", "high", "i", "j").applyInArrow(compare, out).distinct(), "links")
+
+
+def _by_grams(open_: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between labels in crowds, and pairs (a, b) of different labels that have another rare gram in common and may be similar; of a text with a label (key) those whose words differ least rank first.
+
+    open_: (cls, label, n_words, parity, parities). Similar texts have such a gram in common themselves, whatever their labels, so a text meets CROWD others
+    at most at a gram that makes rows, and those of a crowd in blocks (_by_crowds).
     """
     maybe, n = among(open_, "cls"), open_.agg(F.sum("n_words")).first()[0] or 0
     some = texts.filter(maybe("cls"))
@@ -438,24 +528,27 @@ def _by_grams(open_: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     # rows hold few grams each, so dealing them out again evens what long and short texts make
     rows = rows.repartition(F.hash("cls", "gram"))
     met = rows.select("label", "most_q", "q", F.explode("gram").alias("gram")).groupBy("gram", "label").agg(F.count("*").alias("n"), F.min("most_q").alias("most_q"), F.first("q").alias("q"))
-    shared = met.groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.min("most_q").alias("most_q"), F.first("q").alias("q"))
-    shared = settle(shared.filter("labels > 1 AND q = most_q").select("gram", "main"), "shared")
+    shared = met.groupBy("gram").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("n"), F.min("most_q").alias("most_q"), F.first("q").alias("q"))
+    shared = settle(shared.filter("labels > 1 AND q = most_q").select("gram", "main", (F.col("n") > CROWD).alias("crowd")), "shared")
     maybe = among(shared, "gram")
     own = ("cls", "label", "n_words", "parity", "most_q", "q")
-    each = settle(rows.select(*own, F.explode(F.arrays_zip("gram", "low", "high")).alias("g")).select(*own, "g.*").filter(maybe("gram")), "grams")
-    per = each.groupBy("gram", "label").agg(F.count("*").alias("n"), F.min("n_words").alias("least_n"), F.max("n_words").alias("most_n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("most_q").alias("most_q"), F.first("parity").alias("parity"))
-    x = each.join(shared, "gram").filter("label <> main").withColumnsRenamed({"label": "label_x"})
-    y = per.withColumnsRenamed({c: f"{c}_y" for c in per.columns})
-    reach = F.floor((1 - least) * F.greatest("n_words", "most_n_y") + 1e-9)
-    meet = (F.col("gram") == F.col("gram_y")) & (F.col("label_x") != F.col("label_y")) & ((F.col("label_y") == F.col("main")) | (F.col("label_x") < F.col("label_y"))) & (F.col("q") == F.least("most_q", "most_q_y"))
-    meet = meet & (F.col("low") - reach <= F.col("high_y")) & (F.col("low_y") - reach <= F.col("high")) & (F.col("n_words") >= F.ceil(least * F.col("least_n_y") - 1e-9)) & (F.col("most_n_y") >= F.ceil(least * F.col("n_words") - 1e-9))
-    meet = meet & ((F.col("n_y") > 1) | (_differing("parity", "parity_y") <= 2 * reach))
-    met = settle(x.join(y, meet).select("cls", F.col("label_y").alias("label")).distinct(), "met")
-    met = met.join(open_.select("cls", "n_words", "parity", "parities"), "cls")
-    whole = open_.select(*[F.col(c).alias(f"{c}_y") for c in ("cls", "label", "n_words", "parity", "parities")])
-    differing = _differing_whole("parities", "parities_y")
-    pairs = met.join(whole, (F.col("label") == F.col("label_y")) & _possible("n_words", "n_words_y", "parity", "parity_y", least) & (differing <= 2 * _reach("n_words", "n_words_y", least) - F.abs(F.col("n_words") - F.col("n_words_y"))))
-    return settle(pairs.select(F.col("cls").alias("a"), F.col("cls_y").alias("b"), F.struct("cls", "label").alias("key"), differing.alias("rank")), "pairs")
+    each = settle(rows.select(*own, F.explode(F.arrays_zip("gram", "low", "high")).alias("g")).select(*own, "g.*").filter(maybe("gram")).join(shared, "gram"), "grams")
+    links = _by_crowds(each.filter("crowd").select("gram", "main", "cls", "label", "n_words", "most_q", "q"), texts, least) if shared.filter("crowd").limit(1).count() else None
+    own = ("label", "n_words", "parity", "most_q", "q", "low", "high")
+    side = lambda c: each.filter("NOT crowd").select("gram", F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in own])
+    reach = _reach("n_words_a", "n_words_b", least)
+    meet = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (F.col("q_a") == F.least("most_q_a", "most_q_b")) & _possible("n_words_a", "n_words_b", "parity_a", "parity_b", least)
+    meet = meet & (F.col("low_a") - reach <= F.col("high_b")) & (F.col("low_b") - reach <= F.col("high_a"))
+    met = settle(side("a").join(side("b"), "gram").filter(meet).select("a", "b", F.col("label_b").alias("label")).distinct(), "met")
+    return links, _promising(met, open_, least)
+
+
+def _further(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("node").alias("label"), F.col("label").alias("further"))
+
+
+def _relabelled(labels: DataFrame, further: DataFrame) -> DataFrame:
+    return settle(labels.join(further, "label", "left").select("cls", F.coalesce("further", "label").alias("label")), "labels")
 
 
 def _contracted(pairs: DataFrame, labels: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -470,8 +563,8 @@ def _contracted(pairs: DataFrame, labels: DataFrame, texts: DataFrame, least: fl
             break
         similar = verify(apart.select("a", "b"), texts, least)
         links = settle(similar.join(apart, ["a", "b"]).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct(), "links")
-        further = components(links).select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = settle(labels.join(further, "label", "left").select("cls", F.coalesce("further", "label").alias("label")), "labels")
+        further = _further(links)
+        labels = _relabelled(labels, further)
         if ahead:  # compared pairs are done with, and the others' labels follow the links
             left = left.join(apart.select("a", "b"), ["a", "b"], "left_anti")
             for c in ("label_a", "label_b"):
@@ -503,15 +596,17 @@ def _classes(docs: DataFrame, least: float, m: int, l: int, k: int) -> DataFrame
     labels = _contracted(_by_hubs(classes, members, least), wanted.select("cls", F.col("cls").alias("label")), texts, least)
     # then what may join components that meet in a bucket beside its hub, which all members were compared with
     held = settle(members.filter("cls <> hub").select("bucket", "cls", "n_words").join(labels, "cls"), "held")
-    # similar texts' lengths lie in one cell or in neighbours; each text stands in its own and the next
-    cell = F.floor(F.log(F.col("n_words") + F.lit(0.5)) / float(-np.log(least))).cast("int") if least < 1 else F.col("n_words").cast("int")
-    held = held.withColumn("cell", F.explode(F.array(cell, cell + 1)))
+    # each text stands in its own cell of lengths and the next
+    held = held.withColumn("cell", F.explode(F.array(_cell(least), _cell(least) + 1)))
     split = held.groupBy("bucket", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high").select("bucket", "cell", "n")
     held = settle(held.join(split, ["bucket", "cell"]), "split")
     labels = _contracted(_by_few(held.filter(F.col("n") <= FEW), classes, least), labels, texts, least)
     many = settle(held.filter(F.col("n") > FEW).select("cls").distinct().join(labels, "cls"), "many")
     open_ = settle(many.join(classes.select("cls", "n_words", "parity", "parities"), "cls"), "open")
-    labels = _contracted(_by_grams(open_, texts, least), labels, texts, least)
+    links, pairs = _by_grams(open_, texts, least)
+    if links is not None:
+        labels = _relabelled(labels, _further(links))
+    labels = _contracted(pairs, labels, texts, least)
     # the class_id is the smallest doc_id; the document that stays is that of this id with the least digest
     named = wanted.select("cls", "d1", "d2", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id")).alias("at")).join(labels, "cls")
     first = named.groupBy("label").agg(F.min(F.struct("at", "d1", "d2")).alias("first"), F.count("*").alias("classes")).filter("classes > 1")

@@ -272,3 +272,40 @@ def test_query_covers_all_rows(spark):
     for r in got:
         if text[r["doc_id"]]:
             assert own.setdefault(text[r["doc_id"]], r["class_id"]) == r["class_id"]
+
+
+def test_a_crowd_around_the_threshold_makes_no_row_for_each_pair(spark, monkeypatch):
+    rng, counts, real = np.random.default_rng(41), {}, nd.settle
+    word, frame = lambda: f"w{rng.integers(60)}", ["over", "again"] * 60
+    texts = [[word() for _ in range(int(rng.integers(38, 52)))] + frame for _ in range(240)]
+    texts += [[word() if rng.random() < 0.4 else x for x in t[:40]] + t[40:] for t in texts[:20]]
+
+    def settle(df, name, **keep):
+        out = real(df, name, **keep)
+        counts[name] = max(counts.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(nd, "settle", settle)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = [r["class_id"] for r in nd.near_duplicates(docs).orderBy("doc_id").collect()]
+    number = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    rows = [np.array([number[w] for w in t], np.uint64) for t in texts]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i)]
+    near = nd.similar([rows[i] for i, _ in pairs], [rows[j] for _, j in pairs], nd.THRESHOLD)
+    label = list(range(len(rows)))
+    for (i, j), _ in filter(lambda x: x[1], zip(pairs, near, strict=True)):
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    assert got == label and 20 < len(set(label)) < 250
+    assert counts["met"] < 20 * len(texts), counts  # 32,167 where each text met each label at a gram
+
+
+def test_components_by_rounds_equal_those_of_one_task(spark, monkeypatch):
+    from loomset.llm import components as step
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (10, 9), (9, 8), (8, 7), (20, 20), (5, 30), (30, 31), (31, 4)], "a long, b long")
+    whole = {r["node"]: r["label"] for r in components(links).collect()}
+    for few in (0, 2):  # never one task; and one after rounds
+        monkeypatch.setattr(step, "FEW_LINKS", few)
+        assert {r["node"]: r["label"] for r in components(links).collect()} == whole
+    assert whole == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 10: 7, 5: 4, 30: 4, 31: 4, 4: 4}
