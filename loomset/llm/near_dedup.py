@@ -19,7 +19,7 @@ null doc_ids come after all others: a group of them alone has a null class_id, a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from loomset.llm.bloom import among
-from loomset.llm.common import _powers, blocks, mix, passing, ready, settle, shingles, utf8, words
+from loomset.llm.common import _powers, blocks, discard, mix, passing, ready, settle, shingles, utf8, words
 from loomset.llm.components import components
 
 K = 3
@@ -43,14 +43,17 @@ SPREAD = 8
 CELLS = 1 << 18
 #: Members of a bucket, beside its hub and of like lengths, that are compared with each other at once.
 FEW = 8
-#: Slots in which grams are counted to tell rare from common ones, at least and at most, in how many ranges they're added up, the count at which it stays, and how many grams of a text travel in one row.
+#: Slots in which grams are counted to tell rare from common ones, at least and at most, in how many ranges they're added up, and how many grams of a text travel in one row.
 SLOTS, MOST_SLOTS = 1 << 16, 1 << 23
 RANGES = 256
-MANY = 255
 GRAMS = 32
+#: Counts take a byte each, up to MANY: whole up to EXACT, beyond it in steps of an eighth of a doubling, so that common grams keep their order in larger inputs.
+EXACT, MANY = 127, 255
 #: Texts with one gram of which more are a crowd, and texts and words of a block of it.
 CROWD = 64
-BLOCK, BLOCK_WORDS = 128, 1 << 18
+BLOCK, BLOCK_WORDS = 256, 1 << 18
+#: The part of all texts of a crowd that is one block.
+WHOLE = -2
 _TOP = np.uint64(2**64 - 1)
 _UPPER = np.uint64(0xFFFFFFFF00000000)
 
@@ -316,11 +319,16 @@ def _leading(value: np.ndarray, row: np.ndarray, place: np.ndarray, frequency: n
     own = np.diff(np.append(new, len(v)))
     v, r, t = v[new], r[new], t[new]
     keep = new - new[np.searchsorted(r, r)] <= spoilt[r] if len(new) else np.zeros(0, bool)
-    return r[keep], v[keep], low[keep], high[keep], t[keep], (t > own)[keep] | (t[keep] == MANY)
+    return r[keep], v[keep], low[keep], high[keep], t[keep], (t > own)[keep] | (t[keep] > EXACT)
 
 
-def gram_counts(texts: DataFrame, slots: int) -> np.ndarray:
-    """2 x slots: how many grams of one and of two words of `text` fall in each slot, up to MANY."""
+def _stepped(n: np.ndarray) -> np.ndarray:
+    """Counts in steps, in the same order."""
+    return np.where(n <= EXACT, n, EXACT + np.ceil(8 * np.log2(np.maximum(n, 1) / EXACT))).astype(np.int64)
+
+
+def gram_counts(texts: DataFrame, slots: int, steps: Callable[[np.ndarray], np.ndarray] = np.asarray) -> np.ndarray:
+    """2 x slots: how many grams of one and of two words of `text` fall in each slot, in these steps, up to MANY."""
     width = 2 * slots // RANGES
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,16 +336,16 @@ def gram_counts(texts: DataFrame, slots: int) -> np.ndarray:
             _, _, h, first = words(data, limits)
             found = np.concatenate([(_grams(h, first, q)[0] & np.uint64(slots - 1)).astype(np.int32) + (q - 1) * slots for q in (1, 2)])
             slot, n = np.unique(found, return_counts=True)
-            slot = np.repeat(slot, np.minimum(n, MANY))  # more of them count no further
             some, begin = np.unique(slot // width, return_index=True)
-            held = [x.astype(np.int32).tobytes() for x in np.split(slot, begin[1:])] if len(slot) else []
+            held = [x.astype(np.int32).tobytes() for x in np.split(np.stack([slot, n], 1), begin[1:])] if len(slot) else []
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(held, pa.binary())], names=["range", "held"])
 
     def add(rows: pa.Table) -> pa.Table:
         part, n = rows.column("range")[0].as_py(), np.zeros(width, np.int64)
         for x in rows.column("held"):
-            n += np.bincount(np.frombuffer(x.as_buffer(), np.int32) - part * width, minlength=width)
-        return pa.table({"range": [part], "n": pa.array([np.minimum(n, MANY).astype(np.uint8).tobytes()], pa.binary())})
+            slot, own = np.frombuffer(x.as_buffer(), np.int32).reshape(-1, 2).T
+            n[slot - part * width] += own
+        return pa.table({"range": [part], "n": pa.array([np.minimum(steps(n), MANY).astype(np.uint8).tobytes()], pa.binary())})
 
     out = np.zeros((RANGES, width), np.uint8)
     for r in texts.select("text").mapInArrow(place, "range long, held binary").groupBy("range").applyInArrow(add, "range long, n binary").toArrow().to_pylist():
@@ -359,7 +367,7 @@ def rare_grams(texts: DataFrame, least: float, counted: DataFrame | None = None,
     long = lambda c: T.StructField(c, T.ArrayType(T.LongType()))
     out = T.StructType([*rest, T.StructField("most_q", T.LongType()), T.StructField("q", T.LongType()), long("gram"), long("low"), long("high")])
     arrow = to_arrow_schema(out)
-    frequency = gram_counts(texts if counted is None else counted, slots)
+    frequency = gram_counts(texts if counted is None else counted, slots, _stepped)
     load, shared = 4 * frequency[1].mean(), texts.sparkSession.sparkContext.broadcast(frequency)
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,17 +451,27 @@ def _linked(text: pa.Array, label: np.ndarray, side: np.ndarray, within: bool, m
     _, _, h, first = words(*utf8(text))
     n = np.diff(first)
     parity, begin = parities(labelled(h, first), first)
-    bits = narrowed(parity, begin, int(np.diff(begin).min())).view(np.uint64)  # bits of negative numbers would be counted without their sign
+    size = np.diff(begin)
+    bits, at = {}, {}  # of texts with parities in so many slots or more, narrowed to these, and where each text's are
+    for few in np.unique(size):
+        some = size >= few
+        own = narrowed(parity[np.repeat(some, size)], np.concatenate([[0], np.cumsum(size[some])]), int(few))
+        bits[few], at[few] = own.view(np.uint64), np.cumsum(some) - 1  # bits of negative numbers would be counted without their sign
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if within else 1))
     found = [np.zeros((3, 0), np.int64)]
     for i in left:
-        reach = np.floor((1 - least) * np.maximum(n[i], n[right]) + 1e-9)
-        differ, apart = np.bitwise_count(bits[i] ^ bits[right]).sum(1), abs(n[i] - n[right])
-        may = (label[right] != label[i]) & (apart <= reach) & (differ <= 2 * reach - apart) & (np.minimum(most_q[i], most_q[right]) == q)
+        may = (label[right] != label[i]) & (abs(n[i] - n[right]) <= np.floor((1 - least) * np.maximum(n[i], n[right]) + 1e-9)) & (np.minimum(most_q[i], most_q[right]) == q)
         may &= right > i if within else True
-        # texts that share several crowded grams meet at the first
-        at = [j for j in np.flatnonzero(may) if min(mine[i] & mine[right[j]]) == gram]
-        found.append(np.array([np.full(len(at), i), right[at], differ[at]], np.int64))
+        met = right[may]
+        both = np.minimum(size[i], size[met])
+        for few in np.unique(both):
+            j = met[both == few]
+            differ = np.bitwise_count(bits[few][at[few][i]] ^ bits[few][at[few][j]]).sum(1)
+            some = differ <= 2 * np.floor((1 - least) * np.maximum(n[i], n[j]) + 1e-9) - abs(n[i] - n[j])
+            j, differ = j[some], differ[some]
+            # texts that share several crowded grams meet at the first
+            some = np.array([min(mine[i] & mine[x]) == gram for x in j], bool)
+            found.append(np.array([np.full(some.sum(), i), j[some], differ[some]], np.int64))
     a, b, differ = np.concatenate(found, axis=1)
     order = np.argsort(differ, kind="stable")
     a, b = a[order], b[order]
@@ -476,8 +494,9 @@ def _linked(text: pa.Array, label: np.ndarray, side: np.ndarray, within: bool, m
 def _by_crowds(crowded: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between the labels of similar texts that share a crowded gram. crowded: (gram, main, cls, label, n_words, most_q, q).
 
-    The texts of a gram and of a length are dealt to blocks, those of the commonest label to their own, which don't meet each other. A block meets those of
-    its length and of neighbouring ones, and a task gets the texts of two: a text travels once for each block it meets, not for each text.
+    A crowd of BLOCK texts and BLOCK_WORDS words at most is one block. Of larger ones the texts of a length are dealt to blocks, those of the commonest label
+    to their own, which don't meet each other. A block meets those of its length and of neighbouring ones, and a task gets the texts of two: a text travels
+    once for each block it meets, not for each text.
     """
     out = "a long, b long"
 
@@ -497,11 +516,14 @@ def _by_crowds(crowded: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     rows = settle(rows.withColumn("part", 2 * _cell(least) + (F.col("label") == F.col("main")).cast("int")).drop("main", "n_words"), "crowds")
     n_words = crowded.select("gram", "label", "main", "n_words")
     n_words = n_words.withColumn("part", 2 * _cell(least) + (F.col("label") == F.col("main")).cast("int"))
-    sizes = n_words.groupBy("gram", "part").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("n"))
-    sizes = settle(sizes.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("part", "n"))).alias("n")), "sizes")
+    blocks_of = lambda texts, words: F.ceil(F.greatest(texts / BLOCK, words / BLOCK_WORDS)).cast("int")
+    sizes = n_words.groupBy("gram", "part").agg(F.count("*").alias("texts"), F.sum("n_words").alias("words"))
+    each = F.map_from_entries(F.collect_list(F.struct("part", blocks_of(F.col("texts"), F.col("words")))))
+    sizes = sizes.groupBy("gram").agg(blocks_of(F.sum("texts"), F.sum("words")).alias("all"), each.alias("n"))
+    sizes = settle(sizes.select("gram", F.when(F.col("all") > 1, F.col("n")).otherwise(F.create_map(F.lit(WHOLE), "all")).alias("n")), "sizes")
     block = F.pmod(F.xxhash64("cls"), F.col("n")[F.col("part")]).cast("int")
     maybe = among(rows, "cls")
-    rows = rows.join(sizes, "gram").withColumn("block", block).join(texts.filter(maybe("cls")), "cls")
+    rows = rows.join(sizes, "gram").withColumn("part", F.when(F.map_contains_key("n", F.lit(WHOLE)), WHOLE).otherwise(F.col("part"))).withColumn("block", block).join(texts.filter(maybe("cls")), "cls")
     part, block, cell = F.col("part"), F.col("block"), F.floor(F.col("part") / 2).cast("int")
     peers = F.filter(F.transform(F.sequence(2 * cell - 2, 2 * cell + 3), lambda p: F.struct(p.alias("part"), F.coalesce(F.col("n")[p], F.lit(0)).alias("n"))), lambda p: (p["n"] > 0) & ((part % 2 == 0) | (p["part"] % 2 == 0)))
 
@@ -583,16 +605,30 @@ def _classes(docs: DataFrame, least: float, m: int, l: int, k: int) -> DataFrame
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"))
     sketched = settle(sketches(docs, m, l, k), "sketches")
     # a class is all rows of the same words; its number is written down with it, so it stays
-    classes = sketched.filter("n_words > 0").groupBy("d1", "d2").agg(F.min(order).alias("at"), *[F.first(c).alias(c) for c in ("n_words", "parity", "parities", "bands")])
+    worded, own = sketched.filter("n_words > 0"), ("n_words", "parity", "parities", "bands")
+    repeated = settle(worded.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2"), "repeated")
+    again = among(repeated, "d1", "d2")  # sketches of other words are classes where they lie
+    marked = worded.withColumn("again", again("d1", "d2"))
+    classes = marked.filter("again").groupBy("d1", "d2").agg(F.min(order).alias("at"), *[F.first(c).alias(c) for c in own])
+    classes = marked.filter("NOT again").select("d1", "d2", order.alias("at"), *own).unionByName(classes)
     classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    ids = settle(sketched.select("doc_id", "d1", "d2", "n_words"), "ids")
+    discard(sketched)  # sketches are the largest tables by far
     placed = classes.select("cls", "n_words", F.explode("bands").alias("bucket"))
-    hubs = settle(placed.groupBy("bucket").agg(F.min(F.struct(F.col("cls").alias("hub"), F.col("n_words").alias("hub_words"))).alias("hub"), F.max("cls").alias("last")).filter("hub.hub < last").select("bucket", "hub.*"), "hubs")
-    maybe = among(hubs, "bucket")
-    members = settle(placed.filter(maybe("bucket")).join(hubs, "bucket"), "members")
+    # only bucket numbers are shuffled to find those of several classes, few of all
+    several = settle(placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "several")
+    maybe = among(several, "bucket")
+    some = settle(placed.filter(maybe("bucket")), "placed")
+    hubs = some.groupBy("bucket").agg(F.min(F.struct(F.col("cls").alias("hub"), F.col("n_words").alias("hub_words"))).alias("hub"), F.max("cls").alias("last"))
+    members = settle(some.join(hubs.filter("hub.hub < last").select("bucket", "hub.*"), "bucket"), "members")
+    banded, classes = classes, settle(classes.drop("bands"), "classes")
+    discard(banded)
     wanted = settle(members.select("cls").distinct().join(classes.select("cls", "d1", "d2", "at.doc_id"), "cls"), "wanted")
     maybe = among(wanted.select("doc_id"), "doc_id")
-    texts = digested(docs.filter(maybe("doc_id"))).join(wanted.withColumnRenamed("doc_id", "rep"), ["d1", "d2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
-    texts = settle(texts.groupBy("d1", "d2", "cls").agg(F.min("text").alias("text")).select("cls", "text"), "texts")
+    # the ids are compared after the join: as a key they would have texts shuffled again for their groups
+    texts = digested(docs.filter(maybe("doc_id"))).join(wanted.withColumnRenamed("doc_id", "rep"), ["d1", "d2"])
+    texts = texts.groupBy("d1", "d2", "cls").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("rep")), F.col("text"))).alias("text"))
+    texts = settle(texts.filter("text IS NOT NULL").select("cls", "text"), "texts")
     labels = _contracted(_by_hubs(classes, members, least), wanted.select("cls", F.col("cls").alias("label")), texts, least)
     # then what may join components that meet in a bucket beside its hub, which all members were compared with
     held = settle(members.filter("cls <> hub").select("bucket", "cls", "n_words").join(labels, "cls"), "held")
@@ -613,7 +649,7 @@ def _classes(docs: DataFrame, least: float, m: int, l: int, k: int) -> DataFrame
     moved = named.join(first, "label").select("d1", "d2", "first")
     alone = classes.select("d1", "d2", F.struct("at", "d1", "d2").alias("own"))
     known = settle(alone.join(moved, ["d1", "d2"], "left").select("d1", "d2", F.coalesce("first", "own").alias("first")), "known")
-    rows = settle(sketched.select("doc_id", "d1", "d2", "n_words").join(known, ["d1", "d2"], "left"), "rows")
+    rows = settle(ids.join(known, ["d1", "d2"], "left"), "rows")
     full = rows.filter("n_words > 0").select("doc_id", "d1", "d2", "n_words", F.col("first.at.doc_id").alias("class_id"), F.struct("first.d1", "first.d2").alias("group"), (F.struct("d1", "d2") == F.struct("first.d1", "first.d2")).alias("same"))
     sizes = settle(full.groupBy("group").agg(F.count("*").alias("class_size")).filter("class_size > 1"), "sizes")
     out = full.join(sizes, "group", "left").select("doc_id", "d1", "d2", "n_words", "class_id", F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), (F.col("same") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))

@@ -1,5 +1,6 @@
 """Near duplicates: alignment, sketches and whole results against brute force; and the pipeline's stages."""
 
+import os
 import re
 
 import numpy as np
@@ -309,3 +310,35 @@ def test_components_by_rounds_equal_those_of_one_task(spark, monkeypatch):
         monkeypatch.setattr(step, "FEW_LINKS", few)
         assert {r["node"]: r["label"] for r in components(links).collect()} == whole
     assert whole == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, 10: 7, 5: 4, 30: 4, 31: 4, 4: 4}
+
+
+def test_sketches_go_once_buckets_are_known_and_texts_are_shuffled_once(spark, monkeypatch):
+    rng, real, places, seen = np.random.default_rng(43), nd.settle, {}, {}
+
+    def settle(df, name, **keep):
+        if name == "texts":
+            seen["exchanges"] = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        if name == "pairs" and "left" not in seen:
+            seen["left"] = [n for n in ("sketches", "classes") if os.path.exists(places[n])]
+        out = real(df, name, **keep)
+        places.setdefault(name, os.path.dirname(out.inputFiles()[0].removeprefix("file://")) if out.inputFiles() else "")
+        return out
+
+    monkeypatch.setattr(nd, "settle", settle)
+    texts = [[f"w{x}" for x in rng.integers(500, size=60)] for _ in range(40)]
+    texts += [[*t[:30], "other", *t[31:]] for t in texts[:10]] + texts[:5]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = [r["class_id"] for r in nd.near_duplicates(docs).orderBy("doc_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == [*range(40), *range(10), *range(5)]
+    assert seen == {"exchanges": 2, "left": []}  # both sides of the join; before, the groups shuffled texts again
+
+
+def test_common_grams_keep_their_order_beyond_a_byte():
+    n = np.array([0, 1, 2, 100, 127, 128, 200, 255, 300, 1000, 60_000, 1_000_000])
+    steps = nd._stepped(n)
+    assert (np.diff(steps) >= 0).all() and steps.max() <= nd.MANY and (steps[:5] == n[:5]).all() and len(set(steps[-5:])) == 5
