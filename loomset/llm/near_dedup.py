@@ -9,7 +9,7 @@ Texts with the same words are one class, so copies cost nothing further. A bucke
 the smallest of their hubs that may be similar, then with the other hubs; links make components. In buckets that still hold several components beside
 the hub, a few members of like lengths are compared with each other, and of more those that share a rare gram of one or two words at about the same
 place, which all similar texts do: texts that only have a common passage aren't. Where a crowd shares a gram, blocks of its texts of like lengths meet
-in one task each, and no pair of texts is a row. Pairs
+in one task each, first without their words, and no pair of texts is a row. Pairs
 inside a known component aren't made, nor those that lengths or parities of word counts rule out. No link that joins components is lost within buckets.
 
 Defined cases: texts without words are alone, each its own class; texts of fewer than three words have one k-mer of all of them; A-Z are folded;
@@ -49,8 +49,9 @@ RANGES = 256
 GRAMS = 32
 #: Counts take a byte each, up to MANY: whole up to EXACT, beyond it in steps of an eighth of a doubling, so that common grams keep their order in larger inputs.
 EXACT, MANY = 127, 255
-#: Texts with one gram of which more are a crowd, and texts and words of a block of it.
+#: Texts with one gram of which more are a crowd, and texts and words of a block of it: of their parities, in FOLD times less slots, and of themselves.
 CROWD = 64
+SIGNS, SIGN_WORDS, FOLD = 2048, 1 << 21, 4
 BLOCK, BLOCK_WORDS = 256, 1 << 18
 #: The part of all texts of a crowd that is one block.
 WHOLE = -2
@@ -446,19 +447,37 @@ def _cell(least: float) -> Column:
     return (F.floor(F.log(F.col("n_words") + F.lit(0.5)) / float(-np.log(least))) if least < 1 else F.col("n_words")).cast("int")
 
 
-def _linked(text: pa.Array, label: np.ndarray, side: np.ndarray, within: bool, most_q: np.ndarray, q: int, mine: list[set[int]], gram: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Labels that similar texts of two blocks (side 0 and 1), or of one (within), join."""
-    _, _, h, first = words(*utf8(text))
-    n = np.diff(first)
-    parity, begin = parities(labelled(h, first), first)
-    size = np.diff(begin)
+def _folded(parities: Column) -> Column:
+    """Parities put upon each other down to FOLD times less slots, BITS at least: texts with too few words in common still differ in too many of them."""
+    few = F.greatest(F.lit(BITS // 64), F.floor(F.size(parities) / FOLD)).cast("int")
+    upon = lambda i: F.aggregate(F.sequence(F.lit(0), F.floor(F.size(parities) / few).cast("int") - 1), F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(parities[i + k * few]))
+    return F.transform(F.sequence(F.lit(0), few - 1), upon)
+
+
+def _earlier(mine: pa.Array) -> np.ndarray:
+    """A bit for each of these grams that several texts have: rows x 64 of them."""
+    row = np.repeat(np.arange(len(mine)), np.asarray(mine.value_lengths()))
+    _, at, n = np.unique(np.asarray(mine.flatten()), return_inverse=True, return_counts=True)
+    row, at = row[n[at] > 1], (np.cumsum(n > 1) - 1)[at][n[at] > 1]
+    out = np.zeros((len(mine), max(1, -(-int((n > 1).sum()) // 64))), np.uint64)
+    np.bitwise_or.at(out, (row, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
+def _alike(rows: pa.Table, n: np.ndarray, parity: np.ndarray, size: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of two blocks' texts, or of one's: a text, those of other labels that lengths and parities allow to be similar to it, and the parities that differ. size: of each text's."""
+    col = lambda c: rows.column(c).combine_chunks()
+    one = lambda c: rows.column(c)[0].as_py()
+    side, label, most_q, q, within = np.asarray(col("side")), np.asarray(col("label")), np.asarray(col("most_q")), one("q"), one("low") == one("high") and one("i") == one("j")
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if within else 1))
+    if not len(left) or not len(right) or len(np.unique(label)) < 2:
+        return
     bits, at = {}, {}  # of texts with parities in so many slots or more, narrowed to these, and where each text's are
     for few in np.unique(size):
         some = size >= few
         own = narrowed(parity[np.repeat(some, size)], np.concatenate([[0], np.cumsum(size[some])]), int(few))
         bits[few], at[few] = own.view(np.uint64), np.cumsum(some) - 1  # bits of negative numbers would be counted without their sign
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if within else 1))
-    found = [np.zeros((3, 0), np.int64)]
+    earlier = _earlier(col("mine"))
     for i in left:
         may = (label[right] != label[i]) & (abs(n[i] - n[right]) <= np.floor((1 - least) * np.maximum(n[i], n[right]) + 1e-9)) & (np.minimum(most_q[i], most_q[right]) == q)
         may &= right > i if within else True
@@ -470,8 +489,27 @@ def _linked(text: pa.Array, label: np.ndarray, side: np.ndarray, within: bool, m
             some = differ <= 2 * np.floor((1 - least) * np.maximum(n[i], n[j]) + 1e-9) - abs(n[i] - n[j])
             j, differ = j[some], differ[some]
             # texts that share several crowded grams meet at the first
-            some = np.array([min(mine[i] & mine[x]) == gram for x in j], bool)
-            found.append(np.array([np.full(some.sum(), i), j[some], differ[some]], np.int64))
+            some = ~(earlier[i] & earlier[j]).any(1)
+            yield i, j[some], differ[some]
+
+
+def _marked(rows: pa.Table, least: float) -> np.ndarray:
+    """Which texts of two blocks, or of one, may be similar to another there, by their folded parities."""
+    few = rows.column("few").combine_chunks()
+    out = np.zeros(len(rows), bool)
+    for i, j, _ in _alike(rows, np.asarray(rows.column("n_words").combine_chunks()), np.asarray(few.flatten()), np.asarray(few.value_lengths()), least):
+        out[j] = True
+        out[i] |= len(j) > 0
+    return out
+
+
+def _linked(rows: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Labels that similar texts of two blocks, or of one, join."""
+    label = np.asarray(rows.column("label").combine_chunks())
+    _, _, h, first = words(*utf8(rows.column("text")))
+    n = np.diff(first)
+    parity, begin = parities(labelled(h, first), first)
+    found = [np.zeros((3, 0), np.int64), *(np.array([np.full(len(j), i), j, differ], np.int64) for i, j, differ in _alike(rows, n, parity, np.diff(begin), least))]
     a, b, differ = np.concatenate(found, axis=1)
     order = np.argsort(differ, kind="stable")
     a, b = a[order], b[order]
@@ -491,39 +529,30 @@ def _linked(text: pa.Array, label: np.ndarray, side: np.ndarray, within: bool, m
     return tuple(np.array(links, np.int64).reshape(-1, 2).T)
 
 
-def _by_crowds(crowded: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) between the labels of similar texts that share a crowded gram. crowded: (gram, main, cls, label, n_words, most_q, q).
+#: A block meets another, or itself, in one task.
+MEETING = ("gram", "low", "high", "i", "j")
 
-    A crowd of BLOCK texts and BLOCK_WORDS words at most is one block. Of larger ones the texts of a length are dealt to blocks, those of the commonest label
-    to their own, which don't meet each other. A block meets those of its length and of neighbouring ones, and a task gets the texts of two: a text travels
-    once for each block it meets, not for each text.
-    """
-    out = "a long, b long"
 
-    def compare(rows: pa.Table) -> pa.Table:
-        col = lambda c: rows.column(c).combine_chunks()
-        one = lambda c: rows.column(c)[0].as_py()
-        side, within = np.asarray(col("side")), one("low") == one("high") and one("i") == one("j")
-        label = np.asarray(col("label"))
-        a = b = np.zeros(0, np.int64)
-        if len(np.unique(label)) > 1 and (within or len(np.unique(side)) > 1):
-            a, b = _linked(col("text"), label, side, within, np.asarray(col("most_q")), one("q"), [set(x) for x in col("mine").to_pylist()], one("gram"), least)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _in_blocks(crowded: DataFrame, held: DataFrame, most: int, most_words: int, least: float) -> DataFrame:
+    """crowded's columns, mine: the text's crowded grams below this one, and its columns in held, by cls: once for each meeting of its block, of which it's on a side (0 or 1).
 
+    A crowd of `most` texts and `most_words` words at most is one block. Of larger ones the texts of a length are dealt to blocks, those of the commonest label
+    to their own, which don't meet each other. A block meets those of its length and of neighbouring ones.
+    """
     own = ("cls", "label", "n_words", "most_q", "q")
     mine = crowded.groupBy(*own).agg(F.collect_list(F.struct("gram", "main")).alias("at"))
     rows = mine.select(*own, F.col("at.gram").alias("mine"), F.explode("at").alias("at")).select(*own, "mine", "at.*")
-    rows = settle(rows.withColumn("part", 2 * _cell(least) + (F.col("label") == F.col("main")).cast("int")).drop("main", "n_words"), "crowds")
-    n_words = crowded.select("gram", "label", "main", "n_words")
-    n_words = n_words.withColumn("part", 2 * _cell(least) + (F.col("label") == F.col("main")).cast("int"))
-    blocks_of = lambda texts, words: F.ceil(F.greatest(texts / BLOCK, words / BLOCK_WORDS)).cast("int")
-    sizes = n_words.groupBy("gram", "part").agg(F.count("*").alias("texts"), F.sum("n_words").alias("words"))
+    rows = rows.withColumn("mine", F.filter("mine", lambda g: g < F.col("gram")))
+    lengths = 2 * _cell(least) + (F.col("label") == F.col("main")).cast("int")
+    rows = settle(rows.withColumn("part", lengths), "crowds")
+    blocks_of = lambda texts, words: F.ceil(F.greatest(texts / most, words / most_words)).cast("int")
+    sizes = crowded.withColumn("part", lengths).groupBy("gram", "part").agg(F.count("*").alias("texts"), F.sum("n_words").alias("words"))
     each = F.map_from_entries(F.collect_list(F.struct("part", blocks_of(F.col("texts"), F.col("words")))))
     sizes = sizes.groupBy("gram").agg(blocks_of(F.sum("texts"), F.sum("words")).alias("all"), each.alias("n"))
     sizes = settle(sizes.select("gram", F.when(F.col("all") > 1, F.col("n")).otherwise(F.create_map(F.lit(WHOLE), "all")).alias("n")), "sizes")
     block = F.pmod(F.xxhash64("cls"), F.col("n")[F.col("part")]).cast("int")
     maybe = among(rows, "cls")
-    rows = rows.join(sizes, "gram").withColumn("part", F.when(F.map_contains_key("n", F.lit(WHOLE)), WHOLE).otherwise(F.col("part"))).withColumn("block", block).join(texts.filter(maybe("cls")), "cls")
+    rows = rows.join(sizes, "gram").withColumn("part", F.when(F.map_contains_key("n", F.lit(WHOLE)), WHOLE).otherwise(F.col("part"))).withColumn("block", block).join(held.filter(maybe("cls")), "cls")
     part, block, cell = F.col("part"), F.col("block"), F.floor(F.col("part") / 2).cast("int")
     peers = F.filter(F.transform(F.sequence(2 * cell - 2, 2 * cell + 3), lambda p: F.struct(p.alias("part"), F.coalesce(F.col("n")[p], F.lit(0)).alias("n"))), lambda p: (p["n"] > 0) & ((part % 2 == 0) | (p["part"] % 2 == 0)))
 
@@ -533,11 +562,33 @@ def _by_crowds(crowded: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         return F.struct(low.alias("low"), high.alias("high"), i.alias("i"), k.alias("j"), F.when(ahead, 0).otherwise(1).alias("side"))
 
     met = F.flatten(F.transform(peers, lambda p: F.transform(F.sequence(F.lit(0), p["n"] - 1), lambda j: meeting(p["part"], j))))
-    rows = rows.select("gram", "label", "most_q", "q", "mine", "text", F.explode(met).alias("m")).select("gram", "label", "most_q", "q", "mine", "text", "m.*")
-    return settle(rows.groupBy("gram", "low", "high", "i", "j").applyInArrow(compare, out).distinct(), "links")
+    carried = (*crowded.columns, "mine", *[c for c in held.columns if c != "cls"])
+    return rows.select(*carried, F.explode(met).alias("m")).select(*carried, "m.*")
+
+
+def _by_crowds(crowded: DataFrame, signs: DataFrame, texts: DataFrame, least: float) -> DataFrame | None:
+    """Links (a, b) between the labels of similar texts that share a crowded gram, or None. crowded: (gram, main, cls, label, n_words, most_q, q); signs: (cls, few: folded parities).
+
+    Most texts of a crowd have nothing but its gram in common, so the blocks that meet first have parities alone, and are large. Only texts that these allow
+    to be similar to another of the crowd travel, once for each block they meet, not for each text.
+    """
+
+    columns = crowded.columns
+
+    def mark(rows: pa.Table) -> pa.Table:
+        return rows.select(columns).filter(pa.array(_marked(rows, least)))
+
+    def compare(rows: pa.Table) -> pa.Table:
+        a, b = _linked(rows, least)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    crowded = settle(_in_blocks(crowded, signs, SIGNS, SIGN_WORDS, least).groupBy(*MEETING).applyInArrow(mark, crowded.schema).distinct(), "alike")
+    if not crowded.limit(1).count():
+        return None
+    return settle(_in_blocks(crowded, texts, BLOCK, BLOCK_WORDS, least).groupBy(*MEETING).applyInArrow(compare, "a long, b long").distinct(), "links")
 
 
-def _by_grams(open_: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def _by_grams(open_: DataFrame, texts: DataFrame, least: float) -> tuple[DataFrame | None, DataFrame]:
     """Links (a, b) between labels in crowds, and pairs (a, b) of different labels that have another rare gram in common and may be similar; of a text with a label (key) those whose words differ least rank first.
 
     open_: (cls, label, n_words, parity, parities). Similar texts have such a gram in common themselves, whatever their labels, so a text meets CROWD others
@@ -555,7 +606,8 @@ def _by_grams(open_: DataFrame, texts: DataFrame, least: float) -> tuple[DataFra
     maybe = among(shared, "gram")
     own = ("cls", "label", "n_words", "parity", "most_q", "q")
     each = settle(rows.select(*own, F.explode(F.arrays_zip("gram", "low", "high")).alias("g")).select(*own, "g.*").filter(maybe("gram")).join(shared, "gram"), "grams")
-    links = _by_crowds(each.filter("crowd").select("gram", "main", "cls", "label", "n_words", "most_q", "q"), texts, least) if shared.filter("crowd").limit(1).count() else None
+    crowded, signs = each.filter("crowd").select("gram", "main", "cls", "label", "n_words", "most_q", "q"), open_.select("cls", _folded(F.col("parities")).alias("few"))
+    links = _by_crowds(crowded, signs, texts, least) if shared.filter("crowd").limit(1).count() else None
     own = ("label", "n_words", "parity", "most_q", "q", "low", "high")
     side = lambda c: each.filter("NOT crowd").select("gram", F.col("cls").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in own])
     reach = _reach("n_words_a", "n_words_b", least)

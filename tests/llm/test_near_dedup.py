@@ -342,3 +342,50 @@ def test_common_grams_keep_their_order_beyond_a_byte():
     n = np.array([0, 1, 2, 100, 127, 128, 200, 255, 300, 1000, 60_000, 1_000_000])
     steps = nd._stepped(n)
     assert (np.diff(steps) >= 0).all() and steps.max() <= nd.MANY and (steps[:5] == n[:5]).all() and len(set(steps[-5:])) == 5
+
+
+def test_texts_of_a_crowd_travel_only_if_their_parities_allow_a_similar_one(spark, monkeypatch):
+    rng, real = np.random.default_rng(47), nd.settle
+    word, passage = lambda: f"w{rng.integers(60)}", [f"p{i}" for i in range(50)]
+    texts = [[word() for _ in range(50)] + passage for _ in range(160)]
+    texts += [[word() if rng.random() < 0.3 else x for x in t[:50]] + passage for t in texts[:16]]
+    number = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    rows = [np.array([number[w] for w in t], np.uint64) for t in texts]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i)]
+    label = list(range(len(rows)))
+    for (i, j), _ in filter(lambda x: x[1], zip(pairs, nd.similar([rows[i] for i, _ in pairs], [rows[j] for _, j in pairs], nd.THRESHOLD), strict=True)):
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(nd, "CROWD", 2)
+    for signs, block in ((nd.__dict__.get("SIGNS"), nd.BLOCK), (2, 2)):  # a crowd in one block, and in many
+        counts = []
+
+        def settle(df, name, counts=counts, **keep):
+            out = real(df, name, **keep)
+            if name == "crowds":
+                counts.append(out.count())
+            return out
+
+        monkeypatch.setattr(nd, "settle", settle)
+        monkeypatch.setattr(nd, "SIGNS", signs, raising=False)
+        monkeypatch.setattr(nd, "BLOCK", block)
+        assert [r["class_id"] for r in nd.near_duplicates(docs).orderBy("doc_id").collect()] == label and 160 <= len(set(label)) < 170
+        # those that meet by parities, and then by words; before, all went with their words
+        assert counts[0] > 2000 and counts[-1] < 0.25 * counts[0], counts
+
+
+def test_folded_parities_bound_edits_and_earlier_grams_are_told(spark):
+    rng, rows = np.random.default_rng(48), []
+    for n in (5, 100, 300, 3000):
+        a = rng.integers(0, n, n).astype(np.uint64)
+        rows += [a, np.array([x if rng.random() > 0.1 else rng.integers(2 * n) for x in a], np.uint64)]
+    flat, first = nd.mix(np.concatenate(rows), 1), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+    parity, begin = nd.parities(nd.labelled(flat, first), first)
+    whole = [parity[x:y].tolist() for x, y in zip(begin, begin[1:])]
+    got = [r["f"] for r in spark.createDataFrame(list(enumerate(whole)), "i long, p array<long>").select("i", nd._folded(F.col("p")).alias("f")).orderBy("i").collect()]
+    for few, own in zip(got, whole, strict=True):
+        assert len(few) == max(8, len(own) // nd.FOLD) and few == np.bitwise_xor.reduce(np.array(own).reshape(-1, len(few)), 0).tolist()
+    mine = [rng.choice(300, int(rng.integers(0, 40)), False).tolist() for _ in range(60)]
+    bits = nd._earlier(nd.pa.array(mine, nd.pa.list_(nd.pa.int64())))
+    assert all((bits[i] & bits[j]).any() == bool(set(mine[i]) & set(mine[j])) for i in range(60) for j in range(i))
